@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -28,6 +29,29 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), RULES)
 
 
+def domain_of_source():
+    """The domain level of the mixture: sources are dealt to four domains by their number."""
+    number = F.coalesce(F.regexp_extract("source", "[0-9]+", 0).try_cast("long"), F.lit(0))
+    return F.concat(F.lit("d"), F.pmod(number, F.lit(4)).cast("string"))
+
+
+#: Production parameters of the mixture.
+MIX_WEIGHTS = [{"d0": 1.0, "d1": 2.0, "d2": 2.0, "d3": 3.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 3.0}, {}]
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"), domain_of_source(), MIX_WEIGHTS)
+
+
+def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import derive, responses
+
+    out = derive(responses(table(spark, sf_dir, "pages")), keep=["page_id"])
+    return out.select("page_id", "record_id", "record_type", "target_uri", "refers_to", "content_type", "block_digest", "content_length", "content")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -46,7 +70,9 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_url_filter": op3_url_filter,
+    "op5_mix_sources": op5_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
+    "op10_warc_derivatives": op10_warc_derivatives,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_warc_derivatives": warc.SQL}
