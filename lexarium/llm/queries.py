@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import warc
+from . import near_dup, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -39,6 +39,12 @@ def domain_of_source():
 MIX_WEIGHTS = [{"d0": 1.0, "d1": 2.0, "d2": 2.0, "d3": 3.0}, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 3.0}, {}]
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -70,9 +76,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op3_url_filter": op3_url_filter,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_mix_sources": op5_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_warc_derivatives": op10_warc_derivatives,
 }
-SQL: dict[str, str] = {"op10_warc_derivatives": warc.SQL}
+SQL: dict[str, str] = {"op4_near_duplicates": near_dup.SQL, "op10_warc_derivatives": warc.SQL}
