@@ -24,18 +24,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def word_hashes(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def marks_as_white() -> np.ndarray:
+    """White space for comparisons that punctuation doesn't matter to: ASCII marks separate words too."""
+    out = _WHITE.copy()
+    out[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+    return out
+
+
+def word_hashes(texts: list[bytes], white_bytes: np.ndarray = _WHITE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of the texts, and where each text's words begin among them (one more entry than texts)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    white = _WHITE[data]
+    white = white_bytes[data]
     first = ~white
     first[1:] &= white[:-1]
     starts = np.flatnonzero(first)
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     if not len(starts):
         return np.empty(0, np.uint64), bounds
-    values = (_LOWER[data] if lower else data).astype(np.uint64) + np.uint64(1)
+    values = _LOWER[data].astype(np.uint64) + np.uint64(1)
     values[white] = 0
     sizes = np.diff(starts, append=len(data))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
