@@ -64,6 +64,12 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "record_id", "record_type", "target_uri", "refers_to", "content_type", "block_digest", "content_length", "content")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality_rules
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": op3_url_filter,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_mix_sources": op5_mix_sources,
+    "op6_language_id": op6_language_id,
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_warc_derivatives": op10_warc_derivatives,
