@@ -112,10 +112,10 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(F.col("id").alias(id_col), *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
 
 
-def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", reach: int = REACH) -> DataFrame:
+def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", reach: int = REACH, length_col: str | None = None) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark`` (overlapping spans by one); other columns and rows as they are.
 
-    A null text stays null. Columns of ``docs`` must have distinct names.
+    ``length_col`` is set to the new length where a text changes. A null text stays null. Columns of ``docs`` must have distinct names.
     """
     key = {"id": F.col(id_col), "text": F.coalesce(F.col(text_col), F.lit(""))}
     keyed = docs.withColumns({f"_{k}": c for k, c in _keys(key["id"], key["text"]).items()})
@@ -129,4 +129,8 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     end = lambda a: F.concat(a["out"], F.substring(text, a["at"].cast("int") + 1, F.length(text)))
     clean = F.when(F.col("_spans").isNull(), text).otherwise(F.aggregate("_spans", start, step, end))
-    return keyed.join(spans, ["_k1", "_k2"], "left").withColumn(text_col, clean).select(*docs.columns)
+    out = keyed.join(spans, ["_k1", "_k2"], "left").withColumn(text_col, clean)
+    if length_col:
+        kind = dict(docs.dtypes)[length_col]
+        out = out.withColumn(length_col, F.when(F.col("_spans").isNull(), F.col(length_col)).otherwise(F.length(text_col).cast(kind)))
+    return out.select(*docs.columns)
