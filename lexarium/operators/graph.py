@@ -174,8 +174,9 @@ def citation_edges(references: DataFrame, keys: DataFrame) -> DataFrame:
     marked = F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?=(10\.\d{4}|\d{4}\.\d{2}))"), F.lit(1)))
     by_id = text.select("source_paper_id", "low", F.explode(marked).alias("seed")).join(ids, "seed").filter(F.col("low").contains(F.col("pattern")))
     titles = keys.filter("method = 'title'").withColumn("seed", F.substring_index("pattern", " ", 5))
-    words = F.split("norm", " ")
-    fives = F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 5, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(5)), " ")))
+    # the words are bound once, not split again for each place
+    runs = lambda w: F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(5)), " "))
+    fives = F.array_distinct(F.get(F.transform(F.array(F.split("norm", " ")), runs), F.lit(0)))
     # a title may begin or end inside a word of the text; whole words are what normalised titles match in practice
     by_title = text.select("source_paper_id", "norm", F.explode(fives).alias("seed")).join(titles, "seed").filter(F.col("norm").contains(F.col("pattern")))
     rank = F.when(F.col("method") == "doi", 0).when(F.col("method") == "arxiv", 1).otherwise(2)

@@ -1,9 +1,11 @@
 """Metadata: merging records by precedence, upserts, reviews, duplicate candidates, fuzzy titles."""
 
-from __future__ import annotations
+import difflib
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.names import CONFIDENCE, normalize_title
 
@@ -66,6 +68,12 @@ def unique_owners(papers: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "value").agg(F.count("*").alias("n"), F.min("paper_id").alias("paper_id")).filter("n = 1").drop("n")
 
 
+@F.pandas_udf(DoubleType())
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Matching characters of two texts by longest common blocks."""
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
 def title_matches(candidates: DataFrame, titles: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``candidate_id, title_id, ratio``: the best fuzzy title of each candidate at the threshold or above; ties by id.
 
@@ -74,14 +82,6 @@ def title_matches(candidates: DataFrame, titles: DataFrame, threshold: float = S
     untouched when few characters differ. Pairs are blocked by the length bound and by a common word; pairs without one
     can't reach 0.85 in titles of five words or more.
     """
-    import pandas as pd
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        import difflib
-
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
-
     left = candidates.select("candidate_id", normalize_title(F.col("title")).alias("x"))
     right = titles.select("title_id", normalize_title(F.col("title")).alias("y"))
     word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")

@@ -51,8 +51,8 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
     """
     for name, value in (("k", k), ("seeds", seeds), ("fan_out", fan_out)):
         check_count(name, value)
-    scored = lexical.scores(index.weights, queries)
-    hits = lexical.search(index.weights, queries, seeds, scoring, index.chunks)
+    scored = lexical.scores(index.weights, queries).persist()
+    hits = lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored)
     near = lexical.chunk_neighbors(index.weights, hits.select(F.col("chunk_id").alias("seed_id")).distinct(), k)
     lists = hits.select("query_id", F.col("chunk_id").alias("seed_id")).join(near, "seed_id").select("query_id", "chunk_id", "rank")
     fused = lexical.fuse_rankings([lists]).join(hits, ["query_id", "chunk_id"], "left_anti")
@@ -66,10 +66,11 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
     return {"seeds": hits, "neighborhood": fused.select("query_id", "rank", "chunk_id", "score"), "fan_out": best.select("query_id", "neighbor", "weight", "c.chunk_id", "c.score")}
 
 
-def rank_communities(index: Index, queries: DataFrame, n: int = 5) -> DataFrame:
+def rank_communities(index: Index, queries: DataFrame, n: int = 5, scored: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, community_id, score``: the mean of the best five chunk scores among a community's members."""
     check_count("n", n)
-    best = lexical.final_scores(lexical.scores(index.weights, queries)).join(index.chunks.select("chunk_id", "paper_id"), "chunk_id").join(index.need("members").select("paper_id", "community_id"), "paper_id")
+    scored = lexical.scores(index.weights, queries) if scored is None else scored
+    best = lexical.final_scores(scored).join(index.chunks.select("chunk_id", "paper_id"), "chunk_id").join(index.need("members").select("paper_id", "community_id"), "paper_id")
     order = Window.partitionBy("query_id", "community_id").orderBy(F.desc("score"), "chunk_id")
     top = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MEMBER_TOP).groupBy("query_id", "community_id").agg(F.round(F.avg("score"), 12).alias("score")).filter("score > 0")
     out = Window.partitionBy("query_id").orderBy(F.desc("score"), "community_id")
@@ -84,11 +85,15 @@ def search_global(index: Index, queries: DataFrame, n: int = 5) -> DataFrame:
 def search_drift(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid") -> DataFrame:
     """``query_id, rank, chunk_id, score, fallback``: the best chunks within the best communities; of all where those have none."""
     check_count("k", k)
-    chosen = rank_communities(index, queries, communities)
+    scored = lexical.scores(index.weights, queries).persist()  # read by both searches and the ranking
+    chosen = rank_communities(index, queries, communities, scored)
     papers = chosen.join(index.need("members").select("community_id", "paper_id"), "community_id").select("query_id", "paper_id").distinct()
-    inside = lexical.search(index.weights, queries, k, scoring, index.chunks, papers).withColumn("fallback", F.lit(False))
+    inside = lexical.search(index.weights, queries, k, scoring, index.chunks, papers, scored).withColumn("fallback", F.lit(False)).persist()
     rest = queries.join(inside.select("query_id").distinct(), "query_id", "left_anti")
-    return inside.unionByName(lexical.search(index.weights, rest, k, scoring, index.chunks).withColumn("fallback", F.lit(True)))
+    if rest.isEmpty():
+        return inside
+    others = scored.join(rest.select("query_id"), "query_id", "left_semi")
+    return inside.unionByName(lexical.search(index.weights, rest, k, scoring, index.chunks, scored=others).withColumn("fallback", F.lit(True)))
 
 
 def evidence(blocks: list[tuple[str, DataFrame]]) -> DataFrame:

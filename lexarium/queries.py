@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def r6(column: str):
+    """Six decimals of a value that has nine; moved off the halves, where engines round differently."""
+    return F.round(F.col(column) + F.lit(3.7e-10), 6)
+
+
 def paper_id(column: str = "doc_id"):
     return F.lpad(F.col(column).cast("string"), 8, "0")
 
@@ -47,7 +52,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
     c = chunks(spark, sf_dir)
-    return retrieval.Index(c, lexical.weighted(c))
+    return retrieval.Index(c, lexical.weighted(c).persist())  # a snapshot has them as a table
 
 
 # --- SQL fragments -------------------------------------------------------------------------------------------------
@@ -77,7 +82,7 @@ hy AS (SELECT query_id, chunk_id, round(sum(1.0 / (60 + r)), 12) AS score FROM r
 def _top(scores: str, k: int, demote: bool = True) -> str:
     inner = f"SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM ({scores}) QUALIFY r <= {k}"
     order = "(document_kind = 'reference')::int, r" if demote else "r"
-    return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank, chunk_id, round(score, 6) AS score FROM ({inner}) JOIN c USING (chunk_id)"
+    return f"SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY {order}) AS rank, chunk_id, round(score + 3.7e-10, 6) AS score FROM ({inner}) JOIN c USING (chunk_id)"
 
 
 # --- lexical -------------------------------------------------------------------------------------------------------
@@ -103,16 +108,16 @@ def term_weights(spark, sf_dir):
     return lexical.weighted(chunks(spark, sf_dir)).select("term", "chunk_id", "tf", F.round("w_tfidf", 6).alias("w_tfidf"), F.round("w_bm25", 6).alias("w_bm25"))
 
 
-@query(f"WITH {_C}, {_Q} SELECT query_id, chunk_id, round(score_tfidf, 6) AS score_tfidf, round(score_bm25, 6) AS score_bm25 FROM sc")
+@query(f"WITH {_C}, {_Q} SELECT query_id, chunk_id, round(score_tfidf + 3.7e-10, 6) AS score_tfidf, round(score_bm25 + 3.7e-10, 6) AS score_bm25 FROM sc")
 def chunk_scores(spark, sf_dir):
     out = lexical.scores(index(spark, sf_dir).weights, questions(spark, sf_dir))
-    return out.withColumns({c: F.round(c, 6) for c in ("score_tfidf", "score_bm25")})
+    return out.withColumns({c: r6(c) for c in ("score_tfidf", "score_bm25")})
 
 
 def _search(scoring):
     def run(spark, sf_dir):
         i = index(spark, sf_dir)
-        return lexical.search(i.weights, questions(spark, sf_dir), 5, scoring, i.chunks).withColumn("score", F.round("score", 6))
+        return lexical.search(i.weights, questions(spark, sf_dir), 5, scoring, i.chunks).withColumn("score", r6("score"))
 
     return run
 
@@ -122,9 +127,9 @@ for _scoring, _from in (("tfidf", "SELECT query_id, chunk_id, score_tfidf AS sco
     SQL[f"search_{_scoring}"] = f"WITH {_C}, {_Q} {_top(_from, 5)}"
 
 
-@query(f"WITH {_C}, {_Q} SELECT query_id, chunk_id, round(score, 6) AS score FROM hy")
+@query(f"WITH {_C}, {_Q} SELECT query_id, chunk_id, round(score + 3.7e-10, 6) AS score FROM hy")
 def rank_fusion(spark, sf_dir):
-    return lexical.hybrid(lexical.scores(index(spark, sf_dir).weights, questions(spark, sf_dir))).withColumn("score", F.round("score", 6))
+    return lexical.hybrid(lexical.scores(index(spark, sf_dir).weights, questions(spark, sf_dir))).withColumn("score", r6("score"))
 
 
 @query(f"WITH {_C}, {_Q} {_top("SELECT hy.* FROM hy JOIN c USING (chunk_id) WHERE lang = 'de'", 5)}")
@@ -133,7 +138,7 @@ def search_filtered(spark, sf_dir):
     i = index(spark, sf_dir)
     q = questions(spark, sf_dir)
     german = q.select("query_id").join(i.chunks.filter("lang = 'de'").select("paper_id"), F.lit(True))
-    return lexical.search(i.weights, q, 5, "hybrid", i.chunks, german).withColumn("score", F.round("score", 6))
+    return lexical.search(i.weights, q, 5, "hybrid", i.chunks, german).withColumn("score", r6("score"))
 
 
 @query(f"WITH {_C}, {_Q} SELECT query_id, paper_id, count(*) AS n, round(max(score), 6) AS best FROM hy JOIN c USING (chunk_id) GROUP BY ALL")
@@ -143,14 +148,14 @@ def scores_by_paper(spark, sf_dir):
     return out.select("query_id", "paper_id", F.size("scores").cast("long").alias("n"), F.round(F.get("scores", F.lit(0)), 6).alias("best"))
 
 
-@query(f"""WITH {_C}, s AS (SELECT chunk_id AS seed_id, term, w_tfidf AS w FROM idx WHERE left(chunk_id, 8)::bigint % 20 = 0),
-p AS (SELECT seed_id, chunk_id, round(sum(w * w_tfidf), 9) AS score FROM idx JOIN s USING (term) WHERE chunk_id <> seed_id GROUP BY ALL)
-SELECT seed_id, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM p WHERE score > 0 QUALIFY rank <= 5""")
+@query(f"""WITH {_C}, s AS (SELECT chunk_id AS seed_id, term, w_tfidf AS w_seed FROM idx WHERE left(chunk_id, 8)::bigint % 20 = 0),
+p AS (SELECT seed_id, chunk_id, round(sum(w_seed * w_tfidf), 9) AS score FROM idx JOIN s USING (term) WHERE chunk_id <> seed_id GROUP BY ALL)
+SELECT seed_id, row_number() OVER (PARTITION BY seed_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score + 3.7e-10, 6) AS score FROM p WHERE score > 0 QUALIFY rank <= 5""")
 def chunk_neighbors(spark, sf_dir):
     """The neighbours of every chunk whose document's id is divisible by 20, among all."""
     i = index(spark, sf_dir)
     seeds = i.chunks.filter(F.substring("chunk_id", 1, 8).cast("long") % 20 == 0).select(F.col("chunk_id").alias("seed_id"))
-    return lexical.chunk_neighbors(i.weights, seeds, 5).withColumn("score", F.round("score", 6))
+    return lexical.chunk_neighbors(i.weights, seeds, 5).withColumn("score", r6("score"))
 
 
 def _quoted(words) -> str:
@@ -209,19 +214,19 @@ def _edges(spark, sf_dir):
     return graph.mutual_edges(graph.similarities(_vectors(spark, sf_dir)))
 
 
-@query(f"WITH {_E} SELECT source, target, round(weight, 6) AS weight FROM eg")
+@query(f"WITH {_E} SELECT source, target, round(weight + 3.7e-10, 6) AS weight FROM eg")
 def similarity_graph(spark, sf_dir):
-    return _edges(spark, sf_dir).withColumn("weight", F.round("weight", 6))
+    return _edges(spark, sf_dir).withColumn("weight", r6("weight"))
 
 
 @query(f"""WITH {_E}, m AS (SELECT paper_id, lang AS community FROM c), s AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, min(paper_id)) - 1 AS community_id FROM m GROUP BY ALL),
 n AS (SELECT paper_id, community_id FROM m JOIN s USING (community)), b AS (SELECT source AS p, target AS q, weight FROM eg UNION ALL SELECT target, source, weight FROM eg),
 ce AS (SELECT p, round(sum(weight), 9) AS x FROM b JOIN n u ON u.paper_id = p JOIN n v ON v.paper_id = q WHERE u.community_id = v.community_id GROUP BY ALL)
-SELECT community_id, paper_id, round(coalesce(x, 0.0), 6) AS centrality, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(x, 0.0) DESC, paper_id) <= 3 AS is_representative FROM n LEFT JOIN ce ON p = paper_id""")
+SELECT community_id, paper_id, round(coalesce(x, 0.0) + 3.7e-10, 6) AS centrality, row_number() OVER (PARTITION BY community_id ORDER BY coalesce(x, 0.0) DESC, paper_id) <= 3 AS is_representative FROM n LEFT JOIN ce ON p = paper_id""")
 def community_members(spark, sf_dir):
     """Centrality and representatives, with the languages as communities."""
     member = graph.numbered_communities(chunks(spark, sf_dir).select("paper_id", F.col("lang").alias("community")))
-    return graph.community_members(_edges(spark, sf_dir), member).withColumn("centrality", F.round("centrality", 6))
+    return graph.community_members(_edges(spark, sf_dir), member).withColumn("centrality", r6("centrality"))
 
 
 @query(f"""WITH {_V}, m AS (SELECT paper_id, lang AS community FROM c), s AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, min(paper_id)) - 1 AS community_id FROM m GROUP BY ALL),
@@ -277,15 +282,15 @@ def _community_index(spark, sf_dir):
     return i
 
 
-@query(f"WITH {_RANKC} SELECT query_id, rank, community_id, round(score, 6) AS score FROM rr WHERE rank <= 2")
+@query(f"WITH {_RANKC} SELECT query_id, rank, community_id, round(score + 3.7e-10, 6) AS score FROM rr WHERE rank <= 2")
 def search_global(spark, sf_dir):
-    return retrieval.rank_communities(_community_index(spark, sf_dir), questions(spark, sf_dir), 2).withColumn("score", F.round("score", 6))
+    return retrieval.rank_communities(_community_index(spark, sf_dir), questions(spark, sf_dir), 2).withColumn("score", r6("score"))
 
 
 @query(f"""WITH {_RANKC}, h AS (SELECT hy.* FROM hy JOIN c USING (chunk_id) JOIN n USING (paper_id) JOIN rr ON rr.query_id = hy.query_id AND rr.community_id = n.community_id AND rr.rank <= 1)
 SELECT *, false AS fallback FROM ({_top("SELECT * FROM h", 6)})""")
 def search_drift(spark, sf_dir):
-    return retrieval.search_drift(_community_index(spark, sf_dir), questions(spark, sf_dir), 6, 1).withColumn("score", F.round("score", 6))
+    return retrieval.search_drift(_community_index(spark, sf_dir), questions(spark, sf_dir), 6, 1).withColumn("score", r6("score"))
 
 
 @query(f"""WITH {_C}, {_Q}, sd AS ({_top("SELECT * FROM hy", 5)}), t AS (SELECT DISTINCT chunk_id FROM sd),
@@ -293,12 +298,12 @@ p AS (SELECT x.chunk_id AS seed_id, y.chunk_id, round(sum(x.w_tfidf * y.w_tfidf)
 r AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY s DESC, chunk_id) AS k FROM p WHERE s > 0 QUALIFY k <= 5),
 f AS (SELECT query_id, r.chunk_id, round(sum(1.0 / (60 + k)), 12) AS score FROM sd JOIN r ON r.seed_id = sd.chunk_id GROUP BY ALL),
 o AS (SELECT f.* FROM f LEFT JOIN sd ON sd.query_id = f.query_id AND sd.chunk_id = f.chunk_id WHERE sd.chunk_id IS NULL)
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score, 6) AS score FROM o QUALIFY rank <= 5""")
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank, chunk_id, round(score + 3.7e-10, 6) AS score FROM o QUALIFY rank <= 5""")
 def search_local(spark, sf_dir):
     """The fused neighbourhood of each query's seeds."""
     i = index(spark, sf_dir)
     i.edges = spark.createDataFrame([], "source string, target string, weight double")
-    return retrieval.search_local(i, questions(spark, sf_dir))["neighborhood"].withColumn("score", F.round("score", 6))
+    return retrieval.search_local(i, questions(spark, sf_dir))["neighborhood"].withColumn("score", r6("score"))
 
 
 def _signals_sql() -> str:
@@ -309,16 +314,15 @@ def _signals_sql() -> str:
         for t in texts:
             p = re.escape(t).replace("\\ ", " ").replace("\\-", "-")
             p = p if kind == "stem" else f"(^|[^\\p{{L}}\\p{{N}}_]){p}" + ("($|[^\\p{L}\\p{N}_])" if kind == "word" else "")
-            rows.append(f"({len(rows)}, '{mode}', '{t}', '{p}')")
-    return ", ".join(rows)
+            rows.append(f"SELECT query_id, {len(rows)} AS o, '{mode}' AS mode, '{t}' AS signal FROM q WHERE regexp_matches(q, '{p}')")
+    return " UNION ALL ".join(rows)
 
 
 _ASKED = "concat_ws(' ', CASE turn % 5 WHEN 0 THEN 'How does this compare to' WHEN 1 THEN 'Which papers build on' WHEN 2 THEN 'Overall trends, im Korpus:' WHEN 3 THEN 'Exact accuracy score of' ELSE 'Difference and overall' END, coalesce(text, ''))"
 
 
-@query(f"""WITH sg(o, mode, signal, p) AS (VALUES {_signals_sql()}),
-q AS (SELECT conv_id::varchar || '-' || turn::varchar AS query_id, trim(lower({_ASKED})) AS q FROM conversations),
-h AS (SELECT query_id, mode, count(*) AS n, string_agg(signal, '|' ORDER BY o) AS signals FROM q JOIN sg ON regexp_matches(q, p) GROUP BY ALL),
+@query(f"""WITH q AS (SELECT conv_id::varchar || '-' || turn::varchar AS query_id, trim(lower({_ASKED})) AS q FROM conversations),
+sg AS ({_signals_sql()}), h AS (SELECT query_id, mode, count(*) AS n, string_agg(signal, '|' ORDER BY o) AS signals FROM sg GROUP BY ALL),
 b AS (SELECT query_id, max(n) AS n FROM h WHERE mode <> 'basic' GROUP BY ALL),
 l AS (SELECT query_id, count(*) AS k, any_value(h.mode) AS mode, any_value(h.signals) AS signals FROM h JOIN b USING (query_id, n) WHERE mode <> 'basic' GROUP BY ALL)
 SELECT q.query_id, CASE WHEN k = 1 THEN l.mode ELSE 'basic' END AS mode, CASE WHEN k = 1 THEN 'strong' WHEN k > 1 THEN 'weak' ELSE 'none' END AS confidence,
@@ -384,7 +388,7 @@ def coauthors(spark, sf_dir):
     return persons.coauthors(_authors(spark, sf_dir))
 
 
-@query(f"""WITH {_A}, k AS (SELECT DISTINCT person_key FROM a WHERE contains(name_key, 'supplier') AND list_contains(list_transform(string_split(name_key, ' '), w -> starts_with(w, '0')), true)),
+@query(f"""WITH {_A}, k AS (SELECT DISTINCT person_key FROM a WHERE contains(name_key, 'supplier') AND list_contains(list_transform(string_split(name_key, ' '), lambda w: starts_with(w, '0')), true)),
 m AS (SELECT lpad(o_orderkey::varchar, 10, '0') AS paper_id, year(o_orderdate) AS year FROM orders)
 SELECT person_key, count(DISTINCT a.paper_id) AS n_papers, min(year)::int AS first_year, max(year)::int AS last_year FROM a JOIN k USING (person_key) LEFT JOIN m USING (paper_id) GROUP BY ALL ORDER BY n_papers DESC, person_key LIMIT 50""")
 def author_candidates(spark, sf_dir):
@@ -506,7 +510,7 @@ def consistency(spark, sf_dir):
 
 
 @query("""WITH t AS (SELECT 'g' || item_id AS qid, list_distinct(list_slice(string_split(trim(lower(text)), ' '), 1, 2)) AS w FROM benchmark)
-SELECT DISTINCT qid, lpad(doc_id::varchar, 8, '0') AS paper_id FROM t JOIN documents d ON d.doc_id % 10 <> 0 AND len(list_filter(w, x -> contains(lower(d.text), x))) = len(w)""")
+SELECT DISTINCT qid, lpad(doc_id::varchar, 8, '0') AS paper_id FROM t JOIN documents d ON d.doc_id % 10 <> 0 AND len(list_filter(w, lambda x: contains(lower(d.text), x))) = len(w)""")
 def expected_papers(spark, sf_dir):
     """Full texts that hold the first two words of each item."""
     b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("qid"), F.array_distinct(F.slice(F.split(F.trim(F.lower("text")), " "), 1, 2)).alias("match_all"))

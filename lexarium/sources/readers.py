@@ -75,7 +75,7 @@ def stub_chunks(stubs: DataFrame) -> DataFrame:
 def markdown_table(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a markdown table as ``line_no, cells`` (map from header text to cell); columns are found by header, not place."""
     text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line")).filter(F.trim("line").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.trim(c))
     rows = text.select("line_no", cells.alias("c"))
     rule = F.forall("c", lambda x: x.rlike("^:?-+:?$"))
     head = rows.filter(rule).agg(F.min("line_no").alias("at"))

@@ -35,13 +35,15 @@ def classify_inbox(files: DataFrame, corpus: DataFrame, owners: DataFrame) -> Da
     by = lambda kind: owners.filter(F.col("kind") == kind).select(F.lower("value").alias(kind), F.col("paper_id").alias(f"by_{kind}"))
     rows = files.withColumns({k: F.lower(F.coalesce(k, F.lit(""))) for k in ("doi", "arxiv")}).join(same, "sha256", "left").join(named, "name", "left").join(by("doi"), "doi", "left").join(by("arxiv"), "arxiv", "left")
     rows = rows.withColumn("owner", F.coalesce("by_doi", "by_arxiv")).join(kinds.withColumnRenamed("paper_id", "owner"), "owner", "left")
+    what = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
+    known = F.col("owner").isNotNull()
     action = (
-        F.when(F.col("twin").isNotNull(), F.struct(F.lit("delete").alias("action"), F.lit("same_content").alias("reason")))
-        .when(~F.col("readable"), F.struct(F.lit("keep"), F.lit("unreadable")))
-        .when(F.col("owner").isNotNull() & (F.col("owner_kind") == "reference") & (F.col("kind") == "full"), F.struct(F.lit("accept"), F.lit("replaces_reference")))
-        .when(F.col("owner").isNotNull(), F.struct(F.lit("quarantine"), F.lit("known_identifier")))
-        .when(F.col("taken"), F.struct(F.lit("keep"), F.lit("name_taken")))
-        .otherwise(F.struct(F.lit("accept"), F.lit("new")))
+        F.when(F.col("twin").isNotNull(), what("delete", "same_content"))
+        .when(~F.col("readable"), what("keep", "unreadable"))
+        .when(known & (F.col("owner_kind") == "reference") & (F.col("kind") == "full"), what("accept", "replaces_reference"))
+        .when(known, what("quarantine", "known_identifier"))
+        .when(F.col("taken"), what("keep", "name_taken"))
+        .otherwise(what("accept", "new"))
     )
     return rows.withColumn("x", action).select("name", "x.action", "x.reason")
 
