@@ -2,8 +2,8 @@
 
 Texts with one set are one vertex. In each bucket (texts that share a band) candidates are compared with a centre, not
 with each other; links make components; only buckets that still hold several components are looked at again, first
-around other centres, at last each member outside the bucket's main component against all others of another one. So a
-group of copies costs rows in proportion to its size, and no link between components is missed.
+around other centres, at last by an exact prefix filter on their rare shingles (small buckets: pair by pair). So a group
+of copies costs rows in proportion to its size, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, pick
+from .common import discard, materialise, pick
 from .shingles import band_keys, shingle_sets, superminhash
 
 #: Signature places, and places in a band: a pair at similarity 0.75 shares no band with probability 2e-6.
 PLACES, ROWS = 72, 3
 #: Buckets of more texts than this are first compared around further centres, this many times.
-LARGE_BUCKET, CENTRES = 16, 2
+LARGE_BUCKET, CENTRES = 16, 1
 
 
 def _fingerprints(rows: DataFrame) -> DataFrame:
@@ -79,6 +79,41 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "set_a", "set_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _by_prefix(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of other labels that may be similar, by rare shingles; exact. ``sets``: id, set, label.
+
+    Shingles are put in one order, those of fewest texts first. Of two similar texts the first common shingle is so
+    early in both that what follows can still make the overlap. Copies of one text have their common shingles last, so
+    texts that are too far from it meet only where they share what is rare. A shingle's rows are joined as those outside
+    its most frequent label with all of other labels.
+    """
+    kind = dict(sets.dtypes)["id"]
+
+    def split(batches):
+        for batch in batches:
+            parts = [np.frombuffer(x, np.int64) for x in batch.column("set").to_pylist()]
+            sizes = np.array([len(p) for p in parts], np.int64)
+            row = np.repeat(np.arange(len(parts)), sizes)
+            tokens = np.concatenate(parts) if parts else np.empty(0, np.int64)
+            for at in range(0, len(row), 200_000):
+                own = pa.array(row[at : at + 200_000])
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("label").take(own), pa.array(sizes[row[at : at + 200_000]]), pa.array(tokens[at : at + 200_000])], names=["id", "label", "n", "token"])
+
+    tokens = sets.select("id", "label", "set").mapInArrow(split, f"id {kind}, label {kind}, n long, token long")
+    counted = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")), "token")
+    lists = counted.groupBy("id", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    rows = lists.select("id", "label", "n", F.posexplode(F.slice("t", F.lit(1), reach)).alias("at", "x")).filter("x.df > 1").select("id", "label", "n", "at", "x.token")
+    rows = materialise(rows, "prefixes")
+    shared = rows.groupBy("token", "label").agg(F.count("*").alias("k")).groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("k", F.col("label").alias("main"))).alias("c")).filter("labels > 1").select("token", "c.main")
+    rows = rows.join(shared, "token")
+    left = rows.filter("label <> main").select("token", F.col("id").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    need = F.ceil(percent * (F.col("n_a") + F.col("n")) / (100 + percent))
+    early = F.least(F.col("n_a") - F.col("at_a"), F.col("n") - F.col("at")) >= need
+    sizes = 100 * F.least("n", "n_a") >= percent * F.greatest("n", "n_a")
+    return left.join(rows, "token").filter((F.col("label_a") != F.col("label")) & sizes & early).select("a", F.col("id").alias("b"))
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
@@ -97,7 +132,8 @@ def components(links: DataFrame) -> DataFrame:
         large = sym.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        edges = materialise(small, "links")
+        before, edges = edges, materialise(small, "links")
+        discard(before)
         now = _state(edges)
         if now == state:
             break
@@ -132,26 +168,26 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     tested = materialise(buckets.filter("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialise(_verified(tested, sets, percent), "verified")
     labels = materialise(components(links), "labels")
+    ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for turn in range(CENTRES + 1):
         placed = buckets.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
         several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("label").alias("main"))).alias("c")).filter("x <> y").select("key", "c.centre", "c.main")
         open_ = placed.join(several, "key")
+        small, large = open_.filter(F.col("size") <= LARGE_BUCKET), open_.filter(F.col("size") > LARGE_BUCKET)
         if turn < CENTRES:
-            around = open_.filter((F.col("label") != F.col("main")) & (F.col("size") > LARGE_BUCKET)).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+            found = large.filter("label <> main").select(F.col("centre").alias("a"), F.col("id").alias("b"))
         else:
-            counts = open_.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", F.col("label").alias("main"))).alias("c")).select("key", "c.main")
-            members = open_.select("key", "id", "label").join(counts, "key")
-            outside = members.filter("label <> main").select("key", F.col("id").alias("a"), F.col("label").alias("label_a"))
-            around = outside.join(members.select("key", F.col("id").alias("b"), "label"), "key").filter("label_a <> label").select("a", "b")
-        pairs = around.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = materialise(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+            other = small.select("key", F.col("id").alias("b"), F.col("label").alias("label_b"))
+            direct = small.join(other, "key").filter("label <> label_b and id < b").select(F.col("id").alias("a"), "b")
+            found = direct.unionByName(_by_prefix(sets.join(large.select("id", "label").distinct(), "id"), percent))
+        fresh = materialise(ordered(ordered(found).join(ordered(tested), ["a", "b"], "left_anti")), "pairs")
         if fresh.isEmpty():
             continue
         tested = tested.unionByName(fresh)
         more = materialise(_verified(fresh, sets, percent), "verified")
         if not more.isEmpty():
-            links = links.unionByName(more)
-            labels = materialise(components(links), "labels")
+            known = labels.filter("id <> label").select(F.col("id").alias("a"), F.col("label").alias("b"))
+            labels = materialise(components(known.unionByName(more)), "labels")
     named = vertices.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("label", "id").alias("component"))
     out = prints.select("id", "n", "digest").join(named, "digest", "left").withColumn("component", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
