@@ -125,14 +125,14 @@ def final_scores(scored: DataFrame, scoring: str = "hybrid", k: int | None = Non
 def search(index: DataFrame, queries: DataFrame, k: int = 5, scoring: str = "hybrid", chunks: DataFrame | None = None, paper_filter: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
     """The first ``k`` chunks of each query: ``query_id, rank, chunk_id, score``.
 
-    ``paper_filter`` (``query_id, paper_id``) is applied after scores are made from the whole corpus, as ranks are the
+    ``paper_filter`` (``query_id, paper_id``, or ``paper_id`` for all queries) is applied after scores are made from the whole corpus, as ranks are the
     corpus's. ``scored`` are the queries' scores where they are known already. With ``chunks`` that have ``document_kind``, references go behind full texts among the chosen.
     """
     check_count("k", k)
     scored = scores(index, queries) if scored is None else scored
     out = final_scores(scored, scoring, None if paper_filter is not None else k)
     if paper_filter is not None:
-        out = out.join(chunks.select("chunk_id", "paper_id"), "chunk_id").join(paper_filter, ["query_id", "paper_id"], "left_semi").drop("paper_id")
+        out = out.join(chunks.select("chunk_id", "paper_id"), "chunk_id").join(paper_filter, paper_filter.columns, "left_semi").drop("paper_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     out = out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     if chunks is not None and "document_kind" in chunks.columns:

@@ -136,9 +136,8 @@ def rank_fusion(spark, sf_dir):
 def search_filtered(spark, sf_dir):
     """A paper filter: ranks are the corpus's, the filter comes after."""
     i = index(spark, sf_dir)
-    q = questions(spark, sf_dir)
-    german = q.select("query_id").join(i.chunks.filter("lang = 'de'").select("paper_id"), F.lit(True))
-    return lexical.search(i.weights, q, 5, "hybrid", i.chunks, german).withColumn("score", r6("score"))
+    german = i.chunks.filter("lang = 'de'").select("paper_id")
+    return lexical.search(i.weights, questions(spark, sf_dir), 5, "hybrid", i.chunks, german).withColumn("score", r6("score"))
 
 
 @query(f"WITH {_C}, {_Q} SELECT query_id, paper_id, count(*) AS n, round(max(score), 6) AS best FROM hy JOIN c USING (chunk_id) GROUP BY ALL")
