@@ -18,38 +18,21 @@ from .common import pick
 
 RECORD_SCHEMA = "record_id string, record_type string, warc_date string, target_uri string, refers_to string, content_type string, http_headers string, payload_digest string, block_digest string, content_length long, content string"
 
-#: From HTML to text, in order: pattern and replacement. The patterns mean the same to Java and RE2.
-TEXT_STEPS = [
-    (r"<!--[\s\S]*?-->", " "),
-    (r"(?i)<script\b[^>]*>[\s\S]*?</script\s*>", " "),
-    (r"(?i)<style\b[^>]*>[\s\S]*?</style\s*>", " "),
-    (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|article|section|aside|header|footer|nav|main|body|head|title|html|blockquote|pre|hr|form|figure)\b[^>]*>", "\n"),
-    (r"(?i)</?(?:td|th)\b[^>]*>", " "),
-    (r"<[A-Za-z/!?][^>]*>", ""),
-    (r"&nbsp;|&#160;", " "),
-    (r"&lt;|&#60;", "<"),
-    (r"&gt;|&#62;", ">"),
-    (r"&quot;|&#34;", '"'),
-    (r"&apos;|&#39;|&#x27;", "'"),
-    (r"&copy;|&#169;", "\u00a9"),
-    (r"&reg;|&#174;", "\u00ae"),
-    (r"&middot;|&#183;", "\u00b7"),
-    (r"&ndash;|&#8211;", "\u2013"),
-    (r"&mdash;|&#8212;", "\u2014"),
-    (r"&hellip;|&#8230;", "\u2026"),
-    (r"&lsquo;|&#8216;", "\u2018"),
-    (r"&rsquo;|&#8217;", "\u2019"),
-    (r"&ldquo;|&#8220;", "\u201c"),
-    (r"&rdquo;|&#8221;", "\u201d"),
-    (r"&laquo;|&#171;", "\u00ab"),
-    (r"&raquo;|&#187;", "\u00bb"),
-    (r"&euro;|&#8364;", "\u20ac"),
-    (r"&amp;|&#38;", "&"),
-    (r"[\x20\t\r\f\x0B]+", " "),
-    (r" ?\n ?", "\n"),
-    (r"\n+", "\n"),
-    (r"^[ \n]+", ""),
-    (r"[ \n]+$", ""),
+#: From HTML to text: patterns and replacements before and after entities are read. They mean the same to Java and RE2, and
+#: match only what changes (a single space between words is no match).
+TAG_STEPS = [
+    (r"(?i)<!--[\s\S]*?-->|<script\b[^<>]*>[\s\S]*?</script\s*>|<style\b[^<>]*>[\s\S]*?</style\s*>", " "),
+    (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|aside|header|footer|nav|main|body|head|title|html|blockquote|pre|hr|form|figure)\b[^<>]*>", "\n"),
+    (r"<[A-Za-z/!?][^<>]*>", ""),
+]
+#: Entities and their characters, the ampersand last.
+ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7", "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026",
+    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "#39": "'", "#34": '"', "#160": " ", "amp": "&",
+}
+SPACE_STEPS = [
+    (r"\x20[\x20\t\r\f\x0B]+|[\t\r\f\x0B][\x20\t\r\f\x0B]*", " "),
+    (r"\x20?\n[\x20\n]*", "\n"),
 ]
 TITLE = r"(?i)<title\b[^>]*>([^<]*)"
 LANG = r"(?i)<html\b[^>]*\blang=\"([A-Za-z-]*)\""
@@ -59,9 +42,13 @@ LINK = r"(?i)<a\b[^>]*\bhref="
 def html_text(html: Column) -> Column:
     """The readable text of a page: without comments, scripts, styles and tags, a line for each block."""
     out = html
-    for pattern, new in TEXT_STEPS:
+    for pattern, new in TAG_STEPS:
+        out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
+    for name, new in ENTITIES.items():
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(new))
+    for pattern, new in SPACE_STEPS:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
-    return out
+    return F.btrim(out, F.lit(" \n"))
 
 
 def _digest(content: Column) -> Column:
@@ -187,12 +174,16 @@ def parse_warc(files: DataFrame) -> DataFrame:
 
 
 def _sql_text(column: str) -> str:
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    literal = lambda x: "chr(10)" if x == "\n" else quote(x)
     out = column
-    for pattern, new in TEXT_STEPS:
-        quote = lambda x: "'" + x.replace("'", "''") + "'"
-        new = "chr(10)" if new == "\n" else quote(new)
-        out = f"regexp_replace({out}, {quote(pattern)}, {new}, 'g')"
-    return out
+    for pattern, new in TAG_STEPS:
+        out = f"regexp_replace({out}, {quote(pattern)}, {literal(new)}, 'g')"
+    for name, new in ENTITIES.items():
+        out = f"replace({out}, '&{name};', {quote(new)})"
+    for pattern, new in SPACE_STEPS:
+        out = f"regexp_replace({out}, {quote(pattern)}, {literal(new)}, 'g')"
+    return f"trim({out}, ' ' || chr(10))"
 
 
 def _sql_id(kind: str, *parts: str) -> str:
