@@ -53,3 +53,30 @@ def test_an_item_in_most_documents_is_still_found(spark):
     docs = spark.createDataFrame([(i, item if i % 3 else " ".join(words(rng, 40))) for i in range(300)], "doc_id long, text string")
     got = {r.doc_id for r in D.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {i for i in range(300) if i % 3}
+
+
+def pairs_of(spark, docs, items):
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    return {(r.doc_id, r.item_id): r.score for r in D.contamination(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_front_edited_copies_of_an_item_that_is_in_most_documents(spark):
+    rng = random.Random(4)
+    item = words(rng, 36)
+    edited = [w if k >= 18 or k % 3 != 2 else "changed" for k, w in enumerate(item)]
+    spaced = [x for w in item for x in (w, "between")]
+    rows = [" ".join(edited if i % 4 == 0 else spaced if i % 4 == 1 else item) + " " + " ".join(words(rng, 20)) for i in range(240)]
+    got = pairs_of(spark, list(enumerate(rows)), [(1, " ".join(item))])
+    assert set(got) == {(i, 1) for i in range(240)}
+    assert abs(got[0, 1] - 0.75) < 1e-9 and got[1, 1] >= 0.5
+
+
+def test_all_pairs_equal_brute_force(spark):
+    rng = random.Random(8)
+    common = words(rng, 12)
+    some = lambda n: [rng.choice(common) for _ in range(n)]
+    items = [some(rng.randint(1, 14)) for _ in range(25)]
+    docs = [[*some(rng.randint(0, 8)), *[w for w in rng.choice(items) if rng.random() < 0.7], *words(rng, rng.randint(0, 9))] for _ in range(80)]
+    got = pairs_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)], [(i, " ".join(x)) for i, x in enumerate(items)])
+    want = {(i, j): brute(x, d) / (2 * len(x)) for i, d in enumerate(docs) for j, x in enumerate(items)}
+    assert got == {k: v for k, v in want.items() if v >= 0.5}
