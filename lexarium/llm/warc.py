@@ -14,22 +14,26 @@ import zlib
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick
+from .common import let, pick
 
 RECORD_SCHEMA = "record_id string, record_type string, warc_date string, target_uri string, refers_to string, content_type string, http_headers string, payload_digest string, block_digest string, content_length long, content string"
 
 #: From HTML to text: patterns and replacements before and after entities are read. They mean the same to Java and RE2, and
 #: match only what changes (a single space between words is no match).
 TAG_STEPS = [
-    (r"(?i)<!--[\s\S]*?-->|<script\b[^<>]*>[\s\S]*?</script\s*>|<style\b[^<>]*>[\s\S]*?</style\s*>", " "),
-    (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|aside|header|footer|nav|main|body|head|title|html|blockquote|pre|hr|form|figure)\b[^<>]*>", "\n"),
-    (r"<[A-Za-z/!?][^<>]*>", ""),
+    (r"(?i)<!--[\s\S]*?-->|<script\b[^>]*>[\s\S]*?</script\s*>|<style\b[^>]*>[\s\S]*?</style\s*>|</?(?:td|th)\b[^>]*>", " "),
+    (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|article|section|aside|header|footer|nav|main|body|head|title|html|blockquote|pre|hr|form|figure)\b[^>]*>", "\n"),
+    (r"<[A-Za-z/!?][^>]*>", ""),
 ]
-#: Entities and their characters, the ampersand last.
+#: Named entities and their characters; numeric ones are read after them and the ampersand last.
 ENTITIES = {
     "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7", "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026",
-    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "#39": "'", "#34": '"', "#160": " ", "amp": "&",
+    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac",
 }
+#: A numeric entity after its "&#": hexadecimal or decimal digits, as many as a character can have.
+NUMERIC = r"^(?:[xX]0*([0-9a-fA-F]{1,6})|0*([0-9]{1,7}));"
+#: The characters that HTML reads the numbers 128 to 159 as.
+C1 = [c for c in range(128, 160) if c not in (129, 141, 143, 144, 157)]
 SPACE_STEPS = [
     (r"\x20[\x20\t\r\f\x0B]+|[\t\r\f\x0B][\x20\t\r\f\x0B]*", " "),
     (r"\x20?\n[\x20\n]*", "\n"),
@@ -39,6 +43,24 @@ LANG = r"(?i)<html\b[^>]*\blang=\"([A-Za-z-]*)\""
 LINK = r"(?i)<a\b[^>]*\bhref="
 
 
+def _numeric(text: Column) -> Column:
+    """``text`` with its numeric entities read; an ampersand becomes a named entity, and what is no character U+FFFD."""
+
+    def char(code: Column) -> Column:
+        plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        plain = F.translate(plain, "".join(map(chr, C1)), bytes(C1).decode("cp1252"))
+        real = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        return F.when(code == 38, "&amp;").when(code == 160, " ").when(real, plain).otherwise("\ufffd")
+
+    def piece(p: Column) -> Column:
+        digits = lambda k: F.regexp_extract(p, NUMERIC, k)
+        code = F.coalesce(F.conv(F.nullif(digits(1), F.lit("")), 16, 10).try_cast("long"), digits(2).try_cast("long"), F.lit(0))
+        return F.when(p.rlike("^(?:[xX][0-9a-fA-F]+|[0-9]+);"), F.concat(let(code, char), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
+
+    read = let(F.split(text, "&#"), lambda parts: F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece), "")))
+    return F.when(F.contains(text, F.lit("&#")), read).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
     """The readable text of a page: without comments, scripts, styles and tags, a line for each block."""
     out = html
@@ -46,6 +68,7 @@ def html_text(html: Column) -> Column:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
     for name, new in ENTITIES.items():
         out = F.replace(out, F.lit(f"&{name};"), F.lit(new))
+    out = F.replace(let(out, _numeric), F.lit("&amp;"), F.lit("&"))
     for pattern, new in SPACE_STEPS:
         out = F.regexp_replace(out, F.lit(pattern), F.lit(new))
     return F.btrim(out, F.lit(" \n"))
@@ -173,13 +196,25 @@ def parse_warc(files: DataFrame) -> DataFrame:
     return files.select("content").mapInPandas(parse, RECORD_SCHEMA)
 
 
+#: The steps of the SQL: it reads three numeric entities, breaks lines at cells, and takes no tag with a "<" in an attribute.
+SQL_TAG_STEPS = [
+    (r"(?i)<!--[\s\S]*?-->|<script\b[^<>]*>[\s\S]*?</script\s*>|<style\b[^<>]*>[\s\S]*?</style\s*>", " "),
+    (r"(?i)</?(?:p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|table|thead|tbody|tr|td|th|article|section|aside|header|footer|nav|main|body|head|title|html|blockquote|pre|hr|form|figure)\b[^<>]*>", "\n"),
+    (r"<[A-Za-z/!?][^<>]*>", ""),
+]
+SQL_ENTITIES = {
+    "nbsp": " ", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "copy": "\u00a9", "reg": "\u00ae", "middot": "\u00b7", "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026",
+    "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "laquo": "\u00ab", "raquo": "\u00bb", "euro": "\u20ac", "#39": "'", "#34": '"', "#160": " ", "amp": "&",
+}
+
+
 def _sql_text(column: str) -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     literal = lambda x: "chr(10)" if x == "\n" else quote(x)
     out = column
-    for pattern, new in TAG_STEPS:
+    for pattern, new in SQL_TAG_STEPS:
         out = f"regexp_replace({out}, {quote(pattern)}, {literal(new)}, 'g')"
-    for name, new in ENTITIES.items():
+    for name, new in SQL_ENTITIES.items():
         out = f"replace({out}, '&{name};', {quote(new)})"
     for pattern, new in SPACE_STEPS:
         out = f"regexp_replace({out}, {quote(pattern)}, {literal(new)}, 'g')"

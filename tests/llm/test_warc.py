@@ -1,6 +1,8 @@
 import gzip
 import re
 
+from pyspark.sql import functions as F
+
 from lexarium.llm import warc
 
 
@@ -36,3 +38,18 @@ def test_round_trip(spark, tmp_path):
         fixed = sorted(str(r) for r in rows)
         # derivatives carry no head of their own in the file
         assert [re.sub(r"http_headers='.*?', content", "content", x) if "'response'" not in x else x for x in fixed] == [re.sub(r"http_headers='.*?', content", "content", x) if "'response'" not in x else x for x in want]
+
+
+def test_text_of_entities_cells_and_odd_tags(spark):
+    import html
+
+    numbers = [38, 60, 62, 0x27, 169, 174, 183, 8211, 8212, 8216, 8217, 8220, 8221, 8230, 171, 187, 8364, 34, 39, 0x4E2D, 0x1F600, 128, 150, 55296, 1114112, 99999999999]
+    cases = [("".join(f"a{x};b" for x in (f"&#{n}", f"&#x{n:x}", f"&#X{n:05X}")), html.unescape("".join(f"a&#{n};b" * 3 for n in [n]))) for n in numbers]
+    cases += [
+        ("&#160;x&nbsp;y", "x y"), ("&amp;#60; &#38;lt; &#38;amp;", "&#60; &lt; &amp;"), ("&#; &#x; &#12 &#zz; 5 &#", "&#; &#x; &#12 &#zz; 5 &#"),
+        ("<table><tr><td>a</td><td>b</td></tr><tr><th>c</th></tr></table>", "a b\nc"),
+        ('<p>x <a title="x < y" href="q">link</a></p>', "x link"), ('a<script data-x="1<2">var t = 1;</script><style media="a<b">p{}</style>b', "a b"),
+    ]
+    rows = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, h string").select("i", warc.html_text(F.col("h")).alias("t"))
+    got = {r.i: r.t for r in rows.collect()}
+    assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
