@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, let, materialise, pick, words
 
 #: Share of a group's documents that the estimate fits, concentration steps, rows below which a group takes the estimate
-#: of all documents, and the chi-square probability beyond which a document is an outlier.
-SHARE, STEPS, MIN_GROUP, TAIL = 0.75, 3, 200, 1e-9
+#: of all documents, and the chi-square probability beyond which a document is an outlier: one clean document in a million.
+SHARE, STEPS, MIN_GROUP, TAIL = 0.75, 3, 200, 1e-6
 #: Least standard deviation of each transformed statistic; keeps the scatter regular where a statistic hardly varies.
 FLOORS = {"log_words": 0.35, "log_word_len": 0.08, "symbols": 0.6, "dup_lines": 0.6, "repeats": 0.5}
 FEATURES = list(FLOORS)

@@ -58,3 +58,13 @@ def test_odd_rows(spark, odd_documents):
     assert len(out) == odd_documents.count()
     assert all(r.base_failed for r in out if r.doc_id in (2, 3, 4))
     assert Q.quality_rules(odd_documents.limit(0)).count() == 0
+
+
+def test_a_document_beyond_the_quantile_of_one_in_a_million_goes(spark):
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(80, 400))), "en", "s") for i in range(400)]
+    rows += [(1000 + i, " ".join(word() + "#" * (k % 2) for k in range(200)), "en", "s") for i in range(5)]
+    got = {r.doc_id: r for r in Q.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(36 < got[1000 + i].distance2 < 50 and not got[1000 + i].kept for i in range(5))
+    assert sum(got[i].kept for i in range(400)) == 400
