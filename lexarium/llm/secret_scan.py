@@ -2,8 +2,8 @@
 
 A multipart credential is an identifier, a secret and perhaps an endpoint. Candidates of all kinds are found in one
 pass over each text; an interval join within scopes (blocks between blank lines) then pairs each weak candidate with
-complementary parts that begin within ``reach`` characters of it. The join is a RANGE frame over the candidates of a
-scope in order: it answers whether a partner exists without ever making the pairs.
+complementary parts that are within ``reach`` characters of it, those of parts between them not counted. The join is a
+RANGE frame over the candidates of a scope in order: it answers whether a partner exists without ever making the pairs.
 """
 
 from __future__ import annotations
@@ -17,14 +17,14 @@ from .common import let, pick
 ASSIGN = r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
-IDENTIFIER = r"(?<![A-Za-z0-9_])(?:[cC]lient_?[iI]d|[uU]ser(?:name)?|[lL]ogin|[aA]ccount(?:_?[iI]d)?|[aA]ccess_?[kK]ey_?[iI]d)[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_.@-]{3,}"
-BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{32,}+={0,2}"
+IDENTIFIER = r"(?<![A-Za-z0-9])(?:[cC][lL][iI][eE][nN][tT]_?[iI][dD]|[uU][sS][eE][rR](?:[nN][aA][mM][eE])?|[lL][oO][gG][iI][nN]|[aA][cC][cC][oO][uU][nN][tT](?:_?[iI][dD])?|[aA][cC][cC][eE][sS][sS]_?[kK][eE][yY]_?[iI][dD])[\"']?\x20?[:=]\x20?[\"']?[A-Za-z0-9_.@-]{3,}"
+BLOB = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{32,}+={0,2}"
 ENDPOINT = r"(?<![A-Za-z0-9+.-])(?:https?|ftp|postgres|postgresql|mysql|mongodb|redis|amqps?|ssh)://[^\x20\x09-\x0D\"'<>]+"
 BREAK = r"\n[\x20\t\r]*\n"
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "identifier": IDENTIFIER, "blob": BLOB, "endpoint": ENDPOINT, "break": BREAK}
 NAMES = list(KINDS)
 BASE = NAMES[:3]
-#: Characters between the starts of the parts of one credential.
+#: Characters between the parts of one credential that are in no part themselves.
 REACH = 400
 
 
@@ -85,7 +85,11 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "base_end": F.max(F.when(is_(*BASE), F.col("end"))).over(Window.partitionBy("k1", "k2").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)),
     }).filter(~is_("break"))
     placed = placed.filter(is_(*BASE) | F.col("base_end").isNull() | (F.col("base_end") <= F.col("start")))
-    near = Window.partitionBy("k1", "k2", "scope").orderBy("start").rangeBetween(-reach, reach)
+    # places are counted without the characters of parts, so that a long part sets nothing apart
+    earlier = Window.partitionBy("k1", "k2", "scope").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("after", F.greatest("start", F.max("end").over(earlier)))
+    placed = placed.withColumn("free", F.col("after") - F.coalesce(F.sum(F.greatest(F.col("end") - F.col("after"), F.lit(0))).over(earlier), F.lit(0)))
+    near = Window.partitionBy("k1", "k2", "scope").orderBy("free").rangeBetween(-reach, reach)
     parts = {"id": is_("access", "identifier"), "secret": is_("assign", "hex", "blob")}
     placed = placed.withColumns({f"near_{k}": F.max(c.cast("int")).over(near) == 1 for k, c in parts.items()})
     linked = is_(*BASE) | (is_("blob") & F.col("near_id")) | (is_("identifier") & F.col("near_secret")) | (is_("endpoint") & F.col("near_id") & F.col("near_secret"))
