@@ -77,17 +77,27 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 def title_matches(candidates: DataFrame, titles: DataFrame, threshold: float = SIMILAR) -> DataFrame:
     """``candidate_id, title_id, ratio``: the best fuzzy title of each candidate at the threshold or above; ties by id.
 
-    Ratio is that of matching blocks (Ratcliff/Obershelp), so a pair at ratio r has r * (m + n) / 2 characters in common:
-    the shorter has at least r / (2 - r) of the longer's length, and of five equal parts of the shorter at least one is
-    untouched when few characters differ. Pairs are blocked by the length bound and by a common word; pairs without one
-    can't reach 0.85 in titles of five words or more.
+    Ratio is that of matching blocks (Ratcliff/Obershelp), so a pair at ratio r has c = r * (m + n) / 2 characters in common,
+    in order: the shorter has at least r / (2 - r) of the longer's length. A character of one title that isn't matched breaks
+    three of its 3-grams at most, one of the other title two, so 5c - 2(m + n) - 2 3-grams are common. Pairs with fewer are
+    left out; those that need none (24 characters together at 0.85) are met by length. Both are exact. Empty titles match none.
     """
-    left = candidates.select("candidate_id", normalize_title(F.col("title")).alias("x"))
-    right = titles.select("title_id", normalize_title(F.col("title")).alias("y"))
-    word = lambda c: F.explode(F.array_distinct(F.split(c, " "))).alias("word")
-    pairs = left.select("candidate_id", "x", word(F.col("x"))).join(right.select("title_id", "y", word(F.col("y"))), "word").filter("word <> ''")
+    left = candidates.select("candidate_id", normalize_title(F.col("title")).alias("x")).filter("x <> ''").distinct()
+    right = titles.select("title_id", normalize_title(F.col("title")).alias("y")).filter("y <> ''").distinct()
+    m, n = F.length("x"), F.length("y")
     bound = threshold / (2 - threshold)
-    pairs = pairs.filter((F.least(F.length("x"), F.length("y")) >= bound * F.greatest(F.length("x"), F.length("y")))).select("candidate_id", "title_id", "x", "y").distinct()
+    alike = F.least(m, n) >= bound * F.greatest(m, n) - 1e-9
+    need = 5 * F.ceil(threshold * (m + n) / 2 - 1e-9) - 2 * (m + n) - 2
+
+    def grams(rows: DataFrame, id_: str, text: str, count: str) -> DataFrame:
+        each = F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3))))
+        return rows.select(id_, text, F.explode(each).alias("gram")).groupBy(id_, text, "gram").agg(F.count("*").alias(count))
+
+    both = grams(left, "candidate_id", "x", "nx").join(grams(right, "title_id", "y", "ny"), "gram").filter(alike)
+    long = both.groupBy("candidate_id", "title_id", "x", "y").agg(F.sum(F.least("nx", "ny")).alias("shared")).filter((need >= 1) & (F.col("shared") >= need)).drop("shared")
+    lengths = F.explode(F.sequence(F.ceil(bound * m - 1e-9), F.floor(m / bound + 1e-9))).alias("n")
+    short = left.select("candidate_id", "x", lengths).join(right.withColumn("n", n.cast("long")), "n").filter(need < 1).drop("n")
+    pairs = long.unionByName(short.select(*long.columns))
     scored = pairs.withColumn("ratio", ratio("x", "y")).filter(F.col("ratio") >= threshold)
     return scored.groupBy("candidate_id").agg(F.min_by(F.struct("title_id", "ratio"), F.struct(-F.col("ratio"), F.col("title_id"))).alias("b")).select("candidate_id", "b.title_id", "b.ratio")
 

@@ -456,8 +456,8 @@ def title_matches(spark, sf_dir):
     """Fuzzy titles: part names with a letter changed against all distinct part names."""
     p = table(spark, sf_dir, "part")
     titles = p.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("title_id"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate_id"), F.substring("text", 1, 60).alias("title"))
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("title_id"), F.translate(F.substring("text", 1, 60), "q", "k").alias("title"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("candidate_id"), F.col("text").alias("title"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("title_id"), F.translate("text", "q", "k").alias("title"))
     return metadata.title_matches(asked, items.unionByName(titles.select("title_id", "title")))
 
 

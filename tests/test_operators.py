@@ -182,3 +182,23 @@ def test_evaluation(spark):
     b = spark.createDataFrame([("l", "a", 1), ("l", "b", None)], "label string, qid string, rank int")
     n = spark.createDataFrame([("l", "a", None), ("l", "b", 2)], "label string, qid string, rank int")
     assert {r.qid: r.severity for r in evaluation.compare_ranks(b, n).collect()} == {"a": "regression", "b": "new"}
+
+
+def test_title_matches_equal_all_pairs(spark):
+    import difflib
+
+    rng = random.Random(6)
+    base = ["probabilistic transformation representations understanding hierarchical", "graph search", "deep model", "abc", "ab", "a b c d e f g", "retrieval over large document collections"]
+    edit = lambda t: "".join(c if rng.random() > 0.06 else rng.choice(["", "x", c + "y"]) for c in t)
+    titles = [(f"t{i:03}", edit(rng.choice(base)).strip()) for i in range(120)]
+    asked = [("c000", " ".join(w + "s" for w in base[0].split()))] + [(f"c{i:03}", edit(rng.choice(base)).strip()) for i in range(1, 60)]
+    titles.append(("t999", base[0]))
+    norm = lambda rows, k: {r[0]: r[1] for r in spark.createDataFrame(rows, f"{k} string, title string").select(k, metadata.normalize_title(F.col("title"))).collect()}
+    x, y = norm(asked, "candidate_id"), norm(titles, "title_id")
+    want = {}
+    for c, a in x.items():
+        best = min(((-difflib.SequenceMatcher(None, a, b).ratio(), t) for t, b in y.items() if a and b), default=(0, ""))
+        if -best[0] >= metadata.SIMILAR:
+            want[c] = best[1]
+    got = metadata.title_matches(spark.createDataFrame(asked, "candidate_id string, title string"), spark.createDataFrame(titles, "title_id string, title string")).collect()
+    assert {r.candidate_id: r.title_id for r in got} == want and "c000" in want
