@@ -61,7 +61,8 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import derive, responses
 
     out = derive(responses(table(spark, sf_dir, "pages")), keep=["page_id"])
-    return out.select("page_id", "record_id", "record_type", "target_uri", "refers_to", "content_type", "block_digest", "content_length", "content")
+    text = {c: F.col(c).cast("string") for c in ("http_headers", "content")}  # the pages of the table are UTF-8
+    return out.withColumns(text).drop("other_headers", "error")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
