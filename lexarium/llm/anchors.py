@@ -13,10 +13,16 @@ from .shingles import mix
 
 #: Bytes in an anchor, and bytes of text that are handled at once.
 K, CHUNK = 32, 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK + 512, _BASE, np.uint64)]))
-_INVERSES = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK + 512, _INVERSE, np.uint64)]))
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(CHUNK + 512, base, np.uint64)]))
+
+
+#: Powers of two odd bases and of their inverses: running sums with them give the hash of any run of bytes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_POWERS, _POWERS_2 = (_powers(b) for b in _BASES)
+_INVERSES, _INVERSES_2 = (_powers(pow(b, -1, 1 << 64)) for b in _BASES)
 
 
 def _smallest(v: np.ndarray, w: int) -> np.ndarray:
@@ -30,15 +36,16 @@ def _smallest(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, content hash, first start and number of starts of the segments of one text, in order."""
+def segments(text: bytes, width: int) -> tuple[np.ndarray, ...]:
+    """Anchor hash, two hashes of the content, first start, number of starts, and the anchor's place from the first start, of the segments of one text in order."""
     out = []
     w = width - K + 1
     data = np.frombuffer(text, np.uint8)
     for at in range(0, max(0, len(data) - width + 1), CHUNK):
-        part = data[at : at + CHUNK + width - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)], out=sums[1:])
+        part = data[at : at + CHUNK + width - 1].astype(np.uint64) + np.uint64(1)
+        sums, sums_2 = np.zeros(len(part) + 1, np.uint64), np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * _POWERS[: len(part)], out=sums[1:])
+        np.cumsum(part * _POWERS_2[: len(part)], out=sums_2[1:])
         grams = mix((sums[K:] - sums[:-K]) * _INVERSES[: len(part) - K + 1])
         # ties go to the first place: it takes the low bits of what is compared
         place = np.arange(len(grams), dtype=np.uint64)
@@ -50,8 +57,10 @@ def segments(text: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         first = np.flatnonzero(new)
         n = np.diff(first, append=len(anchor))
         end = first + n + width - 1
-        content = mix((sums[end] - sums[first]) * _INVERSES[first] + n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
-        out.append((grams[anchor[first]], content, first + at, n))
+        sized = n.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
+        content = mix((sums[end] - sums[first]) * _INVERSES[first] + sized)
+        content_2 = mix((sums_2[end] - sums_2[first]) * _INVERSES_2[first] + sized)
+        out.append((grams[anchor[first]], content, content_2, first + at, n, anchor[first] - first))
     if not out:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.empty(0, t) for t in (np.uint64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(x) for x in zip(*out))

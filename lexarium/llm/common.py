@@ -109,6 +109,8 @@ def spread_join(rows: DataFrame, side: DataFrame, on: list[str], n_rows: int, si
     they are; the others are shuffled, and none has more than that share. Both inputs should be written tables.
     """
     heavy = F.col(size) > max(HEAVY_ROWS, n_rows / HEAVY_KEYS)
+    if side.filter(heavy).isEmpty():
+        return rows.join(side, on, how)
     few, many = F.broadcast(side.filter(heavy)), side.filter(~heavy)
     return rows.join(few, on).unionByName(rows.join(few.select(*on), on, "left_anti").join(many, on, how))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, pick
+from .common import discard, materialise, pick, spread_join
 from .shingles import band_keys, shingle_sets, superminhash
 
 #: Signature places, and places in a band: a pair at similarity 0.75 shares no band with probability 2e-6.
@@ -151,7 +151,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     Nulls: a null text, like one without words, has an empty set and is linked with nothing; a row without id is
     linked with nothing (component null, kept). Repeated rows are copies: all share the component, and rows with its
-    id are kept. An empty table gives no rows. Texts are read whole; further columns are ignored.
+    id are kept. Rows that share an id but not a text are one vertex: linked by any of the texts, and in one component. An empty table gives no rows. Texts are read whole; further columns are ignored.
     """
     rows = pick(docs, id=id_col, text=text_col)
     prints = materialise(_fingerprints(rows).withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))), "fingerprints")
@@ -160,7 +160,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     vertices = materialise(vertices, "vertices")
     keys = vertices.select(F.explode("bands").alias("key"), "id")
     shared = keys.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count("*").alias("size")).filter("centre <> last").drop("last")
-    buckets = materialise(keys.join(shared, "key"), "buckets")
+    shared = materialise(shared, "shared")
+    # a band of a large group of near copies is one key
+    buckets = materialise(spread_join(keys, shared, ["key"], PLACES // ROWS * vertices.count()), "buckets")
+    n_buckets = buckets.count()
+    discard(shared)
     candidates = buckets.select("id").distinct()
     # of copies of a text, the vertex's own row alone goes on: (id, text) rows of other ids aren't candidates
     sets = materialise(_sets(rows.join(candidates, "id", "left_semi")), "sets")
@@ -170,9 +174,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     labels = materialise(components(links), "labels")
     ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     for turn in range(CENTRES + 1):
-        placed = buckets.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label"))
-        several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("label").alias("main"))).alias("c")).filter("x <> y").select("key", "c.centre", "c.main")
-        open_ = placed.join(several, "key")
+        placed = materialise(buckets.join(labels, "id", "left").select("key", "id", "size", F.coalesce("label", "id").alias("label")), "placed")
+        several = placed.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.first("size").alias("rows"), F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), F.col("id").alias("centre"), F.col("label").alias("main"))).alias("c")).filter("x <> y").select("key", "rows", "c.centre", "c.main")
+        open_ = spread_join(placed, materialise(several, "several"), ["key"], n_buckets, "rows").drop("rows")
         small, large = open_.filter(F.col("size") <= LARGE_BUCKET), open_.filter(F.col("size") > LARGE_BUCKET)
         if turn < CENTRES:
             found = large.filter("label <> main").select(F.col("centre").alias("a"), F.col("id").alias("b"))

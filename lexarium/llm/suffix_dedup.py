@@ -1,8 +1,9 @@
 """Suffix-array deduplication: bytes in strings that start earlier too.
 
 Equal strings share an anchor (see ``anchors``), so a text is cut into segments by anchor and only segments of one
-anchor hash are compared. Segments with equal bytes are one, with the first place that they are found at. The different
-segments of a group go through a suffix array: on its Burrows-Wheeler transform, intervals are extended backwards
+anchor hash are compared. Segments with equal bytes (by two 64-bit hashes beside the anchor's) are one, with the first place
+that they are found at. The different segments of a group, which is cut by the content around its anchor until it fits,
+go through a suffix array: on its Burrows-Wheeler transform, intervals are extended backwards
 breadth first, which gives common prefixes by increasing value; the search stops at the minimum length, and the borders
 that no step has reached then hold longer common prefixes.
 """
@@ -10,16 +11,17 @@ that no step has reached then hold longer common prefixes.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import segments
-from .common import discard, materialise, pick
+from .anchors import K, segments
+from .common import discard, materialise, pick, spread_join
 
-#: Bytes that must repeat, symbols that one suffix array takes, and segments above which a group is cut up by content.
+#: Bytes that must repeat, symbols that one suffix array takes, and different segments above which a group is cut by content.
 WIDTH, POOL, LARGE_GROUP = 100, 400_000, 4_000
 
 
@@ -139,53 +141,99 @@ def _key(rows: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.concat(F.when(F.col("id").isNull(), F.lit("z")).otherwise(F.concat(F.lit("a"), number)), F.lit(":"), text_hash))
 
 
+def halves(data: bytes, at: int, known: int, width: int) -> list[tuple[bytes, int, int, bytes, int]]:
+    """A piece cut in two by the content next to its anchor: (group, first start, number of starts, anchor, known bytes) of each part.
+
+    All strings of a group's pieces hold its anchor: the ``known`` bytes from ``at`` on. Of the ``slack`` other bytes, a
+    string has at least half before the anchor or more than the rest after it. So equal strings go to the same side,
+    and there have those next bytes in common too, by which the group is cut; the anchor grows by them.
+    """
+    n, slack = len(data) - width + 1, width - known
+    m = (slack + 1) // 2
+    out = []
+    for side, first, count, anchor, grown in ((b"<", 0, min(n, at - m + 1), at - m, known + m), (b">", max(0, at - m + 1), n - max(0, at - m + 1), at, known + slack - m + 1)):
+        if count > 0:
+            group = hashlib.blake2b(side + data[anchor : anchor + grown], digest_size=16).digest()
+            out.append((group, first, count, anchor - first, grown))
+    return out
+
+
 def repeated_starts(rows: DataFrame, width: int = WIDTH) -> DataFrame:
     """``key, start, n``: runs of starts whose strings of ``width`` bytes also start earlier. ``rows``: key (unique with its text), text."""
     kind = dict(rows.dtypes)["key"]
+    key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
 
     def cut(batches):
         for batch in batches:
             parts = [segments(t.encode(), width) for t in batch.column("text").to_pylist()]
             row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-            h, content, start, n = (np.concatenate(x) for x in zip(*parts))
+            h, c1, c2, start, n, anchor = (np.concatenate(x) for x in zip(*parts))
             for at in range(0, len(row), 100_000):
                 to = slice(at, at + 100_000)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[to].view(np.int64)), pa.array(content[to].view(np.int64)), batch.column("key").take(pa.array(row[to])), pa.array(start[to].astype(np.int32)), pa.array(n[to].astype(np.int16))],
-                    names=["h", "content", "key", "start", "n"],
+                    [*[pa.array(x[to].view(np.int64)) for x in (h, c1, c2)], batch.column("key").take(pa.array(row[to])), pa.array(start[to].astype(np.int32)), *[pa.array(x[to].astype(np.int16)) for x in (n, anchor)]],
+                    names=["h", "c1", "c2", "key", "start", "n", "anchor"],
                 )
 
-    places = rows.select("key", "text").mapInArrow(cut, f"h long, content long, key {kind}, start int, n short")
-    twice = places.groupBy("h").agg(F.count("*").alias("places")).filter("places > 1").select("h")
-    places = materialise(places.join(twice.hint("shuffle_hash"), "h"), "places")
+    places = materialise(rows.select("key", "text").mapInArrow(cut, f"h long, c1 long, c2 long, key {kind}, start int, n short, anchor short"), "places")
+    twice = materialise(places.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "twice")
+    shared = materialise(spread_join(places, twice, ["h"], places.count()).drop("size"), "shared")
+    discard(places, twice)
 
     # equal segments are one, at their first place
-    at = F.struct("key", "start")
-    distinct = places.groupBy("h", "content").agg(F.min(at).alias("first"), F.first("n").alias("n"))
-    several = distinct.groupBy("h").agg(F.count("*").alias("segments"))
-    distinct = materialise(distinct.join(several, "h").select("h", "content", "first", "n", "segments"), "segments")
-    copies = places.join(distinct.select("h", "content", "first"), ["h", "content"]).filter(at != F.col("first")).select("key", "start", F.col("n").cast("int").alias("n"))
-    marks = materialise(copies, "marks")
-    discard(places)
+    at, content = F.struct("key", "start"), ["h", "c1", "c2"]
+    distinct = materialise(shared.groupBy(*content).agg(F.min(at).alias("first"), F.first("n").alias("n"), F.first("anchor").alias("anchor"), F.count("*").alias("size")), "segments")
+    several = materialise(distinct.groupBy("h").agg(F.count("*").alias("members")).filter("members > 1"), "groups")
+    copied = distinct.filter("size > 1").select(*content, "first", "size")
+    copies = spread_join(shared, copied, content, shared.count()).filter(at != F.col("first")).select("key", "start", F.col("n").cast("int").alias("n"))
+    marks = [materialise(copies, "marks")]
+    discard(shared)
 
     # bytes of the segments that others of their group differ from
-    asked = distinct.filter("segments > 1").groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("h", F.col("first.start").alias("start"), "n", "segments")).alias("asked"))
+    asked = spread_join(distinct.drop("size"), several, ["h"], distinct.count(), "members")
+    asked = asked.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("h", F.col("first.start").alias("start"), "n", "anchor", "members")).alias("asked"))
+    schema = f"g binary, key {kind}, start int, anchor int, known int, bytes binary, members long"
 
     def fetch(batches):
         for batch in batches:
-            out = ([], [], [], [], [])
+            out = []
             for key, text, asked in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "asked"))):
                 data = text.encode()
-                for x in asked:
-                    for column, value in zip(out, (x["h"], key, x["start"], data[x["start"] : x["start"] + x["n"] + width - 1], x["segments"])):
-                        column.append(value)
-            types = (pa.int64(), batch.schema.field("key").type, pa.int32(), pa.binary(), pa.int64())
-            for at in range(0, len(out[0]), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 50_000], t) for c, t in zip(out, types)], names=["h", "key", "start", "bytes", "segments"])
+                out += [(x["h"].to_bytes(8, "big", signed=True), key, x["start"], x["anchor"], K, data[x["start"] : x["start"] + x["n"] + width - 1], x["members"]) for x in asked]
+            types = (pa.binary(), key_type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+            for first in range(0, len(out), 50_000):
+                columns = zip(*out[first : first + 50_000])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["g", "key", "start", "anchor", "known", "bytes", "members"])
 
     texts = rows.select("key", "text")
     texts = texts.dropDuplicates(["key"]) if kind == "string" else texts  # only such keys can repeat
-    pieces = materialise(texts.join(asked, "key").mapInArrow(fetch, f"h long, key {kind}, start int, bytes binary, segments long"), "pieces")
+    pieces = materialise(texts.join(asked, "key").mapInArrow(fetch, schema), "pieces")
+    discard(distinct, several)
+
+    def split(batches):
+        """Pieces of groups that are too large, cut in two, with a digest of what must agree for two parts to be equal."""
+        for batch in batches:
+            out = []
+            for key, start, anchor, known, data in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "anchor", "known", "bytes"))):
+                for group, first, count, place, grown in halves(data, anchor, known, width):
+                    part = data[first : first + count + width - 1]
+                    out.append((group, key, start + first, place, grown, part, hashlib.blake2b(group + place.to_bytes(2, "big") + part, digest_size=16).digest()))
+            types = (pa.binary(), key_type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["g", "key", "start", "anchor", "known", "bytes", "d"])
+
+    # groups that are too large are cut until they fit: after seven rounds at most all strings of a group are equal, and so one
+    pools = [pieces.filter(F.col("members") <= LARGE_GROUP)]
+    while not (large := pieces.filter(F.col("members") > LARGE_GROUP)).isEmpty():
+        parts = materialise(large.mapInArrow(split, schema.replace("members long", "d binary")), "parts")
+        firsts = materialise(parts.groupBy("d").agg(F.min(at).alias("first"), F.count("*").alias("size")), "firsts")
+        named = materialise(spread_join(parts, firsts, ["d"], parts.count()).drop("size"), "named")
+        marks.append(named.filter(at != F.col("first")).select("key", "start", (F.octet_length("bytes") - (width - 1)).cast("int").alias("n")))
+        own = named.filter(at == F.col("first")).drop("first", "d")
+        sizes = materialise(own.groupBy("g").agg(F.count("*").alias("members")).filter("members > 1"), "groups")
+        pieces = materialise(spread_join(own, sizes, ["g"], named.count(), "members"), "pieces")
+        discard(parts, firsts, sizes)
+        pools.append(pieces.filter(F.col("members") <= LARGE_GROUP))
 
     def compare(batches):
         """Pools of whole groups; the rows come sorted by group."""
@@ -197,32 +245,19 @@ def repeated_starts(rows: DataFrame, width: int = WIDTH) -> DataFrame:
             keys, starts, ns = zip(*found) if found else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(starts, pa.int32()), pa.array(ns, pa.int32())], names=["key", "start", "n"])
 
-        key_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
         for batch in batches:
-            for h, key, start, data in zip(*(batch.column(c).to_pylist() for c in ("h", "key", "start", "bytes"))):
-                if size >= POOL and h != last:
+            for g, key, start, data in zip(*(batch.column(c).to_pylist() for c in ("g", "key", "start", "bytes"))):
+                if size >= POOL and g != last:
                     yield flush()
                     pool, size = [], 0
                 pool.append((key, start, data))
                 size += len(data) + 1
-                last = h
+                last = g
         yield flush()
 
-    small = pieces.filter(F.col("segments") <= LARGE_GROUP).select("h", "key", "start", "bytes")
-    compared = small.repartition("h").sortWithinPartitions("h").mapInArrow(compare, f"key {kind}, start int, n int")
-
-    def strings(batches):
-        """Every string of a segment by its digest, for groups too large for one suffix array."""
-        for batch in batches:
-            for key, start, data in zip(*(batch.column(c).to_pylist() for c in ("key", "start", "bytes"))):
-                digests = [hashlib.blake2b(data[k : k + width], digest_size=16).digest() for k in range(len(data) - width + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([key] * len(digests), batch.schema.field("key").type), pa.array(np.arange(start, start + len(digests)), pa.int32())], names=["digest", "key", "start"])
-
-    large = pieces.filter(F.col("segments") > LARGE_GROUP).select("key", "start", "bytes")
-    single = large.mapInArrow(strings, f"digest binary, key {kind}, start int")
-    firsts = single.groupBy("digest").agg(F.min(at).alias("first"), F.count("*").alias("places")).filter("places > 1").drop("places")
-    by_string = single.join(firsts, "digest").filter(at != F.col("first")).select("key", "start", F.lit(1).alias("n"))
-    return marks.unionByName(compared).unionByName(by_string)
+    whole = reduce(DataFrame.unionByName, pools).select("g", "key", "start", "bytes")
+    compared = whole.repartition("g").sortWithinPartitions("g").mapInArrow(compare, f"key {kind}, start int, n int")
+    return reduce(DataFrame.unionByName, [*marks, compared])
 
 
 def dedup_substrings(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:

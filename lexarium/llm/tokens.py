@@ -1,7 +1,7 @@
 """Token counts with a digest cache.
 
-Texts are joined by (content digest, tokenizer digest) to stored counts; only the distinct texts that miss
-are encoded, and their counts are appended to the cache for later runs.
+Digests of texts are joined by (content digest, tokenizer digest) to stored counts before any text moves; only the
+distinct texts that miss are fetched and encoded, and their counts are appended to the cache for later runs.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, scratch
+from .common import discard, materialise, pick, scratch, spread_join
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
 #: Entries a worker's cache of unit counts may have before it is emptied, and the longest unit that it takes.
@@ -26,6 +26,8 @@ WORD = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)
 BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Characters of text that a worker handles at a time.
 BLOCK_CHARS = 1_000_000
+#: Missing digests that are broadcast to pick their texts where they are; more are met by a shuffle of all distinct texts.
+FEW_MISSES = 20_000
 
 
 class UnitCounter:
@@ -180,7 +182,9 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
     cache_path = cache_path or scratch(spark, "token-cache")
     version = tokenizer_digest(tokenizer_file)
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.select("id", "text", F.unhex(F.sha2("text", 256)).alias("digest"))
+    rows = rows.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    places = materialise(rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "token-places")
+    digests = materialise(places.groupBy("digest").agg(F.count("*").alias("size")), "token-digests")
 
     spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
 
@@ -189,16 +193,23 @@ def token_counts(docs: DataFrame, tokenizer_file: str, cache_path: str | None =
         # two runs may have appended the same text: both counts are the same
         return cache.groupBy(F.col("content_digest").alias("digest")).agg(F.max("n_tokens").alias("n_tokens"))
 
-    # one text for each digest leaves a map task, whatever the number of copies
-    distinct = rows.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(stored(), "digest", "left_anti")
-
     def encode(batches):
         count = counter(tokenizer_file).count
         for batch in batches:
             n = count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["content_digest", "tokenizer_digest", "n_tokens"])
 
-    misses.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    sizes = rows.select("id", "digest", F.octet_length("text").cast("long").alias("n_bytes"))
-    return sizes.join(stored(), "digest", "left").select(F.col("id").alias(id_col), "n_bytes", "n_tokens")
+    missing = materialise(digests.select("digest").join(stored(), "digest", "left_anti"), "token-misses")
+    n_missing = missing.count()
+    if n_missing:
+        few = n_missing <= FEW_MISSES
+        asked = rows.select("digest", "text")
+        asked = asked.join(F.broadcast(missing), "digest", "left_semi") if few else asked
+        # one text for each digest leaves a map task, whatever the number of copies
+        distinct = asked.groupBy("digest").agg(F.first("text").alias("text"))
+        distinct = distinct if few else distinct.join(missing, "digest", "left_semi")
+        distinct.mapInArrow(encode, CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    known = materialise(digests.join(stored(), "digest"), "token-counts")
+    discard(missing, digests)
+    out = spread_join(places, known, ["digest"], places.count())
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens")

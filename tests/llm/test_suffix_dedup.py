@@ -36,7 +36,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("large", [4_000, 3])
+@pytest.mark.parametrize("large", [4_000, 3, 1])
 def test_removed_bytes_equal_brute_force(spark, monkeypatch, large):
     monkeypatch.setattr(suffix_dedup, "LARGE_GROUP", large)
     rows = corpus(large)
@@ -49,11 +49,36 @@ def test_equal_strings_share_an_anchor():
     common = "".join(rng.choice("abcdef ") for _ in range(130)).encode()
     a = bytes(rng.randrange(97, 123) for _ in range(777)) + common
     b = common + bytes(rng.randrange(97, 123) for _ in range(99))
-    at = lambda text, start: next(int(h) for h, _, s, n in zip(*segments(text, 100)) if s <= start < s + n)
+    at = lambda text, start: next(int(h) for h, _, _, s, n, _ in zip(*segments(text, 100)) if s <= start < s + n)
     for k in range(31):
         assert at(a, 777 + k) == at(b, k)
 
 
+def test_parts_keep_equal_strings_together():
+    """Each start of a piece is in one part; equal strings are in parts of one group with the anchor at one distance."""
+    rng = random.Random(7)
+    for _ in range(50):
+        anchor = bytes(rng.randrange(97, 99) for _ in range(32))
+        around = bytes(rng.randrange(97, 99) for _ in range(68))
+        pieces = [(around[-rng.randint(0, 68) :] + anchor + around, 0, 32) for _ in range(3)]
+        pieces = [(d[: len(d) - rng.randint(0, 20)], d.index(anchor), 32) for d, _, _ in pieces]
+        pieces = [(d, a, k) for d, a, k in pieces if len(d) >= 100 and a <= 68]
+        for _ in range(8):
+            seen, parts = {}, []
+            for data, at, known in pieces:
+                if known == 100:
+                    continue
+                cut = suffix_dedup.halves(data, at, known, 100)
+                n = len(data) - 99
+                assert sorted(s for _, first, count, _, _ in cut for s in range(first, first + count)) == list(range(max(0, at + known - 100), n))
+                for group, first, count, place, grown in cut:
+                    for s in range(first, first + count):
+                        assert seen.setdefault(data[s : s + 100], group) == group
+                    parts.append((data[first : first + count + 99], place, grown))
+            pieces = parts
+        assert all(len(d) == 100 for d, _, k in pieces if k == 100)
+
+
 def test_kernel_equals_brute_force():
     rng = random.Random(1)
     for _ in range(60):
