@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import pick
 from .shingles import blocks, marks_as_white, word_hashes
@@ -217,7 +218,7 @@ def _hits(block: Block, texts: list[str | None], threshold: float, finder: Finde
 
 def _blocks(rows: DataFrame, benchmark: DataFrame, threshold: float, item_col: str, text_col: str):
     """Blocks of the benchmark with their seeds by the counts over all rows, one after another."""
-    items = pick(benchmark, item=item_col, text=text_col)
+    items = pick(benchmark, item=item_col, text=text_col).distinct()  # so that a block is no larger than its share
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = max(1, math.ceil(size / BLOCK_BYTES))
     for b in range(n_blocks):
@@ -238,12 +239,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     pairs at the threshold are found; ``n_seeds`` counts the words of the document that are the item's.
 
     Nulls: null or wordless texts and items have no matches; null ids are carried. Repeated rows each have their
-    matches; items of one text each match. Empty tables give no rows. Texts are read whole; further columns are ignored.
+    matches; items of one text each match, repeated rows of the benchmark once. Empty tables give no rows. Texts are read whole; further columns are ignored.
     """
     rows = pick(docs, id=id_col, text=text_col)
     kinds = dict(rows.dtypes) | {"item": dict(benchmark.dtypes)[item_col]}
     schema = f"{id_col} {kinds['id']}, {item_col} {kinds['item']}, score double, n_seeds long, first_word long, end_word long"
-    item_type = pa.int64() if kinds["item"] in ("bigint", "int") else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item_col].dataType)
 
     def search(block: Block):
         def run(batches):
@@ -265,7 +266,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that hold a copy of a test item. Columns must have distinct names."""
+    """``docs`` without the rows that hold a copy of a test item. Columns must have distinct names.
+
+    Nulls: a row with a null text stays, as does any row beside null or wordless items. Repeated rows go or stay together.
+    Empty tables: no rows of an empty ``docs``, all rows beside an empty benchmark. Texts are read whole.
+    """
     rows = pick(docs, text=text_col)
     out = docs
 

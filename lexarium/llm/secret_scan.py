@@ -4,6 +4,7 @@ A multipart credential is an identifier, a secret and perhaps an endpoint. Candi
 pass over each text; an interval join within scopes (blocks between blank lines) then pairs each weak candidate with
 complementary parts that are within ``reach`` characters of it, those of parts between them not counted. The join is a
 RANGE frame over the candidates of a scope in order: it answers whether a partner exists without ever making the pairs.
+Linked parts that follow one another within reach are one credential.
 """
 
 from __future__ import annotations
@@ -61,11 +62,12 @@ def _keys(id_: Column, text: Column) -> dict[str, Column]:
 
 
 def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """Spans of each distinct (id, text) that has any: ``k1, k2, spans`` with ``spans`` an array of (start, kind, end), sorted.
+    """Spans of each distinct (id, text) that has any: ``k1, k2, spans`` with ``spans`` an array of (start, kind, end, credential), sorted.
 
     Positions are code points, ends exclusive. Strong kinds are always reported. A weak blob needs an identifier within
     reach, a weak identifier a secret, an endpoint both; parts must be in the same scope. Weak candidates that a strong
-    span overlaps from before are part of it and not listed.
+    span overlaps from before are part of it and not listed. ``credential`` is (scope, number within the scope) of the
+    chain of parts, each within reach of the one before, that holds an identifier and a secret; null for other spans.
     """
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     text = F.col("text")
@@ -93,7 +95,15 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = {"id": is_("access", "identifier"), "secret": is_("assign", "hex", "blob")}
     placed = placed.withColumns({f"near_{k}": F.max(c.cast("int")).over(near) == 1 for k, c in parts.items()})
     linked = is_(*BASE) | (is_("blob") & F.col("near_id")) | (is_("identifier") & F.col("near_secret")) | (is_("endpoint") & F.col("near_id") & F.col("near_secret"))
-    return placed.filter(linked).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end")))).alias("spans"))
+    chain = Window.partitionBy("k1", "k2", "scope").orderBy("free", "start", "kind")
+    gap = F.col("free") - F.lag("free").over(chain)
+    placed = placed.filter(linked).withColumn("cut", F.coalesce((gap > reach).cast("int"), F.lit(0)))
+    placed = placed.withColumn("number", F.sum("cut").over(chain))
+    own = Window.partitionBy("k1", "k2", "scope", "number")
+    whole = (F.max(parts["id"].cast("int")).over(own) == 1) & (F.max(parts["secret"].cast("int")).over(own) == 1)
+    placed = placed.withColumn("credential", F.when(whole, F.struct(F.col("scope").cast("long").alias("scope"), F.col("number").cast("long").alias("number"))))
+    span = F.struct(F.col("start").cast("long").alias("start"), "kind", F.col("end").cast("long").alias("end"), "credential")
+    return placed.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -101,8 +111,18 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _credentials(spans: Column) -> Column:
+    """Each credential as ``scope:start+start+...``, comma-joined; scopes are counted from 0."""
+    linked = F.filter(spans, lambda s: s["credential"].isNotNull())
+    names = F.array_sort(F.array_distinct(F.transform(linked, lambda s: s["credential"])))
+    starts = lambda c: F.array_join(F.transform(F.filter(linked, lambda s: s["credential"] == c), lambda s: s["start"].cast("string")), "+")
+    return F.array_join(F.transform(names, lambda c: F.concat(c["scope"].cast("string"), F.lit(":"), starts(c))), ",")
+
+
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = REACH) -> DataFrame:
-    """``id_col, n_assign, n_access, n_hex, base_sha256, spans`` of every row.
+    """``id_col, n_assign, n_access, n_hex, base_sha256, spans, credentials`` of every row.
+
+    ``credentials`` lists the starts of the parts that are linked to one another (see ``secret_spans``).
 
     Nulls: a null text is empty and has no spans (the digest is that of the empty text); a null id is kept. Repeated
     rows each get their row. An empty table gives no rows. Texts are read whole. Further columns are ignored.
@@ -110,16 +130,17 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = pick(docs, id=id_col, text=text_col).withColumn("text", F.coalesce("text", F.lit("")))
     ids = rows.select("id", *[c.alias(k) for k, c in _keys(F.col("id"), F.col("text")).items()])
     out = ids.join(secret_spans(docs, id_col, text_col, reach), ["k1", "k2"], "left")
-    out = out.withColumn("spans", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))
-    base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
-    return out.select(F.col("id").alias(id_col), *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))
+    out = out.withColumn("found", F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,credential:struct<scope:bigint,number:bigint>>>")))
+    base = F.filter("found", lambda s: s["kind"] < len(BASE))
+    count = lambda i: F.size(F.filter("found", lambda s: s["kind"] == i)).cast("long")
+    return out.select(F.col("id").alias(id_col), *[count(i).alias(f"n_{k}") for i, k in enumerate(BASE)], F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans"), _credentials(F.col("found")).alias("credentials"))
 
 
 def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", reach: int = REACH, length_col: str | None = None) -> DataFrame:
     """``docs`` with every span of ``text_col`` replaced by ``mark`` (overlapping spans by one); other columns and rows as they are.
 
-    ``length_col`` is set to the new length where a text changes. A null text stays null. Columns of ``docs`` must have distinct names.
+    ``length_col`` is set to the new length where a text changes. A null text stays null; a null id is kept. Repeated rows
+    are each masked. An empty table gives no rows. Columns of ``docs`` must have distinct names.
     """
     key = {"id": F.col(id_col), "text": F.coalesce(F.col(text_col), F.lit(""))}
     keyed = docs.withColumns({f"_{k}": c for k, c in _keys(key["id"], key["text"]).items()})

@@ -80,3 +80,16 @@ def test_all_pairs_equal_brute_force(spark):
     got = pairs_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)], [(i, " ".join(x)) for i, x in enumerate(items)])
     want = {(i, j): brute(x, d) / (2 * len(x)) for i, d in enumerate(docs) for j, x in enumerate(items)}
     assert got == {k: v for k, v in want.items() if v >= 0.5}
+
+
+def test_odd_rows(spark, odd_documents):
+    """Null ids, a very long text, ties of items with one text, ids of another type, and repeated benchmark rows."""
+    plain = odd_documents.toDF("doc_id", "text", "lang", "source", "n_chars", "other").select("doc_id", "text")
+    long = next(r.text for r in plain.collect() if r.doc_id == 5)
+    item = " ".join(long.split()[15_000:15_030])
+    bench = spark.createDataFrame([(2.5, item), (2.5, item), (1.5, item), (None, "a text without an id"), (9.0, None)], "item_id double, text string")
+    got = sorted(((r.doc_id, r.item_id, r.score) for r in D.contamination(odd_documents, bench).collect()), key=str)
+    assert got == sorted([(i, j, 1.0) for i in (5, 6) for j in (1.5, 2.5)] + [(None, None, 1.0)], key=str)
+    left = D.drop_contaminated(plain, bench).collect()
+    assert sorted(str(r.doc_id) for r in left) == sorted(map(str, [1, 1, 2, 3, 4, 7]))
+    assert D.drop_contaminated(plain, bench.limit(0)).count() == plain.count() and D.drop_contaminated(plain.limit(0), bench).count() == 0

@@ -32,3 +32,27 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """One row of an id stays after near duplicates, whether its texts agree or not; rows without an id stay."""
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(rng.randint(3, 8))) for _ in range(60))
+    a, b = text(), text()
+    rows = [(1, a), (1, a), (2, b), (2, text()), (3, text()), (None, text()), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = corpus_pipeline.near_dup(spark, docs, str(tmp_path)).collect()
+    assert sorted((r.doc_id for r in got), key=str) == [1, 2, 3, None, None] and {r.text for r in got if r.doc_id == 1} == {a}
+
+
+def test_run_leaves_its_result_alone(spark, tmp_path):
+    import os
+
+    from lexarium.llm.common import shared_dir
+
+    base = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(base)) if os.path.isdir(base) else set()
+    spark.createDataFrame([(1, "word " * 90, "en", "s", 450)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(os.listdir(base)) - before) == 1

@@ -1,7 +1,11 @@
+import math
 import random
 import re
 
-from lexarium.llm.url_filter import url_filter
+from pyspark.sql import functions as F
+
+from lexarium.llm import url_filter as module
+from lexarium.llm.url_filter import fit_trees, held_out, url_filter
 
 RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -51,3 +55,81 @@ def test_trees_learn_from_labels(spark):
 def test_empty_tables(spark):
     assert url_filter(spark.createDataFrame([], "page_id long, url string, URL string"), RULES).count() == 0
     assert url_filter(spark.createDataFrame([(1, "http://x.net/")], "page_id long, url string"), []).first().verdict == "allow"
+
+
+def test_many_rules_by_joins_equal_rules_in_the_plan(spark, monkeypatch):
+    rng = random.Random(6)
+    names = ["a.org", "b.a.org", "org", "com", "x.com", ""]
+    rules = [(rng.choice(["allow", "block"]), f"{rng.choice(names)}/{rng.choice(['', 'p', 'p/', 'p/q', 'pq', 'é'])}") for _ in range(60)]
+    rows = [(i, f"http://{rng.choice(names)}{rng.choice(['', '/', '/p', '/p/', '/p/q/r', '/pqr', '/é'])}{rng.choice(['', '?z', '#t'])}") for i in range(400)] + [(900, None), (901, "no scheme"), (901, "no scheme")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = sorted((r.page_id, r.rule or "", r.verdict if r.rule else "") for r in url_filter(pages, rules).collect())
+    monkeypatch.setattr(module, "PLAN_RULES", 0)
+    assert sorted((r.page_id, r.rule or "", r.verdict if r.rule else "") for r in url_filter(pages, rules).collect()) == want
+    table = spark.createDataFrame([*rules, ("block", None)], "how string, text string")
+    assert sorted((r.page_id, r.rule or "", r.verdict if r.rule else "") for r in url_filter(pages, table).collect()) == want
+
+
+def brute_trees(rows, n_trees, depth, rate=0.4, l2=1.0):
+    """Boosting by walking all splits of all rows: (features, label) with features as tuples of bins."""
+    n, y = len(rows), sum(r[1] for r in rows)
+    scores = [math.log((y + 0.5) / (n - y + 0.5))] * n
+    for _ in range(n_trees):
+        p = [1 / (1 + math.exp(-s)) for s in scores]
+        grads = [(a - r[1], a * (1 - a)) for a, r in zip(p, rows)]
+
+        def grow(own, left):
+            g, h = (sum(grads[i][k] for i in own) for k in (0, 1))
+            best = (1e-6, None)
+            for f in range(len(rows[0][0])) if left else ():
+                for b in sorted({rows[i][0][f] for i in own})[:-1]:
+                    a, c = (sum(grads[i][k] for i in own if rows[i][0][f] <= b) for k in (0, 1))
+                    gain = a * a / (c + l2) + (g - a) ** 2 / (h - c + l2) - g * g / (h + l2)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, b))
+            if best[1] is None:
+                for i in own:
+                    scores[i] += -rate * g / (h + l2)
+                return
+            f, b = best[1]
+            grow([i for i in own if rows[i][0][f] <= b], left - 1)
+            grow([i for i in own if rows[i][0][f] > b], left - 1)
+
+        grow(list(range(n)), depth)
+    return scores
+
+
+def test_trees_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(160):
+        x = tuple(rng.randint(0, 4) for _ in range(3))
+        rows.append((x, int(x[0] > 2 or (x[1] == 1 and rng.random() < 0.8) or rng.random() < 0.1)))
+    frame = spark.createDataFrame([(*x, y) for x, y in rows], "a int, b int, c int, label int")
+    vectors = frame.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+    score = fit_trees(vectors, ["a", "b", "c"], 4, 3)
+    got = {(r.a, r.b, r.c): r.s for r in vectors.withColumn("s", score).collect()}
+    assert all(abs(got[x] - s) < 1e-9 for (x, _), s in zip(rows, brute_trees(rows, 4, 3)))
+
+
+def test_rates_of_suffixes_are_out_of_fold(spark):
+    """Labels of pure chance on hosts of one url each: nothing to learn, and no rate may give the row's own label away."""
+    rng = random.Random(9)
+    labels = spark.createDataFrame([(f"http://h{i:04d}.example.net/page", rng.random() < 0.5) for i in range(1200)], "url string, blocked boolean")
+    rows = module._shaped(labels).withColumn("blocked", F.col("blocked").cast("long"))
+    stats = module._suffix_stats(rows)
+    leaky = module._binned(rows, stats, False).select(F.corr("suffix_rate", "blocked")).first()[0]
+    honest = module._binned(rows, stats, True).select(F.corr("suffix_rate", "blocked")).first()[0]
+    assert abs(honest or 0.0) < 0.15 and abs(honest or 0.0) <= abs(leaky or 0.0) + 0.15
+    r = held_out(labels).first()
+    assert r.n > 150 and abs(r.accuracy - 0.5) < 0.15
+
+
+def test_held_out_accuracy_and_no_python(spark):
+    rng = random.Random(4)
+    rows = [(f"http://spam{rng.randint(1, 9)}.example.net/{rng.randint(10**9, 10**10)}?a=1&b=2&c={i}", True) for i in range(200)] + [(f"http://news{rng.randint(1, 9)}.example.net/story/{i}", False) for i in range(200)]
+    labels = spark.createDataFrame(rows, "url string, blocked boolean")
+    assert held_out(labels).first().accuracy >= 0.95
+    pages = labels.select(F.monotonically_increasing_id().alias("page_id"), "url", F.lit(1).alias("URL"))
+    plan = url_filter(pages, RULES)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
