@@ -13,6 +13,8 @@ from ..functions.text import snippet
 from .lexical import DECIMALS, is_noise, stop_words
 
 TOP_K, MIN_SIMILARITY, REPRESENTATIVES, KEYWORDS = 8, 0.10, 3, 10
+#: Papers of a term that one task joins with the others.
+BLOCK = 2_000
 
 
 def paper_documents(chunks: DataFrame) -> DataFrame:
@@ -41,9 +43,11 @@ def similarities(vectors: DataFrame, min_similarity: float = MIN_SIMILARITY, max
     """
     shared = vectors.filter(F.col("df") > 1)
     shared = shared.filter(F.col("df") <= max_df) if max_df else shared
-    left = shared.select(F.col("paper_id").alias("a"), "term", F.col("w").alias("wa"))
-    right = shared.select(F.col("paper_id").alias("b"), "term", F.col("w").alias("wb"))
-    return left.join(right, "term").filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DECIMALS).alias("similarity")).filter(F.col("similarity") >= min_similarity)
+    # the pairs of a frequent term are dealt over blocks: papers on one side by hash, on the other in every block
+    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
+    left = shared.select(F.col("paper_id").alias("a"), "term", F.col("w").alias("wa"), F.pmod(F.xxhash64("paper_id"), blocks).cast("int").alias("block"))
+    right = shared.select(F.col("paper_id").alias("b"), "term", F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    return left.join(right, ["term", "block"]).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DECIMALS).alias("similarity")).filter(F.col("similarity") >= min_similarity)
 
 
 def mutual_edges(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -65,12 +69,13 @@ def neighbors(edges: DataFrame, paper_id: str) -> DataFrame:
     return both_ways(edges).filter(F.col("paper_id") == paper_id).orderBy(F.desc("weight"), "neighbor").select("neighbor", "weight")
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], resolution: float = 1.0, rounds: int = 10, levels: int = 5) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame], resolution: float = 1.0, rounds: int = 100, levels: int = 20) -> DataFrame:
     """``paper_id, community`` (a member's id) by local moves that raise modularity, then on the graph of communities.
 
     In a round every node learns the gain of each neighbouring community; a node moves only if its draw for the round is
     the highest around it, so that neighbours don't move at once and no gain is counted twice. ``keep`` writes a table
-    and reads it back. Rounds end when nothing moves. Isolated nodes stay alone.
+    and reads it back. Rounds and levels end when nothing moves (each move raises modularity; the bounds only guard against
+    rounding). Isolated nodes stay alone.
     """
     member = keep(nodes.select("paper_id", F.col("paper_id").alias("community")))
     links = keep(both_ways(edges))

@@ -92,25 +92,36 @@ def fuse_rankings(rankings: list[DataFrame], item: str = "chunk_id") -> DataFram
     return both.groupBy("query_id", item).agg(F.round(F.sum(1.0 / (RRF_K + F.col("rank"))), 12).alias("score"))
 
 
+def _slot(marks: Column, key: Column) -> Column:
+    """How many of the sorted ``marks`` come before ``key``: a binary search in ten steps, so for up to 1,023 marks."""
+    steps = F.array(*[F.lit(1 << b) for b in range(9, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(marks, at + s - 1) < key, at + s).otherwise(at))
+
+
 def hybrid(scored: DataFrame, k: int | None = None) -> DataFrame:
     """Fused scores. For the first ``k`` alone it ranks no whole list.
 
     An item outside the first 60 + 2k of both lists scores less than the k-th of either list alone does, so only the
-    others are candidates; the rank of a candidate that is deep in one list is counted, not sorted.
+    others are candidates. The candidates of a query lie in its lists as marks (an array each); every scored row finds the
+    marks that it lies between, rows are counted there, and a candidate's rank is the running sum. ``scored`` is persisted,
+    as it is read twice.
     """
     names = ("score_tfidf", "score_bm25")
     if k is None:
         return fuse_rankings([ranked(scored, n) for n in names])
     top = RRF_K + 2 * k
-    heads = [ranked(scored, n, limit=top) for n in names]
-    wanted = reduce(DataFrame.unionByName, [h.select("query_id", "chunk_id") for h in heads]).distinct()
-    wanted = wanted.join(scored, ["query_id", "chunk_id"])
-    full = []
-    for name in names:
-        mine = F.broadcast(wanted.select("query_id", F.col("chunk_id").alias("item"), F.col(name).alias("own")))  # at most 2 * top rows a query
-        better = (F.col(name) > F.col("own")) | ((F.col(name) == F.col("own")) & (F.col("chunk_id") <= F.col("item")))
-        full.append(scored.filter(F.col(name) > 0).join(mine, "query_id").filter((F.col("own") > 0) & better).groupBy("query_id", "item").agg(F.count("*").alias("rank")).withColumnRenamed("item", "chunk_id"))
-    return fuse_rankings(full)
+    scored = scored.persist()
+    heads = [ranked(scored, n, limit=top).select("query_id", "chunk_id") for n in names]
+    wanted = reduce(DataFrame.unionByName, heads).distinct().join(scored, ["query_id", "chunk_id"])
+    key = lambda n: F.when(F.col(n) > 0, F.struct((-F.col(n)).alias("s"), F.col("chunk_id").alias("c")))
+    marks = wanted.groupBy("query_id").agg(*[F.array_sort(F.collect_list(key(n))).alias(f"marks_{i}") for i, n in enumerate(names)])
+    places = F.array(*[F.struct(F.lit(i).alias("list"), F.when(F.col(n) > 0, _slot(F.col(f"marks_{i}"), key(n))).alias("slot")) for i, n in enumerate(names)])
+    placed = scored.join(marks, "query_id").select("query_id", F.explode(places).alias("p")).select("query_id", "p.*").filter("slot is not null")
+    counts = placed.groupBy("query_id", "list", "slot").agg(F.count("*").alias("n"))  # as many rows as marks, whatever is scored
+    ranks = counts.withColumn("rank", F.sum("n").over(Window.partitionBy("query_id", "list").orderBy("slot")))
+    item = F.when(F.col("list") == 0, F.get("marks_0", F.col("slot"))).otherwise(F.get("marks_1", F.col("slot")))["c"]
+    ranks = ranks.join(marks, "query_id").select("query_id", item.alias("chunk_id"), "rank").filter("chunk_id is not null")
+    return fuse_rankings([ranks])
 
 
 def final_scores(scored: DataFrame, scoring: str = "hybrid", k: int | None = None) -> DataFrame:
@@ -200,37 +211,85 @@ def folded_tokens(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def phrase_hits(pos: DataFrame, phrase: str, prefix: bool = False) -> DataFrame:
-    """``chunk_id, n_hits``: chunks with the words in sequence; with ``prefix`` the last may go on (three letters at least).
+#: Parameters of the relevance of phrase hits, words of a snippet, and words of it before the hit: fixed values.
+PHRASE_K1, PHRASE_B, SNIPPET_WORDS, SNIPPET_LEAD = 1.2, 0.75, 16, 8
+
+
+def folded_words(pos: DataFrame, text: str) -> list[str]:
+    """The words of a query, folded and cut as those of the positional index are."""
+    return list(pos.sparkSession.range(1).select(folded_tokens(F.lit(text)).alias("w")).first().w)
+
+
+def _starts(pos: DataFrame, words: list[str], prefix: bool = False) -> DataFrame:
+    """``chunk_id, start``: where the words are in sequence; with ``prefix`` the last may go on.
 
     Each word's places are shifted to where the phrase would begin; places that all words agree on are hits.
     """
-    words = [w for w in phrase.lower().split() if w]
-    if not words:
-        raise DomainError("invalid_input", "no word in the phrase")
-    if prefix and len(words[-1]) < 3:
-        raise DomainError("invalid_input", "a prefix has three letters at least")
     parts = []
     for i, w in enumerate(words):
         match = F.col("term").startswith(w) if prefix and i == len(words) - 1 else F.col("term") == w
         parts.append(pos.filter(match).select("chunk_id", (F.col("pos") - i).alias("start"), F.lit(i).alias("i")))
-    found = reduce(DataFrame.unionByName, parts).groupBy("chunk_id", "start").agg(F.countDistinct("i").alias("n")).filter(F.col("n") == len(words))
-    return found.groupBy("chunk_id").agg(F.count("*").alias("n_hits"))
+    found = reduce(DataFrame.unionByName, parts)
+    if len(words) == 1:
+        return found.select("chunk_id", "start")
+    return found.groupBy("chunk_id", "start").agg(F.countDistinct("i").alias("n")).filter(F.col("n") == len(words)).select("chunk_id", "start")
+
+
+def phrase_hits(pos: DataFrame, phrase: str, prefix: bool = False) -> DataFrame:
+    """``chunk_id, n_hits, first, width``: chunks with the words of a phrase in sequence, whatever its case, marks and punctuation.
+
+    With ``prefix`` the last word may go on (three letters at least).
+    """
+    words = folded_words(pos, phrase)
+    if not words:
+        raise DomainError("invalid_input", "no word in the phrase")
+    if prefix and len(words[-1]) < 3:
+        raise DomainError("invalid_input", "a prefix has three letters at least")
+    found = _starts(pos, words, prefix).groupBy("chunk_id").agg(F.count("*").alias("n_hits"), F.min("start").alias("first"))
+    return found.withColumn("width", F.lit(len(words)))
 
 
 def near_hits(pos: DataFrame, terms: list[str], distance: int = 10) -> DataFrame:
-    """``chunk_id``: chunks where all terms are found with at most ``distance`` words between them.
+    """``chunk_id, n_hits, first, width``: chunks where all terms (words or phrases) are found near one another.
 
-    For each place of any term, the last place of every term up to there is known from a running maximum; the window is
-    the spread of those.
+    They are near where a term starts at most ``distance`` words after the end of each of the others. For each start of
+    any term, the last start of every term up to there is a running maximum; the window holds one chunk.
     """
-    terms = [t.lower() for t in terms]
-    if len(set(terms)) < 2 or not 0 <= distance <= 50:
+    phrases = [folded_words(pos, t) for t in terms]
+    if len({tuple(p) for p in phrases}) < 2 or not all(phrases) or not 0 <= distance <= 50:
         raise DomainError("invalid_input", "two different terms and a distance from 0 to 50")
-    upto = Window.partitionBy("chunk_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    own = pos.filter(F.col("term").isin(terms))
-    for i, t in enumerate(terms):
-        own = own.withColumn(f"p{i}", F.max(F.when(F.col("term") == t, F.col("pos"))).over(upto))
-    last = [F.col(f"p{i}") for i in range(len(terms))]
-    whole = reduce(lambda a, b: a & b, [c.isNotNull() for c in last])
-    return own.filter(whole & (F.col("pos") - F.least(*last) - (len(terms) - 1) <= distance)).select("chunk_id").distinct()
+    rows = reduce(DataFrame.unionByName, [_starts(pos, p).withColumn("i", F.lit(i)) for i, p in enumerate(phrases)])
+    upto = Window.partitionBy("chunk_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    for i in range(len(phrases)):
+        rows = rows.withColumn(f"p{i}", F.max(F.when(F.col("i") == i, F.col("start"))).over(upto))
+    close = reduce(lambda a, b: a & b, [F.coalesce(F.col("start") - F.col(f"p{i}") - len(p) <= distance, F.lit(False)) for i, p in enumerate(phrases)])
+    found = rows.filter(close).groupBy("chunk_id").agg(F.count("*").alias("n_hits"), F.min(F.least(*[F.col(f"p{i}") for i in range(len(phrases))])).alias("first"))
+    return found.withColumn("width", F.lit(1))
+
+
+def text_matches(pos: DataFrame, hits: DataFrame, chunks: DataFrame, paper_ids: DataFrame | None = None, limit: int = 20) -> DataFrame:
+    """``rank, chunk_id, paper_id, n_hits, score, total, snippet`` of the first ``limit`` of phrase, prefix or near hits.
+
+    Order is by relevance (BM25 of the hits in a chunk, over all chunks), ties by chunk. ``paper_ids`` (``paper_id``) filters
+    what is listed and counted in ``total``. The snippet has 16 words with the first hit between marks. Lengths are
+    counted for the matches alone; the corpus's size is read off the index.
+    """
+    check_count("limit", limit)
+    n, words = chunks.count(), pos.count()
+    found = hits.agg(F.count("*").alias("n_found"))  # a single row
+    rows = hits.crossJoin(F.broadcast(found)).join(chunks.select("chunk_id", "paper_id", "text"), "chunk_id")
+    length = F.size(folded_tokens(F.col("text")))
+    idf = F.greatest(F.log((n - F.col("n_found") + 0.5) / (F.col("n_found") + 0.5)), F.lit(1e-6))
+    f = F.col("n_hits")
+    score = idf * f * (PHRASE_K1 + 1) / (f + PHRASE_K1 * (1 - PHRASE_B + PHRASE_B * length * n / max(words, 1)))
+    rows = rows.withColumn("score", F.round(score, DECIMALS))
+    if paper_ids is not None:
+        rows = rows.join(paper_ids.select("paper_id").distinct(), "paper_id", "left_semi")
+    total = rows.agg(F.count("*").alias("total"))
+    first = rows.orderBy(F.desc("score"), "chunk_id").limit(limit).crossJoin(F.broadcast(total))
+    first = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # at most ``limit`` rows
+    shown = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
+    start = F.greatest(F.col("first") - SNIPPET_LEAD, F.lit(0))
+    marked = F.transform(shown, lambda w, i: F.when((i >= F.col("first")) & (i < F.col("first") + F.col("width")), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
+    snippet = F.array_join(F.slice(marked, start + 1, F.lit(SNIPPET_WORDS)), " ")
+    return first.select("rank", "chunk_id", "paper_id", "n_hits", "score", "total", snippet.alias("snippet"))

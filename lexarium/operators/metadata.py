@@ -157,6 +157,21 @@ def filter_recent(candidates: DataFrame, min_year: int) -> DataFrame:
     return candidates.filter((F.col("year") == 0) | (F.col("year") >= min_year))
 
 
+def index_report(metadata: DataFrame, papers: DataFrame, records: DataFrame) -> DataFrame:
+    """The counts of a metadata build, one row: papers, with an identifier, citable, by origin of records, weak, full texts, those with strong authors, with author ids, and from stubs."""
+    none = F.array().cast("array<string>")
+    some = lambda c: F.size(F.coalesce(c, none)) > 0
+    has = lambda c: F.coalesce(c, F.lit("")) != ""
+    rows = metadata.join(papers.select("paper_id", F.col("document_kind").alias("_kind"), F.col("bibliography").isNotNull().alias("_stub")), "paper_id")
+    full = F.col("_kind") == "full"
+    counts = rows.agg(
+        F.count("*").alias("n_papers"), F.count_if(has("doi") | has("arxiv_id") | has("url")).alias("n_with_identifier"), F.count_if(has("title") & some("authors") & (F.coalesce("year", F.lit(0)) > 0)).alias("n_citable"), F.count_if(F.col("confidence") == "weak").alias("n_weak"), F.count_if(full).alias("n_full_texts"),
+        F.count_if(full & some("authors") & (F.col("confidence") == "strong")).alias("n_full_with_strong_authors"), F.count_if(some("author_ids")).alias("n_with_author_ids"), F.count_if(~full & F.col("_stub")).alias("n_from_stubs"),
+    )
+    origins = records.agg(*[F.count_if(F.col("origin") == o).alias(f"n_{o}") for o in ("curated", "resolved", "manual")])
+    return counts.crossJoin(F.broadcast(origins))
+
+
 def build_report(metadata: DataFrame) -> DataFrame:
     """Counts of the resolved metadata in one pass."""
     filled = lambda f: F.count_if(F.size(f) > 0 if f == "authors" else F.col(f) > 0 if f == "year" else F.coalesce(F.col(f), F.lit("")) != "").alias(f"with_{f}")

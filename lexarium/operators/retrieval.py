@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DomainError, check_count
+from ..functions.names import citation_key, format_in_text, format_reference, missing_fields, preferred_url
 from ..functions.text import page_label, snippet
 from . import lexical
 from .graph import both_ways
@@ -25,6 +26,10 @@ class Index:
     members: DataFrame | None = None
     communities: DataFrame | None = None
     papers: DataFrame | None = None
+    positions: DataFrame | None = None
+    citations: DataFrame | None = None
+    metadata: DataFrame | None = None
+    authors: DataFrame | None = None
 
     def need(self, name: str) -> DataFrame:
         table = getattr(self, name)
@@ -34,9 +39,17 @@ class Index:
 
 
 def cited(index: Index, hits: DataFrame) -> DataFrame:
-    """Hits with their provenance: paper, pages, section and a snippet; texts are fetched for the hits alone."""
+    """Hits with their provenance: paper, pages, section and a snippet; texts are fetched for the hits alone.
+
+    Where the snapshot has merged metadata, also the citation key and the identifiers that aren't empty.
+    """
     rows = hits.join(index.chunks.select("chunk_id", "paper_id", "page_number", "page_end", "section_title", "text"), "chunk_id")
-    return rows.withColumns({"pages": page_label(F.col("page_number"), F.col("page_end")), "snippet": snippet(F.col("text"))}).drop("text", "page_number", "page_end")
+    rows = rows.withColumns({"pages": page_label(F.col("page_number"), F.col("page_end")), "snippet": snippet(F.col("text"))}).drop("text", "page_number", "page_end")
+    if index.metadata is None:
+        return rows
+    ids = F.map_filter(F.create_map(F.lit("doi"), F.col("doi"), F.lit("arxiv"), F.col("arxiv_id"), F.lit("url"), F.col("url")), lambda k, v: F.coalesce(v, F.lit("")) != "")
+    data = index.metadata.select("paper_id", citation_key(F.col("paper_id"), F.coalesce("title", F.lit("")), F.coalesce("authors", F.array().cast("array<string>")), F.coalesce("year", F.lit(0))).alias("citation_key"), ids.alias("identifiers"))
+    return rows.join(data, "paper_id", "left")
 
 
 def search_basic(index: Index, queries: DataFrame, k: int = 5, scoring: str = "hybrid") -> DataFrame:
@@ -49,8 +62,10 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
     The neighbourhood fuses the ``k`` nearest chunks of each seed and leaves the seeds out afterwards; the fan-out takes
     the heaviest edges of the first seed's paper, and of each neighbour the best chunk for the query.
     """
-    for name, value in (("k", k), ("seeds", seeds), ("fan_out", fan_out)):
+    for name, value in (("k", k), ("seeds", seeds)):
         check_count(name, value)
+    if fan_out:  # 0 leaves the fan-out out
+        check_count("fan_out", fan_out)
     scored = lexical.scores(index.weights, queries).persist()
     hits = lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored)
     near = lexical.chunk_neighbors(index.weights, hits.select(F.col("chunk_id").alias("seed_id")).distinct(), k)
@@ -158,3 +173,72 @@ def get_paper(index: Index, paper_id: str) -> DataFrame:
     titles = rows.filter(F.col("section_title") != "").groupBy("paper_id", "section_title").agg(F.min("row_index").alias("at")).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "section_title"))), lambda x: x["section_title"]).alias("sections"))
     head = rows.groupBy("paper_id").agg(F.max("page_end").alias("n_pages"), F.count("*").alias("n_chunks"), snippet(F.min_by("text", "row_index")).alias("snippet"))
     return head.join(titles, "paper_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
+
+
+def references(metadata: DataFrame) -> DataFrame:
+    """``paper_id, reference, in_text`` in both styles, ``citation_key, url, missing`` of merged metadata."""
+    none = F.array().cast("array<string>")
+    title, authors, year = F.coalesce("title", F.lit("")), F.coalesce("authors", none), F.coalesce("year", F.lit(0))
+    url = preferred_url(F.coalesce("doi", F.lit("")), F.coalesce("arxiv_id", F.lit("")), F.coalesce("url", F.lit("")))
+    styles = {s: format_reference(title, authors, year, F.coalesce("venue", F.lit("")), url, s) for s in ("apa", "harvard")}
+    short = {f"{s}_in_text": format_in_text(title, authors, year, s) for s in ("apa", "harvard")}
+    return metadata.select("paper_id", *[c.alias(n) for n, c in (styles | short).items()], citation_key(F.col("paper_id"), title, authors, year).alias("citation_key"), url.alias("url"), missing_fields(title, authors, year).alias("missing"))
+
+
+def get_reference(index: Index, paper_id: str) -> DataFrame:
+    """One row: a paper's reference in both styles and the fields that it lacks; not_found for an unknown paper."""
+    if not paper_id.strip():
+        raise DomainError("invalid_input", "no paper id")
+    rows = index.need("metadata").filter(F.col("paper_id") == paper_id)
+    if rows.isEmpty():
+        raise DomainError("not_found", f"no paper {paper_id}")
+    return references(rows)
+
+
+def paper_files(papers: DataFrame, files: DataFrame) -> DataFrame:
+    """``paper_id, available, path, size_bytes, reason`` of papers against a listing (``path, length``): reference entries have no file, others may lack theirs."""
+    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+    there = files.select(plain(F.col("path")).alias("p"), "path", F.col("length").alias("size_bytes"))
+    rows = papers.select("paper_id", "document_kind", F.when(F.col("source_uri").startswith("file:"), plain(F.col("source_uri"))).alias("p")).join(there, "p", "left")
+    entry = F.col("document_kind") == "reference"
+    has = ~entry & F.col("path").isNotNull()
+    reason = F.when(entry, "reference_only").when(~has, "file_missing").otherwise("")
+    return rows.select("paper_id", has.alias("available"), F.when(has, F.col("path")).otherwise("").alias("path"), F.when(has, F.col("size_bytes")).otherwise(0).alias("size_bytes"), reason.alias("reason"))
+
+
+def get_paper_file(index: Index, paper_id: str) -> DataFrame:
+    """One row of ``paper_files``: only the paper's own file is looked for."""
+    from ..sources.sinks import exists
+
+    row = index.need("papers").filter(F.col("paper_id") == paper_id).first()
+    if row is None:
+        raise DomainError("not_found", f"no paper {paper_id}")
+    spark = index.chunks.sparkSession
+    there = row.document_kind != "reference" and row.source_uri.startswith("file:") and exists(spark, row.source_uri)
+    files = spark.read.format("binaryFile").load(row.source_uri).select("path", "length") if there else spark.createDataFrame([], "path string, length long")
+    return paper_files(index.papers.filter(F.col("paper_id") == paper_id), files)
+
+
+def get_topic(index: Index, community_id: int) -> DataFrame:
+    """One row: a community with all its members, most central first, and its representatives; not_found without it."""
+    rows = index.need("communities").filter(F.col("community_id") == community_id)
+    if rows.isEmpty():
+        raise DomainError("not_found", f"no community {community_id}")
+    return rows.join(topic_members(index.need("members").filter(F.col("community_id") == community_id)), "community_id")
+
+
+def topic_members(members: DataFrame) -> DataFrame:
+    """``community_id, members, representatives``: ids in order of id, representatives in order of centrality."""
+    by_rank = F.array_sort(F.collect_list(F.when(F.col("is_representative"), F.struct((-F.col("centrality")).alias("c"), "paper_id"))))
+    return members.groupBy("community_id").agg(F.array_sort(F.collect_list("paper_id")).alias("members"), F.transform(by_rank, lambda x: x["paper_id"]).alias("representatives"))
+
+
+def search_author_papers(index: Index, person: str, query: str, k: int = 5) -> DataFrame:
+    """The first ``k`` chunks of a question among the papers of one person; ranks are the corpus's, the filter comes after."""
+    if not person.strip() or not query.strip():
+        raise DomainError("invalid_input", "a person and a question are needed")
+    own = index.need("authors").filter(F.col("person_key") == person).select("paper_id").distinct()
+    if own.isEmpty():
+        raise DomainError("not_found", f"no person {person}")
+    asked = index.chunks.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
+    return lexical.search(index.weights, asked, k, "hybrid", index.chunks, own)

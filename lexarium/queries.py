@@ -181,17 +181,17 @@ pos AS (SELECT lpad(doc_id::varchar, 8, '0') || '-c0000' AS chunk_id, w[i] AS te
 
 @query(f"WITH {_POS} SELECT a.chunk_id, count(*) AS n_hits FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY 1")
 def phrase_search(spark, sf_dir):
-    return lexical.phrase_hits(lexical.positions(chunks(spark, sf_dir)), "of the")
+    return lexical.phrase_hits(lexical.positions(chunks(spark, sf_dir)), "of the").select("chunk_id", "n_hits")
 
 
 @query(f"WITH {_POS} SELECT a.chunk_id, count(*) AS n_hits FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND b.pos = a.pos + 1 WHERE a.term = 'the' AND b.term LIKE 'tion%' GROUP BY 1")
 def prefix_search(spark, sf_dir):
-    return lexical.phrase_hits(lexical.positions(chunks(spark, sf_dir)), "the tion", prefix=True)
+    return lexical.phrase_hits(lexical.positions(chunks(spark, sf_dir)), "the tion", prefix=True).select("chunk_id", "n_hits")
 
 
 @query(f"WITH {_POS} SELECT DISTINCT a.chunk_id FROM pos a JOIN pos b ON a.chunk_id = b.chunk_id AND abs(a.pos - b.pos) <= 4 WHERE a.term = 'was' AND b.term = 'with'")
 def near_search(spark, sf_dir):
-    return lexical.near_hits(lexical.positions(chunks(spark, sf_dir)), ["was", "with"], 3)
+    return lexical.near_hits(lexical.positions(chunks(spark, sf_dir)), ["was", "with"], 3).select("chunk_id")
 
 
 # --- graph ---------------------------------------------------------------------------------------------------------
@@ -200,8 +200,8 @@ _V = f"""{_C}, vt AS (SELECT paper_id, unnest(regexp_extract_all(lower(text), '[
 vf AS (SELECT paper_id, term, count(*) AS tf FROM vt WHERE term NOT IN ({_quoted(STOP)}) GROUP BY ALL), vd AS (SELECT term, count(*) AS df FROM vf GROUP BY ALL),
 vw AS (SELECT paper_id, term, df, tf * (ln((1.0 + (SELECT count(*) FROM c WHERE trim(text) <> '')) / (1.0 + df)) + 1.0) AS w FROM vf JOIN vd USING (term)),
 vec AS (SELECT paper_id, term, df, w / sqrt(sum(w * w) OVER (PARTITION BY paper_id)) AS w FROM vw)"""
-_E = f"""{_V}, pr AS (SELECT a.paper_id AS a, b.paper_id AS b, round(sum(a.w * b.w), 9) AS s FROM vec a JOIN vec b USING (term) WHERE a.paper_id < b.paper_id AND a.df > 1 GROUP BY ALL HAVING s >= 0.1),
-bo AS (SELECT a, b, s FROM pr UNION ALL SELECT b, a, s FROM pr), nr AS (SELECT a, b, s FROM bo QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 8),
+_E = f"""{_V}, pr AS MATERIALIZED (SELECT a.paper_id AS a, b.paper_id AS b, round(sum(a.w * b.w), 9) AS s FROM vec a JOIN vec b USING (term) WHERE a.paper_id < b.paper_id AND a.df > 1 GROUP BY ALL HAVING s >= 0.1),
+bo AS (SELECT a, b, s FROM pr UNION ALL SELECT b, a, s FROM pr), nr AS MATERIALIZED (SELECT a, b, s FROM bo QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 8),
 eg AS (SELECT x.a AS source, x.b AS target, x.s AS weight FROM nr x JOIN nr y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b)"""
 
 
@@ -240,16 +240,7 @@ def community_keywords(spark, sf_dir):
 @query()
 def louvain_communities(spark, sf_dir):
     """Communities of the similarity graph, numbered by size."""
-    import os
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
-
-    def keep(df):
-        path = os.path.join(base, f"louvain-{uuid.uuid4().hex}")
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
+    from .shared import keep
 
     edges = keep(_edges(spark, sf_dir))
     return graph.numbered_communities(graph.louvain(chunks(spark, sf_dir).select("paper_id"), edges, keep))
@@ -337,11 +328,11 @@ def route_questions(spark, sf_dir):
 # --- text functions ------------------------------------------------------------------------------------------------
 
 
-@query(f"""SELECT doc_id, CASE WHEN length(o) <= 200 THEN o ELSE rtrim(left(o, 199)) || '…' END AS snippet, {_NORM.format("left(t, 300)")} AS title
+@query(f"""SELECT doc_id, CASE WHEN length(o) <= 200 THEN o ELSE rtrim(left(o, 199)) || '…' END AS snippet, {_NORM.format("t")} AS title
 FROM (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS o FROM documents)""")
 def text_functions(spark, sf_dir):
     t = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(t).alias("snippet"), names.normalize_title(F.substring(t, 1, 300)).alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(t).alias("snippet"), names.normalize_title(t).alias("title"))
 
 
 @query()
@@ -439,10 +430,11 @@ def resolve_metadata(spark, sf_dir):
 
 @query("""SELECT user_id::varchar AS paper_id, event_type AS origin, arg_max(event_id, event_id) AS value FROM events GROUP BY ALL""")
 def upsert_records(spark, sf_dir):
-    """The last event of each user and type; the even ones are stored, the others update them."""
+    """The last event of each user and type: the first half of the events is stored, the second updates it."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("paper_id"), F.col("event_type").alias("origin"), F.col("event_id").alias("value"))
-    last = metadata.upsert(e.limit(0), e.withColumn("seq", F.col("value")))
-    return metadata.upsert(last, e.withColumn("seq", F.col("value")))
+    half = e.agg(F.percentile_approx("value", 0.5)).first()[0]
+    stored = metadata.upsert(e.limit(0), e.filter(F.col("value") <= half).withColumn("seq", F.col("value")))
+    return metadata.upsert(stored, e.filter(F.col("value") > half).withColumn("seq", F.col("value")))
 
 
 @query("SELECT 'segment' AS kind, lower(c_mktsegment || c_nationkey) AS value, min(c_custkey::varchar) AS paper_id FROM customer GROUP BY 2 HAVING count(*) = 1 UNION ALL SELECT 'name', lower(c_name), min(c_custkey::varchar) FROM customer GROUP BY 2 HAVING count(*) = 1")
@@ -465,12 +457,19 @@ def title_matches(spark, sf_dir):
 
 
 def _gold(spark, sf_dir):
+    """Items as questions, and the papers whose texts hold them: found by an equal run of five words, then compared."""
     b = table(spark, sf_dir, "benchmark")
     qid = F.format_string("q%04d", "item_id")
     asked = b.select(qid.alias("qid"), "item_id", F.when(F.col("item_id") % 2 == 0, "fact").otherwise("concept").alias("kind"), "text")
-    c = chunks(spark, sf_dir)
-    expected = c.select("paper_id", F.col("text").alias("doc_text")).join(asked, F.col("doc_text").contains(F.col("text"))).select("qid", "paper_id").distinct()
-    return asked, expected
+    runs = lambda c: F.get(F.transform(F.array(F.split(c, " ")), lambda w: F.array_distinct(F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(5)), " ")))), F.lit(0))
+    # a run that begins after the item's first blank is bounded by blanks in any text that holds the item
+    inner = F.split("text", " ")
+    keyed = asked.withColumn("seed", F.when(F.size(inner) >= 7, F.array_join(F.slice(inner, 2, 5), " ")))
+    docs = chunks(spark, sf_dir).select("paper_id", F.col("text").alias("doc_text"))
+    long = docs.select("paper_id", "doc_text", F.explode(runs(F.col("doc_text"))).alias("seed")).join(keyed.filter("seed is not null"), "seed")
+    short = docs.join(F.broadcast(keyed.filter("seed is null")), F.col("doc_text").contains(F.col("text")))  # items of six words or fewer: a few
+    hits = long.filter(F.col("doc_text").contains(F.col("text"))).select("qid", "paper_id").unionByName(short.select("qid", "paper_id"))
+    return asked.drop("text").join(b.select("item_id", "text"), "item_id").select("qid", "item_id", "kind", "text"), hits.distinct()
 
 
 @query(f"""WITH {_C}, {_Q}, top AS ({_top("SELECT * FROM hy", 10)}), x AS (SELECT item_id, paper_id FROM c JOIN benchmark b ON contains(c.text, b.text)),
@@ -495,8 +494,8 @@ def compare_ranks(spark, sf_dir):
     return evaluation.compare_ranks(ranks("tfidf"), ranks("bm25"))
 
 
-@query("""SELECT printf('m%03d', row_number() OVER (ORDER BY t)) AS qid, t AS anchor_paper_id, expected FROM (
-SELECT l_partkey::varchar AS t, string_agg(DISTINCT l_suppkey::varchar, ',' ORDER BY l_suppkey::varchar) AS expected FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 3)""")
+@query("""SELECT printf('C%02d', row_number() OVER (ORDER BY t)) AS qid, t AS anchor_paper_id, expected, CASE WHEN n >= 10 THEN 'cited 10+' WHEN n >= 5 THEN 'cited 5-9' ELSE 'cited 3-4' END AS kind FROM (
+SELECT l_partkey::varchar AS t, count(DISTINCT l_suppkey) AS n, string_agg(DISTINCT l_suppkey::varchar, ',' ORDER BY l_suppkey::varchar) AS expected FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_suppkey) >= 3)""")
 def derive_questions(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("source_paper_id"), F.col("l_partkey").cast("string").alias("target_paper_id"))
     return evaluation.derive_questions(e).withColumn("expected", F.array_join("expected", ","))
@@ -508,11 +507,11 @@ def consistency(spark, sf_dir):
     return evaluation.consistency(ids("documents"), ids("labels"))
 
 
-@query("""WITH t AS (SELECT 'g' || item_id AS qid, list_distinct(list_slice(string_split(trim(lower(text)), ' '), 1, 2)) AS w FROM benchmark)
+@query("""WITH t AS (SELECT 'g' || item_id AS qid, list_distinct(string_split(trim(lower(text)), ' ')) AS w FROM benchmark)
 SELECT DISTINCT qid, lpad(doc_id::varchar, 8, '0') AS paper_id FROM t JOIN documents d ON d.doc_id % 10 <> 0 AND len(list_filter(w, lambda x: contains(lower(d.text), x))) = len(w)""")
 def expected_papers(spark, sf_dir):
-    """Full texts that hold the first two words of each item."""
-    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("qid"), F.array_distinct(F.slice(F.split(F.trim(F.lower("text")), " "), 1, 2)).alias("match_all"))
+    """Full texts that hold all words of an item."""
+    b = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("g"), F.col("item_id").cast("string")).alias("qid"), F.array_distinct(F.split(F.trim(F.lower("text")), " ")).alias("match_all"))
     return evaluation.expected_papers(chunks(spark, sf_dir), b)
 
 
@@ -531,3 +530,6 @@ def pending_files(spark, sf_dir):
 @query("SELECT date_trunc('hour', ts)::timestamp AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
     return ingest.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+from . import record_queries  # noqa: E402, F401  registers its queries

@@ -54,6 +54,11 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PAPER_SCHEMA).json(path, multiLine=True)
 
 
+def schema_versions(spark: SparkSession, path: str) -> DataFrame:
+    """``path, schema_version`` of canonical papers; only that field is parsed."""
+    return spark.read.schema("schema_version string").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "schema_version")
+
+
 def read_stubs(spark: SparkSession, path: str) -> DataFrame:
     """Reference stubs: validated, printable, cut to length; ``error`` says what is wrong with a file."""
     rows = spark.read.schema(STUB_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
@@ -84,6 +89,49 @@ def markdown_table(spark: SparkSession, path: str) -> DataFrame:
     return body.select("line_no", F.map_from_arrays(F.slice("names", F.lit(1), F.size("c")), F.slice("c", F.lit(1), F.least(F.size("c"), F.size("names")))).alias("cells"))
 
 
+#: Headers of the curated table, and the shape of a draft row's id: fixed values.
+INTERNAL, EXTERNAL, NAME, DRAFT = "Interner Link", "Externer Link/Indetifikator", "Name", "^Z[0-9]+$"
+
+
+def curated_cells(rows: DataFrame) -> DataFrame:
+    """``row_id, filename, title, cells`` of the rows of a curated table (``line_no, cells``) that aren't drafts and name a file; the last of a file counts."""
+    from pyspark.sql import Window
+
+    row_id = F.trim(F.coalesce(F.col("cells")["ID"], F.lit("")))
+    target = link_target(F.coalesce(F.col("cells")[INTERNAL], F.lit("")))["target"]
+    name = F.regexp_replace(F.trim(target), "^[^/]*/", "")
+    name = F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
+    own = rows.withColumns({"row_id": row_id, "filename": name, "title": F.trim(F.regexp_replace(F.coalesce(F.col("cells")[NAME], F.lit("")), r"\s+", " "))})
+    own = own.filter((F.col("row_id") != "") & ~F.col("row_id").rlike(DRAFT) & (F.col("filename") != ""))
+    last = F.row_number().over(Window.partitionBy("filename").orderBy(F.desc("line_no")))
+    return own.withColumn("_r", last).filter("_r = 1").select("row_id", "filename", "title", "cells")
+
+
+def parse_identifiers(cell: Column) -> Column:
+    """Struct (doi, arxiv_id, url) of a cell of links: the first of each kind; a preprint's DOI gives its id too."""
+    links = F.regexp_extract_all(cell, F.lit(r"\]\(<?([^)>]*)>?\)"), F.lit(1))
+    links = F.when(F.size(links) > 0, links).otherwise(F.array(F.trim(cell)))
+    first = lambda pattern, k=1: F.coalesce(F.get(F.filter(F.transform(links, lambda x: F.regexp_extract(x, pattern, k)), lambda x: x != ""), F.lit(0)), F.lit(""))
+    doi = first(r"^(?:(?i:https?://(?:dx\.)?doi\.org/))?(10\.\d{4,9}/\S+)$")
+    arxiv = F.regexp_replace(first(r"(?i)^https?://arxiv\.org/(?:abs|pdf)/([^\s?#]+?)(?:\.pdf)?$"), r"v\d+$", "")
+    preprint = F.regexp_replace(F.regexp_extract(doi, r"(?i)^10\.48550/arxiv\.(.+)$", 1), r"v\d+$", "")
+    other = first(r"(?i)^(https?://(?!(?:dx\.)?doi\.org/|arxiv\.org/)\S+)$")
+    return F.struct(doi.alias("doi"), F.when(arxiv == "", preprint).otherwise(arxiv).alias("arxiv_id"), other.alias("url"))
+
+
+def curated_entries(rows: DataFrame) -> DataFrame:
+    """``row_id, filename, title, doi, arxiv_id, url`` of the rows of a curated table."""
+    own = curated_cells(rows).withColumn("x", parse_identifiers(F.coalesce(F.col("cells")[EXTERNAL], F.lit(""))))
+    return own.select("row_id", "filename", "title", "x.doi", "x.arxiv_id", "x.url")
+
+
+def internal_links(rows: DataFrame) -> DataFrame:
+    """``filename`` of all files that a table links to, drafts too."""
+    target = link_target(F.coalesce(F.col("cells")[INTERNAL], F.lit("")))["target"]
+    name = F.url_decode(F.replace(F.regexp_replace(F.trim(target), "^[^/]*/", ""), F.lit("+"), F.lit("%2B")))
+    return rows.select(name.alias("filename")).filter("filename <> ''").distinct()
+
+
 def link_target(cell: Column) -> Column:
     """Label and target of a markdown link, else the cell and ''."""
     return F.struct(F.coalesce(F.nullif(F.regexp_extract(cell, r"\[([^\]]*)\]\(", 1), F.lit("")), cell).alias("label"), F.regexp_extract(cell, r"\]\(<?([^)>]*)>?\)", 1).alias("target"))
@@ -110,6 +158,14 @@ def parse_arxiv(responses: DataFrame) -> DataFrame:
     return rows.select("query", one(F.col("e.title")).alias("title"), F.coalesce(F.substring("e.published", 1, 4).try_cast("int"), F.lit(0)).alias("year"), F.array(F.lit("arxiv")).alias("sources"), arxiv.alias("arxiv_id"), F.coalesce("e.doi", F.lit("")).alias("doi"), one(F.coalesce("e.summary", F.lit(""))).alias("abstract"), F.col("e.id").alias("url"))
 
 
+def authors_from_feed(responses: DataFrame) -> DataFrame:
+    """``query, authors``: the names of the first entry of each feed; none for one that can't be read."""
+    bad = F.col("payload").rlike("<!(DOCTYPE|ENTITY)")
+    feed = F.from_xml(F.when(~bad, F.col("payload")), "struct<entry:array<struct<author:array<struct<name:string>>>>>", {"rowTag": "feed"})
+    named = F.transform(F.get(feed["entry"], F.lit(0))["author"], lambda a: F.trim(F.regexp_replace(F.coalesce(a["name"], F.lit("")), r"\s+", " ")))
+    return responses.select("query", F.coalesce(F.filter(named, lambda x: x != ""), F.array().cast("array<string>")).alias("authors"))
+
+
 WORKS = "struct<results:array<struct<id:string,doi:string,title:string,publication_year:int,open_access:struct<oa_url:string>,primary_location:struct<license:string,source:struct<display_name:string>>,abstract_inverted_index:map<string,array<int>>,authorships:array<struct<author:struct<id:string,display_name:string,orcid:string>>>>>>"
 
 
@@ -132,6 +188,31 @@ def parse_openalex(responses: DataFrame) -> DataFrame:
     )
 
 
+WORK = WORKS[len("struct<results:array<") : -len(">>")]
+
+
+def raw_authorships(responses: DataFrame) -> DataFrame:
+    """``doi, names, author_ids, author_orcids, source`` of works in stored responses (``path, payload``) that give any person's id.
+
+    A response is a single work or a list; at most 25 authors of a work count, those without a name don't.
+    """
+    from ..functions.names import aligned_identifiers, openalex_author_id, orcid
+    from ..functions.text import printable
+
+    many, one = F.from_json("payload", WORKS)["results"], F.from_json("payload", WORK)
+    works = responses.select(F.col("path").alias("source"), F.explode(F.when(many.isNotNull(), many).otherwise(F.array(one))).alias("w"))
+    own = F.filter(F.col("w.authorships"), lambda a: F.trim(F.coalesce(a["author"]["display_name"], F.lit(""))) != "")
+    rows = works.withColumn("a", F.slice(F.coalesce(own, F.array().cast(f"array<{AUTHORSHIP}>")), 1, 25))
+    doi = F.lower(F.trim(F.regexp_replace(F.trim(F.coalesce("w.doi", F.lit(""))), r"(?i)^(https?://(dx\.)?doi\.org/|doi:)", "")))
+    names = F.transform("a", lambda x: printable(x["author"]["display_name"], 200))
+    rows = rows.select(doi.alias("doi"), names.alias("names"), F.transform("a", lambda x: openalex_author_id(F.coalesce(x["author"]["id"], F.lit("")))).alias("ids"), F.transform("a", lambda x: orcid(F.coalesce(x["author"]["orcid"], F.lit("")))).alias("orcids"), "source")
+    rows = rows.select("doi", "names", aligned_identifiers(F.col("names"), F.col("ids")).alias("author_ids"), aligned_identifiers(F.col("names"), F.col("orcids")).alias("author_orcids"), "source")
+    return rows.filter((F.col("doi") != "") & ((F.size("author_ids") > 0) | (F.size("author_orcids") > 0)))
+
+
+AUTHORSHIP = "struct<author:struct<id:string,display_name:string,orcid:string>>"
+
+
 def read_raw_responses(spark: SparkSession, path: str) -> DataFrame:
     """Stored JSON responses below a folder: ``path, payload, readable``."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
@@ -160,6 +241,13 @@ def read_store(spark: SparkSession, path: str, version: str) -> DataFrame:
     return rows.select(F.explode("papers").alias("paper_id", "records")).select("paper_id", F.explode("records").alias("r")).select("paper_id", "r.*")
 
 
+def read_reviews(spark: SparkSession, path: str) -> DataFrame:
+    """``paper_id, status, reason`` of the reviews in a metadata store."""
+    schema = "reviews map<string,struct<status:string,reason:string>>"
+    rows = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("reviews").alias("paper_id", "r"))
+    return rows.select("paper_id", F.coalesce("r.status", F.lit("")).alias("status"), F.coalesce("r.reason", F.lit("")).alias("reason"))
+
+
 def parse_answers(answers: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Accepted rows and findings of untrusted answers (``seq, answer`` JSON): known keys only, one suggestion, one answer a paper."""
     allowed = ["paper_id", "doi", "arxiv_id", "title"]
