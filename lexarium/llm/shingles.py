@@ -9,6 +9,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes whose words are hashed at once; bounds the memory that a very long text takes.
+PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD1B54A32D192ED03)
 
@@ -42,12 +44,20 @@ def word_hashes(texts: list[bytes], white_bytes: np.ndarray = _WHITE) -> tuple[n
     bounds = np.searchsorted(starts, np.concatenate([[0], ends]))
     if not len(starts):
         return np.empty(0, np.uint64), bounds
-    values = _LOWER[data].astype(np.uint64) + np.uint64(1)
-    values[white] = 0
-    sizes = np.diff(starts, append=len(data))
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, sizes)
-    powers = np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))
-    return mix(np.add.reduceat(values[starts[0] :] * powers[place], starts - starts[0])), bounds
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # whole words, some at a time: numbers take eight bytes for each byte of text
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + PIECE)))
+        low, high = int(starts[i]), int(starts[j]) if j < len(starts) else len(data)
+        own = starts[i:j] - low
+        values = _LOWER[data[low:high]].astype(np.uint64) + np.uint64(1)
+        values[white[low:high]] = 0
+        sizes = np.diff(own, append=high - low)
+        place = np.arange(high - low) - np.repeat(own, sizes)
+        values *= np.cumprod(np.full(int(sizes.max()), _BASE, np.uint64))[place]
+        out[i:j] = mix(np.add.reduceat(values, own))
+        i = j
+    return out, bounds
 
 
 def combine(h: np.ndarray, n: int) -> np.ndarray:

@@ -96,3 +96,18 @@ def test_components_of_chains(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (103, 102), (102, 101)], "a long, b long")
     got = {r.id: r.label for r in near_dup.components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{i: 100 for i in range(100, 104)}}
+
+
+def test_hashes_do_not_depend_on_pieces(monkeypatch):
+    """Texts of many pieces, a word longer than a piece, and white space between."""
+    import random
+
+    from lexarium.llm import shingles
+
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abC \n\té") for _ in range(rng.randint(0, 300))).encode() for _ in range(60)] + [b"x" * 500 + b" y", b"", b"   ", b"word" + b" " * 400 + b"word"]
+    whole, bounds = shingles.word_hashes(texts)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(shingles, "PIECE", piece)
+        got, same = shingles.word_hashes(texts)
+        assert (got == whole).all() and (same == bounds).all()
