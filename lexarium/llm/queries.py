@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, warc
+from . import near_dup, prefix_trie, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,6 +92,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_decontamination": op2_decontamination,
@@ -103,5 +107,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_token_counts": op9_token_counts,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_conversation_trie": op11_conversation_trie,
 }
-SQL: dict[str, str] = {"op4_near_duplicates": near_dup.SQL, "op10_warc_derivatives": warc.SQL}
+SQL: dict[str, str] = {"op4_near_duplicates": near_dup.SQL, "op10_warc_derivatives": warc.SQL, "op11_conversation_trie": prefix_trie.SQL}
