@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import DomainError, check_count
 from ..functions.names import normalize_title, title_from_uri
 from ..functions.text import snippet
+from ..shared import keep as _keep
+from . import similarity
 from .lexical import DECIMALS, is_noise, stop_words
 
 TOP_K, MIN_SIMILARITY, REPRESENTATIVES, KEYWORDS = 8, 0.10, 3, 10
-#: Papers of a term that one task joins with the others.
-BLOCK = 2_000
 
 
 def paper_documents(chunks: DataFrame) -> DataFrame:
@@ -35,30 +35,28 @@ def paper_vectors(docs: DataFrame, stop: list[str] | None = None) -> DataFrame:
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("paper_id")))).select("paper_id", "term", "df", "w")
 
 
-def similarities(vectors: DataFrame, min_similarity: float = MIN_SIMILARITY, max_df: int | None = None) -> DataFrame:
-    """``a, b, similarity`` (a < b) of all pairs with a common term and enough similarity.
-
-    Terms of one paper make no pair. ``max_df`` leaves out terms that more papers have: an approximation for corpora
-    where the pairs of common terms are too many; by default none is left out.
-    """
-    shared = vectors.filter(F.col("df") > 1)
-    shared = shared.filter(F.col("df") <= max_df) if max_df else shared
-    # the pairs of a frequent term are dealt over blocks: papers on one side by hash, on the other in every block
-    blocks = F.ceil(F.col("df") / BLOCK).cast("int")
-    left = shared.select(F.col("paper_id").alias("a"), "term", F.col("w").alias("wa"), F.pmod(F.xxhash64("paper_id"), blocks).cast("int").alias("block"))
-    right = shared.select(F.col("paper_id").alias("b"), "term", F.col("w").alias("wb"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
-    return left.join(right, ["term", "block"]).filter("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), DECIMALS).alias("similarity")).filter(F.col("similarity") >= min_similarity)
+def similarities(vectors: DataFrame, min_similarity: float = MIN_SIMILARITY) -> DataFrame:
+    """``a, b, similarity`` (a < b) of all pairs with enough similarity, by a threshold-bounded join."""
+    return similarity.similar_pairs(vectors, min_similarity)
 
 
 def mutual_edges(pairs: DataFrame, k: int = TOP_K) -> DataFrame:
     """``source, target, weight`` (source < target): pairs where each is among the other's first ``k``; ties by id."""
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     order = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    near = both.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k)
+    return _mutual(both.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k))
+
+
+def _mutual(near: DataFrame) -> DataFrame:
     back = near.select(F.col("b").alias("a"), F.col("a").alias("b"))
     return near.join(back, ["a", "b"], "left_semi").filter("a < b").select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("similarity").alias("weight"))
 
 
+def similarity_edges(vectors: DataFrame, k: int = TOP_K, min_similarity: float = MIN_SIMILARITY, keep: Callable[[DataFrame], DataFrame] = _keep) -> DataFrame:
+    """The mutual edges of papers by their vectors: each paper's first ``k`` are found without the list of all pairs."""
+    return _mutual(keep(similarity.nearest(vectors, k, min_similarity, keep)))
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """``paper_id, neighbor, weight``: each stored edge in both directions."""
     return edges.select(F.col("source").alias("paper_id"), F.col("target").alias("neighbor"), "weight").unionByName(edges.select(F.col("target").alias("paper_id"), F.col("source").alias("neighbor"), "weight"))
@@ -165,27 +163,48 @@ def citation_keys(papers: DataFrame, front: DataFrame) -> DataFrame:
     return ids.unionByName(titles).groupBy("method", "pattern").agg(F.min("paper_id").alias("paper_id")).select("paper_id", "method", "pattern")
 
 
+#: Characters of the seed that a pattern is found by; shorter patterns are their own seeds.
+SEED = 8
+
+
+def _grams(text: Column, n: int) -> Column:
+    """All distinct runs of ``n`` characters, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
+
+
+def texts_with(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``id, pattern``: which texts (``id, text``) hold which patterns (``pattern``) as substrings, inside words too; none for an empty pattern.
+
+    A pattern's seed is the run of SEED characters in it that the fewest patterns have; texts and patterns meet on equal
+    runs, and what meets is compared whole. Exact for patterns of any form, without a pass for each of them.
+    """
+    patterns = patterns.select("pattern").distinct().filter("pattern <> ''")
+    short = patterns.filter(F.length("pattern") < SEED)
+    lengths = [r.n for r in short.select(F.length("pattern").alias("n")).distinct().collect()]  # SEED - 1 numbers at most
+    runs = patterns.filter(F.length("pattern") >= SEED).select("pattern", F.explode(_grams(F.col("pattern"), SEED)).alias("run"))
+    often = runs.groupBy("run").agg(F.count("*").alias("n"))
+    seeds = runs.join(often, "run").groupBy("pattern").agg(F.min_by("run", F.struct("n", "run")).alias("run"))
+    seeds = seeds.unionByName(short.select("pattern", F.col("pattern").alias("run")))
+    places = F.flatten(F.array(*[_grams(F.col("text"), n) for n in (SEED, *sorted(lengths))]))
+    met = texts.select("id", F.explode(places).alias("run")).join(seeds, "run").select("id", "pattern").distinct()
+    return met.join(texts, "id").filter(F.contains("text", "pattern")).select("id", "pattern").distinct()
+
+
 def citation_edges(references: DataFrame, keys: DataFrame) -> DataFrame:
     """``source_paper_id, target_paper_id, method``: whose reference text (``paper_id, text``) holds which key.
 
-    Titles match as word sequences of the normalised text, found by an equi-join on their first five words; identifiers
-    match as plain substrings (so an id that begins another matches too), found by a join on their first seven
-    characters at each place. DOI goes before arXiv before title; nothing cites itself.
+    Identifiers match in the lower-cased text, titles in the normalised one, as substrings: inside words and longer
+    identifiers too. DOI goes before arXiv before title; nothing cites itself.
     """
-    text = references.select(F.col("paper_id").alias("source_paper_id"), F.lower("text").alias("low"), normalize_title(F.col("text")).alias("norm"))
     keys = keys.select(F.col("paper_id").alias("target_paper_id"), "method", "pattern")
-    ids = keys.filter("method <> 'title'").withColumn("seed", F.substring("pattern", 1, 7))
-    # ids begin with "10.dddd" or "dddd.dd", so only such places are seeds
-    marked = F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?=(10\.\d{4}|\d{4}\.\d{2}))"), F.lit(1)))
-    by_id = text.select("source_paper_id", "low", F.explode(marked).alias("seed")).join(ids, "seed").filter(F.col("low").contains(F.col("pattern")))
-    titles = keys.filter("method = 'title'").withColumn("seed", F.substring_index("pattern", " ", 5))
-    # the words are bound once, not split again for each place
-    runs = lambda w: F.transform(w, lambda x, i: F.array_join(F.slice(w, i + 1, F.lit(5)), " "))
-    fives = F.array_distinct(F.get(F.transform(F.array(F.split("norm", " ")), runs), F.lit(0)))
-    # a title may begin or end inside a word of the text; whole words are what normalised titles match in practice
-    by_title = text.select("source_paper_id", "norm", F.explode(fives).alias("seed")).join(titles, "seed").filter(F.col("norm").contains(F.col("pattern")))
+    title = F.col("method") == "title"
+    found = None
+    for text, own in ((F.lower("text"), keys.filter(~title)), (normalize_title(F.col("text")), keys.filter(title))):
+        rows = texts_with(references.select(F.col("paper_id").alias("id"), text.alias("text")), own)
+        rows = rows.join(own, "pattern").select(F.col("id").alias("source_paper_id"), "target_paper_id", "method")
+        found = rows if found is None else found.unionByName(rows)
     rank = F.when(F.col("method") == "doi", 0).when(F.col("method") == "arxiv", 1).otherwise(2)
-    found = by_id.select("source_paper_id", "target_paper_id", "method").unionByName(by_title.select("source_paper_id", "target_paper_id", "method")).filter("source_paper_id <> target_paper_id")
+    found = found.filter("source_paper_id <> target_paper_id")
     return found.groupBy("source_paper_id", "target_paper_id").agg(F.min_by("method", rank).alias("method"))
 
 

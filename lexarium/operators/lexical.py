@@ -22,6 +22,37 @@ SCORINGS = ("hybrid", "tfidf", "bm25")
 NOISE = ["et", "al", "arxiv", "preprint", "doi", "isbn", "issn", "eds", "pp", "vol", "url", "http", "https", "www", "org", "com", "html", "pdf", "based"]
 
 
+#: Ranges of terms, and of chunks, that the index tables are partitioned by: a query reads the ranges that it asks for only.
+TERM_BUCKETS = 64
+#: Asked keys that become literals of the plan; more are joined.
+LITERALS = 2_000
+
+
+def bucket(key: Column) -> Column:
+    """The range of a term or a chunk."""
+    return F.pmod(F.xxhash64(key), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def only(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of an index table whose ``key`` is among ``wanted`` (its one column).
+
+    A few keys are collected and become literals, with their buckets where the table has these, so files and row groups are skipped;
+    more than LITERALS meet the table in a join.
+    """
+    wanted = wanted.select(F.col(wanted.columns[0]).alias(key)).distinct()
+    some = wanted.select(key, bucket(F.col(key)).alias("b")).limit(LITERALS + 1).collect()
+    if len(some) > LITERALS:
+        return table.join(wanted, key, "left_semi")
+    rows = table.filter(F.col("bucket").isin(sorted({r.b for r in some}))) if "bucket" in table.columns else table
+    return rows.filter(F.col(key).isin(sorted(r[key] for r in some)))
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """``rows`` as a local table if they are LITERALS at most, so that a small result isn't computed again by each reader."""
+    some = rows.limit(LITERALS + 1).collect()
+    return rows if len(some) > LITERALS else rows.sparkSession.createDataFrame(some, rows.schema)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case words of two or more letters, digits or underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -71,7 +102,7 @@ def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
 
     The number of query terms is small (a query set), so they are left to be broadcast; repeated terms count each time.
     """
-    hits = index.join(query_terms(queries), "term")
+    hits = index.join(query_terms(queries.filter("query_id is not null")), "term")
     idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
     by_term = hits.groupBy("query_id", "term").agg(F.first("qtf").alias("qtf"), F.first(idf).alias("idf"))
     norms = by_term.groupBy("query_id").agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("norm"))
@@ -79,11 +110,43 @@ def scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     return summed.join(norms, "query_id").select("query_id", "chunk_id", F.round(F.col("t") / F.col("norm"), DECIMALS).alias("score_tfidf"), F.round("b", DECIMALS).alias("score_bm25"))
 
 
+#: Rows between the marks of a list that is ranked, on average: a task's share. One row in SAMPLED is looked at for marks.
+RANGE, SAMPLED, MOST_MARKS = 131_072, 16_384, 1_023
+
+
+def spread_ranks(rows: DataFrame, keys: list[str], score: str, item: str = "chunk_id") -> DataFrame:
+    """``rows`` with ``rank``, highest score first, ties by item, without a list of a key's rows in one task.
+
+    A sample gives marks that cut a list into ranges; rows are counted by range, the counts before a range are its
+    offset, and rows are ranked within their range. A list shorter than RANGE is one range.
+    """
+    order = F.struct((-F.col(score)).alias("s"), F.col(item).alias("c"))
+    drawn = rows.filter(F.pmod(F.xxhash64(item), F.lit(SAMPLED)) == 0).groupBy(*keys).agg(F.array_sort(F.collect_list(order)).alias("drawn"))
+    step = F.greatest(F.lit(max(1, RANGE // SAMPLED)), F.ceil(F.size("drawn") / MOST_MARKS)).cast("int")
+    marks = drawn.select(*keys, F.filter("drawn", lambda x, i: (i + 1) % step == 0).alias("marks"))
+    none = F.expr("filter(array(struct(cast(0 as double) as s, cast('' as string) as c)), x -> false)")
+    placed = rows.join(marks, keys, "left").withColumn("range", _slot(F.coalesce("marks", none.cast(dict(marks.dtypes)["marks"])), order)).drop("marks")
+    counts = placed.groupBy(*keys, "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    offsets = counts.select(*keys, "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = F.row_number().over(Window.partitionBy(*keys, "range").orderBy(F.desc(score), item))
+    placed = placed.withColumn("within", within).join(offsets, [*keys, "range"])
+    return placed.withColumn("rank", (F.col("offset") + F.col("within")).cast("long")).drop("range", "within", "offset")
+
+
 def ranked(scored: DataFrame, score: str, item: str = "chunk_id", limit: int | None = None) -> DataFrame:
-    """``query_id, item, rank``: positive scores, highest first, ties by item. With a limit only the first are sorted."""
+    """``query_id, item, rank``: positive scores, highest first, ties by item. With a limit only the first are sorted, without one lists are ranked by ranges."""
+    some = scored.filter(F.col(score) > 0)
+    if limit is None:
+        return spread_ranks(some.select("query_id", item, score), ["query_id"], score, item).select("query_id", item, "rank")
     order = Window.partitionBy("query_id").orderBy(F.desc(score), item)
-    out = scored.filter(F.col(score) > 0).withColumn("rank", F.row_number().over(order))
-    return (out.filter(F.col("rank") <= limit) if limit else out).select("query_id", item, "rank")
+    return some.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select("query_id", item, "rank")
+
+
+def _lists(scored: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, list, score``: the positive scores of both lists as rows, so that one plan ranks them."""
+    pair = F.array(*[F.struct(F.lit(i).alias("list"), F.col(n).alias("score")) for i, n in enumerate(("score_tfidf", "score_bm25"))])
+    return scored.select("query_id", "chunk_id", F.explode(pair).alias("p")).select("query_id", "chunk_id", "p.*").filter("score > 0")
 
 
 def fuse_rankings(rankings: list[DataFrame], item: str = "chunk_id") -> DataFrame:
@@ -103,24 +166,20 @@ def hybrid(scored: DataFrame, k: int | None = None) -> DataFrame:
 
     An item outside the first 60 + 2k of both lists scores less than the k-th of either list alone does, so only the
     others are candidates. The candidates of a query lie in its lists as marks (an array each); every scored row finds the
-    marks that it lies between, rows are counted there, and a candidate's rank is the running sum. ``scored`` is persisted,
-    as it is read twice.
+    marks that it lies between, rows are counted there, and a candidate's rank is the running sum. All readers of the
+    scores take both lists, so the scores are shuffled once and the shuffle is read again.
     """
-    names = ("score_tfidf", "score_bm25")
+    lists = _lists(scored)
     if k is None:
-        return fuse_rankings([ranked(scored, n) for n in names])
-    top = RRF_K + 2 * k
-    scored = scored.persist()
-    heads = [ranked(scored, n, limit=top).select("query_id", "chunk_id") for n in names]
-    wanted = reduce(DataFrame.unionByName, heads).distinct().join(scored, ["query_id", "chunk_id"])
-    key = lambda n: F.when(F.col(n) > 0, F.struct((-F.col(n)).alias("s"), F.col("chunk_id").alias("c")))
-    marks = wanted.groupBy("query_id").agg(*[F.array_sort(F.collect_list(key(n))).alias(f"marks_{i}") for i, n in enumerate(names)])
-    places = F.array(*[F.struct(F.lit(i).alias("list"), F.when(F.col(n) > 0, _slot(F.col(f"marks_{i}"), key(n))).alias("slot")) for i, n in enumerate(names)])
-    placed = scored.join(marks, "query_id").select("query_id", F.explode(places).alias("p")).select("query_id", "p.*").filter("slot is not null")
+        return fuse_rankings([spread_ranks(lists, ["query_id", "list"], "score")])
+    order = Window.partitionBy("query_id", "list").orderBy(F.desc("score"), "chunk_id")
+    heads = lists.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= RRF_K + 2 * k).select("query_id", "chunk_id").distinct()
+    key = F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))
+    marks = lists.join(heads, ["query_id", "chunk_id"], "left_semi").groupBy("query_id", "list").agg(F.array_sort(F.collect_list(key)).alias("marks"))
+    placed = lists.join(marks, ["query_id", "list"]).select("query_id", "list", _slot(F.col("marks"), key).alias("slot"))
     counts = placed.groupBy("query_id", "list", "slot").agg(F.count("*").alias("n"))  # as many rows as marks, whatever is scored
     ranks = counts.withColumn("rank", F.sum("n").over(Window.partitionBy("query_id", "list").orderBy("slot")))
-    item = F.when(F.col("list") == 0, F.get("marks_0", F.col("slot"))).otherwise(F.get("marks_1", F.col("slot")))["c"]
-    ranks = ranks.join(marks, "query_id").select("query_id", item.alias("chunk_id"), "rank").filter("chunk_id is not null")
+    ranks = ranks.join(marks, ["query_id", "list"]).select("query_id", F.get("marks", F.col("slot"))["c"].alias("chunk_id"), "rank").filter("chunk_id is not null")
     return fuse_rankings([ranks])
 
 
@@ -163,10 +222,23 @@ def scores_by_paper(index: DataFrame, queries: DataFrame, chunks: DataFrame, sco
     return out.groupBy("query_id", "paper_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
 
 
-def chunk_neighbors(index: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
-    """``seed_id, rank, chunk_id, score``: the k nearest chunks by cosine of each seed (``seed_id``), without itself."""
+def forward(weights: DataFrame) -> DataFrame:
+    """``chunk_id, vector`` (array of term, w): the TF-IDF vector of each chunk, as a snapshot stores it beside the postings."""
+    return weights.groupBy("chunk_id").agg(F.sort_array(F.collect_list(F.struct("term", F.col("w_tfidf").alias("w")))).alias("vector"))
+
+
+def chunk_neighbors(index: DataFrame, seeds: DataFrame, k: int = 5, vectors: DataFrame | None = None) -> DataFrame:
+    """``seed_id, rank, chunk_id, score``: the k nearest chunks by cosine of each seed (``seed_id``), without itself.
+
+    With ``vectors`` (``forward``) the seeds' vectors are read first, by their ids, and then the postings of their terms only.
+    """
     check_count("k", k)
-    own = index.join(seeds.select(F.col("seed_id").alias("chunk_id")).distinct(), "chunk_id").select(F.col("chunk_id").alias("seed_id"), "term", F.col("w_tfidf").alias("w"))
+    seeds = seeds.select("seed_id").distinct()
+    if vectors is None:
+        own = index.join(seeds.withColumnRenamed("seed_id", "chunk_id"), "chunk_id").select(F.col("chunk_id").alias("seed_id"), "term", F.col("w_tfidf").alias("w"))
+    else:
+        own = only(vectors, "chunk_id", seeds).select(F.col("chunk_id").alias("seed_id"), F.explode("vector").alias("v")).select("seed_id", "v.term", "v.w")
+        index = only(index, "term", own.select("term"))
     pairs = index.join(own, "term").filter("chunk_id <> seed_id").groupBy("seed_id", "chunk_id").agg(F.round(F.sum(F.col("w") * F.col("w_tfidf")), DECIMALS).alias("score")).filter("score > 0")
     order = Window.partitionBy("seed_id").orderBy(F.desc("score"), "chunk_id")
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("seed_id", "rank", "chunk_id", "score")
@@ -199,9 +271,23 @@ def keyword_table(docs: DataFrame, top_k: int = 6, stop: list[str] | None = None
     return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"))
 
 
-def positions(chunks: DataFrame) -> DataFrame:
-    """``term, chunk_id, pos``: the positional index; terms are folded (case and marks) words of one or more letters or digits."""
-    return chunks.select("chunk_id", F.posexplode(folded_tokens(F.col("text"))).alias("pos", "term")).select("term", "chunk_id", "pos")
+#: Chunks of a block of the positional index, on average, and words of a stretch that places are counted from.
+BLOCK_CHUNKS, STRETCH = 1_024, 256
+
+
+def positions(chunks: DataFrame, blocks: int | None = None) -> DataFrame:
+    """``term, block, n, places``: the positional index, a row for each term and block of chunks.
+
+    ``places`` has (chunk_id, base, steps) in order: the places of the term in a stretch of STRETCH words of a chunk, as
+    distances from the stretch's first word; ``n`` counts them. Terms are folded (case and marks) words of one or more
+    letters or digits. Chunks are dealt to blocks by hash, about BLOCK_CHUNKS to each, so no row grows with the corpus.
+    """
+    blocks = max(1, -(-chunks.count() // BLOCK_CHUNKS)) if blocks is None else blocks
+    words = chunks.select("chunk_id", F.posexplode(folded_tokens(F.col("text"))).alias("pos", "term")).withColumn("step", F.col("pos") % STRETCH)
+    own = words.groupBy("chunk_id", "term", (F.col("pos") - F.col("step")).alias("base")).agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    own = own.withColumn("block", F.pmod(F.xxhash64("chunk_id"), F.lit(blocks)).cast("int"))
+    out = own.groupBy("term", "block").agg(F.sum(F.size("steps")).alias("n"), F.sort_array(F.collect_list(F.struct("chunk_id", "base", "steps"))).alias("places"))
+    return out.select("term", "block", "n", "places")
 
 
 def folded_tokens(text: Column) -> Column:
@@ -221,18 +307,29 @@ def folded_words(pos: DataFrame, text: str) -> list[str]:
 
 
 def _starts(pos: DataFrame, words: list[str], prefix: bool = False) -> DataFrame:
-    """``chunk_id, start``: where the words are in sequence; with ``prefix`` the last may go on.
+    """``chunk_id, starts``: where the words are in sequence; with ``prefix`` the last may go on.
 
-    Each word's places are shifted to where the phrase would begin; places that all words agree on are hits.
+    Only blocks that have all words are opened. In each chunk the places of a word, shifted to where the phrase would
+    begin, are one array; the arrays are intersected.
     """
-    parts = []
+    lists = []
     for i, w in enumerate(words):
-        match = F.col("term").startswith(w) if prefix and i == len(words) - 1 else F.col("term") == w
-        parts.append(pos.filter(match).select("chunk_id", (F.col("pos") - i).alias("start"), F.lit(i).alias("i")))
-    found = reduce(DataFrame.unionByName, parts)
-    if len(words) == 1:
-        return found.select("chunk_id", "start")
-    return found.groupBy("chunk_id", "start").agg(F.countDistinct("i").alias("n")).filter(F.col("n") == len(words)).select("chunk_id", "start")
+        if prefix and i == len(words) - 1:
+            rows = pos.filter(F.col("term").startswith(w))
+        else:
+            rows = pos.filter(F.col("term") == w)
+            if "bucket" in pos.columns:
+                rows = rows.filter(F.col("bucket") == bucket(F.lit(w)))
+        lists.append(rows.select("block", "places"))
+    if len(words) > 1:
+        blocks = reduce(lambda a, b: a.join(b, "block", "left_semi"), [x.select("block").distinct() for x in lists])
+        lists = [x.join(blocks, "block", "left_semi") for x in lists]
+    each = [x.select(F.explode("places").alias("x")).select("x.*", F.lit(i).alias("i")) for i, x in enumerate(lists)]
+    rows = reduce(DataFrame.unionByName, each).withColumn("p", F.transform("steps", lambda x: F.col("base") + x - F.col("i")))
+    own = [F.array_distinct(F.flatten(F.collect_list(F.when(F.col("i") == i, F.col("p"))))) for i in range(len(words))]
+    rows = rows.groupBy("chunk_id").agg(*[x.alias(f"p{i}") for i, x in enumerate(own)])
+    common = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(len(words))])
+    return rows.select("chunk_id", common.alias("starts")).filter(F.size("starts") > 0)
 
 
 def phrase_hits(pos: DataFrame, phrase: str, prefix: bool = False) -> DataFrame:
@@ -245,7 +342,7 @@ def phrase_hits(pos: DataFrame, phrase: str, prefix: bool = False) -> DataFrame:
         raise DomainError("invalid_input", "no word in the phrase")
     if prefix and len(words[-1]) < 3:
         raise DomainError("invalid_input", "a prefix has three letters at least")
-    found = _starts(pos, words, prefix).groupBy("chunk_id").agg(F.count("*").alias("n_hits"), F.min("start").alias("first"))
+    found = _starts(pos, words, prefix).select("chunk_id", F.size("starts").cast("long").alias("n_hits"), F.array_min("starts").alias("first"))
     return found.withColumn("width", F.lit(len(words)))
 
 
@@ -258,7 +355,7 @@ def near_hits(pos: DataFrame, terms: list[str], distance: int = 10) -> DataFrame
     phrases = [folded_words(pos, t) for t in terms]
     if len({tuple(p) for p in phrases}) < 2 or not all(phrases) or not 0 <= distance <= 50:
         raise DomainError("invalid_input", "two different terms and a distance from 0 to 50")
-    rows = reduce(DataFrame.unionByName, [_starts(pos, p).withColumn("i", F.lit(i)) for i, p in enumerate(phrases)])
+    rows = reduce(DataFrame.unionByName, [_starts(pos, p).select("chunk_id", F.explode("starts").alias("start"), F.lit(i).alias("i")) for i, p in enumerate(phrases)])
     upto = Window.partitionBy("chunk_id").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
     for i in range(len(phrases)):
         rows = rows.withColumn(f"p{i}", F.max(F.when(F.col("i") == i, F.col("start"))).over(upto))
@@ -275,7 +372,7 @@ def text_matches(pos: DataFrame, hits: DataFrame, chunks: DataFrame, paper_ids:
     counted for the matches alone; the corpus's size is read off the index.
     """
     check_count("limit", limit)
-    n, words = chunks.count(), pos.count()
+    n, words = chunks.count(), pos.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = hits.agg(F.count("*").alias("n_found"))  # a single row
     rows = hits.crossJoin(F.broadcast(found)).join(chunks.select("chunk_id", "paper_id", "text"), "chunk_id")
     length = F.size(folded_tokens(F.col("text")))

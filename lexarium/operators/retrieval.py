@@ -30,6 +30,7 @@ class Index:
     citations: DataFrame | None = None
     metadata: DataFrame | None = None
     authors: DataFrame | None = None
+    forward: DataFrame | None = None
 
     def need(self, name: str) -> DataFrame:
         table = getattr(self, name)
@@ -53,7 +54,12 @@ def cited(index: Index, hits: DataFrame) -> DataFrame:
 
 
 def search_basic(index: Index, queries: DataFrame, k: int = 5, scoring: str = "hybrid") -> DataFrame:
-    return lexical.search(index.weights, queries, k, scoring, index.chunks)
+    return lexical.search(asked_postings(index, queries), queries, k, scoring, index.chunks)
+
+
+def asked_postings(index: Index, queries: DataFrame) -> DataFrame:
+    """The postings of the queries' terms, where the index is a snapshot's, partitioned by terms."""
+    return lexical.only(index.weights, "term", lexical.query_terms(queries).select("term")) if "bucket" in index.weights.columns else index.weights
 
 
 def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, fan_out: int = 5, scoring: str = "hybrid") -> dict[str, DataFrame]:
@@ -66,9 +72,9 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
         check_count(name, value)
     if fan_out:  # 0 leaves the fan-out out
         check_count("fan_out", fan_out)
-    scored = lexical.scores(index.weights, queries).persist()
-    hits = lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored)
-    near = lexical.chunk_neighbors(index.weights, hits.select(F.col("chunk_id").alias("seed_id")).distinct(), k)
+    scored = lexical.scores(asked_postings(index, queries), queries)
+    hits = lexical.settled(lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored))
+    near = lexical.chunk_neighbors(index.weights, hits.select(F.col("chunk_id").alias("seed_id")), k, index.forward)
     lists = hits.select("query_id", F.col("chunk_id").alias("seed_id")).join(near, "seed_id").select("query_id", "chunk_id", "rank")
     fused = lexical.fuse_rankings([lists]).join(hits, ["query_id", "chunk_id"], "left_anti")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -84,7 +90,7 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
 def rank_communities(index: Index, queries: DataFrame, n: int = 5, scored: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, community_id, score``: the mean of the best five chunk scores among a community's members."""
     check_count("n", n)
-    scored = lexical.scores(index.weights, queries) if scored is None else scored
+    scored = lexical.scores(asked_postings(index, queries), queries) if scored is None else scored
     best = lexical.final_scores(scored).join(index.chunks.select("chunk_id", "paper_id"), "chunk_id").join(index.need("members").select("paper_id", "community_id"), "paper_id")
     order = Window.partitionBy("query_id", "community_id").orderBy(F.desc("score"), "chunk_id")
     top = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MEMBER_TOP).groupBy("query_id", "community_id").agg(F.round(F.avg("score"), 12).alias("score")).filter("score > 0")
@@ -100,15 +106,13 @@ def search_global(index: Index, queries: DataFrame, n: int = 5) -> DataFrame:
 def search_drift(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid") -> DataFrame:
     """``query_id, rank, chunk_id, score, fallback``: the best chunks within the best communities; of all where those have none."""
     check_count("k", k)
-    scored = lexical.scores(index.weights, queries).persist()  # read by both searches and the ranking
+    scored = lexical.scores(asked_postings(index, queries), queries)
     chosen = rank_communities(index, queries, communities, scored)
     papers = chosen.join(index.need("members").select("community_id", "paper_id"), "community_id").select("query_id", "paper_id").distinct()
-    inside = lexical.search(index.weights, queries, k, scoring, index.chunks, papers, scored).withColumn("fallback", F.lit(False)).persist()
-    rest = queries.join(inside.select("query_id").distinct(), "query_id", "left_anti")
-    if rest.isEmpty():
-        return inside
-    others = scored.join(rest.select("query_id"), "query_id", "left_semi")
-    return inside.unionByName(lexical.search(index.weights, rest, k, scoring, index.chunks, scored=others).withColumn("fallback", F.lit(True)))
+    inside = lexical.search(index.weights, queries, k, scoring, index.chunks, papers, scored)
+    rest = queries.join(inside.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    others = lexical.search(index.weights, rest, k, scoring, index.chunks, scored=scored.join(rest, "query_id", "left_semi"))
+    return inside.withColumn("fallback", F.lit(False)).unionByName(others.withColumn("fallback", F.lit(True)))
 
 
 def evidence(blocks: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -241,4 +245,4 @@ def search_author_papers(index: Index, person: str, query: str, k: int = 5) -> D
     if own.isEmpty():
         raise DomainError("not_found", f"no person {person}")
     asked = index.chunks.sparkSession.createDataFrame([("q", query)], "query_id string, query string")
-    return lexical.search(index.weights, asked, k, "hybrid", index.chunks, own)
+    return lexical.search(asked_postings(index, asked), asked, k, "hybrid", index.chunks, own)

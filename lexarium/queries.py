@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import evaluation, extraction, graph, lexical, metadata, persons, retrieval, routing
+from .plans import snapshot
+from .shared import fresh_path, keep
 from .streaming import ingest
 
 QUERIES: dict = {}
@@ -50,9 +52,23 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+#: Postings and vectors written for the documents of a folder, by what its listing says of them.
+_built: dict[tuple, tuple[str, str]] = {}
+
+
 def index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The folder's documents with postings and vectors in files, as a snapshot has them: written once a session, again if the table changes."""
     c = chunks(spark, sf_dir)
-    return retrieval.Index(c, lexical.weighted(c).persist())  # a snapshot has them as a table
+    files = sorted((str(r.path), r.length, str(r.modificationTime)) for r in spark.read.format("binaryFile").load(c.inputFiles()).select("path", "length", "modificationTime").collect())
+    key = (spark.sparkContext.applicationId, *files)
+    if key not in _built:
+        base = fresh_path(spark, "index")
+        weights = keep(lexical.weighted(c))
+        snapshot.write_postings(weights, f"{base}/postings", weights.count())
+        snapshot.write_forward(lexical.forward(weights), f"{base}/forward", weights.count())
+        _built[key] = (f"{base}/postings", f"{base}/forward")
+    postings, vectors = (spark.read.parquet(p) for p in _built[key])
+    return retrieval.Index(c, postings, forward=vectors)
 
 
 # --- SQL fragments -------------------------------------------------------------------------------------------------
@@ -154,7 +170,7 @@ def chunk_neighbors(spark, sf_dir):
     """The neighbours of every chunk whose document's id is divisible by 20, among all."""
     i = index(spark, sf_dir)
     seeds = i.chunks.filter(F.substring("chunk_id", 1, 8).cast("long") % 20 == 0).select(F.col("chunk_id").alias("seed_id"))
-    return lexical.chunk_neighbors(i.weights, seeds, 5).withColumn("score", r6("score"))
+    return lexical.chunk_neighbors(i.weights, seeds, 5, i.forward).withColumn("score", r6("score"))
 
 
 def _quoted(words) -> str:
@@ -210,7 +226,7 @@ def _vectors(spark, sf_dir):
 
 
 def _edges(spark, sf_dir):
-    return graph.mutual_edges(graph.similarities(_vectors(spark, sf_dir)))
+    return graph.similarity_edges(_vectors(spark, sf_dir))
 
 
 @query(f"WITH {_E} SELECT source, target, round(weight + 3.7e-10, 6) AS weight FROM eg")
@@ -259,6 +275,18 @@ def citation_edges(spark, sf_dir):
     return graph.citation_edges(chunks(spark, sf_dir).select("paper_id", "text"), keys)
 
 
+@query("""WITH k AS (SELECT 'i' || lpad(item_id::varchar, 6, '0') AS target_paper_id, CASE WHEN item_id % 2 = 0 THEN 'doi' ELSE 'arxiv' END AS method, substring(lower(text), 3, (4 + item_id % 9)::int) AS p FROM benchmark),
+k1 AS (SELECT method, p, min(target_paper_id) AS target_paper_id FROM k GROUP BY ALL),
+f AS (SELECT lpad(doc_id::varchar, 8, '0') AS source_paper_id, target_paper_id, method FROM documents JOIN k1 ON contains(lower(text), p))
+SELECT source_paper_id, target_paper_id, CASE WHEN bool_or(method = 'doi') THEN 'doi' ELSE 'arxiv' END AS method FROM f GROUP BY ALL""")
+def citation_identifiers(spark, sf_dir):
+    """Documents that hold pieces of benchmark items, cut inside words, which serve as identifiers of many lengths."""
+    length = (F.col("item_id") % 9 + 4).cast("int")
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("i"), F.lpad(F.col("item_id").cast("string"), 6, "0")).alias("paper_id"), F.when(F.col("item_id") % 2 == 0, "doi").otherwise("arxiv").alias("method"), F.substring(F.lower("text"), F.lit(3), length).alias("pattern"))
+    keys = items.groupBy("method", "pattern").agg(F.min("paper_id").alias("paper_id"))
+    return graph.citation_edges(chunks(spark, sf_dir).select("paper_id", "text"), keys)
+
+
 # --- search modes --------------------------------------------------------------------------------------------------
 
 _COM = "m AS (SELECT paper_id, lang AS community FROM c), s AS (SELECT community, row_number() OVER (ORDER BY count(*) DESC, min(paper_id)) - 1 AS community_id FROM m GROUP BY ALL), n AS (SELECT paper_id, community_id FROM m JOIN s USING (community))"

@@ -34,14 +34,17 @@ class Tools:
     def index(self) -> retrieval.Index:
         pointer = sinks.read_text(self.spark, f"{self.root}/{snapshot.POINTER}")
         if self._index is None or pointer != self._pointer:
-            self._index, self._pointer = snapshot.preload(snapshot.open_index(self.spark, self.root)), pointer
+            before, self._index = self._index, snapshot.preload(snapshot.open_index(self.spark, self.root))
+            self._pointer = pointer
+            if before is not None:
+                snapshot.release(before)
         return self._index
 
     def _asked(self, query: str) -> tuple[retrieval.Index, DataFrame]:
         if not query.strip():
             raise DomainError("invalid_input", "empty query")
         queries = self.spark.createDataFrame([("q", query)], "query_id string, query string")
-        return snapshot.for_terms(self.index(), queries), queries
+        return self.index(), queries
 
     def _citations(self, index: retrieval.Index, hits: DataFrame) -> list[dict]:
         return _rows(retrieval.cited(index, hits).drop("query_id"), "rank")
@@ -61,8 +64,7 @@ class Tools:
 
     def search_local(self, query: str, k: int = 5, fan_out: int = 5) -> dict:
         def run():
-            _, queries = self._asked(query)
-            index = self.index()  # neighbours of the seeds need the postings of other terms than the query's
+            index, queries = self._asked(query)
             parts = retrieval.search_local(index, queries, k, fan_out=fan_out)
             fan = _rows(parts["fan_out"].drop("query_id"), "neighbor") if fan_out else []
             return {"query": query, "seeds": self._citations(index, parts["seeds"]), "neighborhood": self._citations(index, parts["neighborhood"]), "fan_out": sorted(fan, key=lambda r: (-r["weight"], r["neighbor"]))}

@@ -116,7 +116,7 @@ def test_routing(spark):
 def test_modes_and_answers(spark, chunks):
     full = chunks.withColumns({"row_index": F.lit(0), "page_number": F.lit(1), "page_end": F.lit(2), "section_title": F.lit("")})
     vectors = graph.paper_vectors(graph.paper_documents(full), ["of", "the"])
-    edges = graph.mutual_edges(graph.similarities(vectors)).persist()
+    edges = graph.similarity_edges(vectors).persist()
     member = full.select("paper_id", F.pmod(F.crc32("paper_id"), F.lit(3)).cast("int").alias("community_id"))
     members = graph.community_members(edges, member).persist()
     index = retrieval.Index(full, lexical.weighted(full).persist(), edges, members, graph.community_table(members, graph.community_keywords(vectors, member), full))

@@ -145,15 +145,6 @@ def test_discovery(spark):
     assert {(r.arxiv_id, r.doi): (r.status, sorted(r.sources)) for r in got} == {("2404.16130", ""): ("fresh", ["arxiv", "openalex"]), ("", "10.1/known"): ("known_doi", ["openalex"])}
 
 
-def test_blocks_of_frequent_terms_keep_all_pairs(spark, monkeypatch):
-    rng = random.Random(3)
-    docs = rows(spark, [(f"p{i}", " ".join(rng.choice(["graph", "search", "model", "index", "token"]) for _ in range(6))) for i in range(30)], "paper_id string, text string")
-    vectors = graph.paper_vectors(docs, ["of"]).persist()
-    want = sorted(map(tuple, graph.similarities(vectors).collect()))
-    monkeypatch.setattr(graph, "BLOCK", 4)
-    assert sorted(map(tuple, graph.similarities(vectors).collect())) == want and want
-
-
 def modularity(edges, at):
     total = sum(w for *_, w in edges)
     degree = {}
