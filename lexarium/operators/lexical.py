@@ -6,6 +6,7 @@ postings with the queries' terms; only the terms' postings are read.
 
 from __future__ import annotations
 
+from collections import deque
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +48,25 @@ def only(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.filter(F.col(key).isin(sorted(r[key] for r in some)))
 
 
+#: Tables that ``hold`` keeps at most; older ones are let go, and computed again if they are still read.
+HELD = 8
+_held: deque[DataFrame] = deque()
+
+
+def hold(rows: DataFrame) -> DataFrame:
+    """``rows`` persisted, as several steps of a search read them, until ``let_go`` or until HELD others came after."""
+    _held.append(rows.persist())
+    while len(_held) > HELD:
+        _held.popleft().unpersist()
+    return rows
+
+
+def let_go() -> None:
+    """Unpersist what searches hold: to be called when their results are collected."""
+    while _held:
+        _held.popleft().unpersist()
+
+
 def settled(rows: DataFrame) -> DataFrame:
     """``rows`` as a local table if they are LITERALS at most, so that a small result isn't computed again by each reader."""
     some = rows.limit(LITERALS + 1).collect()
@@ -166,8 +186,8 @@ def hybrid(scored: DataFrame, k: int | None = None) -> DataFrame:
 
     An item outside the first 60 + 2k of both lists scores less than the k-th of either list alone does, so only the
     others are candidates. The candidates of a query lie in its lists as marks (an array each); every scored row finds the
-    marks that it lies between, rows are counted there, and a candidate's rank is the running sum. All readers of the
-    scores take both lists, so the scores are shuffled once and the shuffle is read again.
+    marks that it lies between, rows are counted there, and a candidate's rank is the running sum. The scores are read
+    more than once, so they should be held (``hold``).
     """
     lists = _lists(scored)
     if k is None:
@@ -176,11 +196,11 @@ def hybrid(scored: DataFrame, k: int | None = None) -> DataFrame:
     heads = lists.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= RRF_K + 2 * k).select("query_id", "chunk_id").distinct()
     key = F.struct((-F.col("score")).alias("s"), F.col("chunk_id").alias("c"))
     marks = lists.join(heads, ["query_id", "chunk_id"], "left_semi").groupBy("query_id", "list").agg(F.array_sort(F.collect_list(key)).alias("marks"))
-    placed = lists.join(marks, ["query_id", "list"]).select("query_id", "list", _slot(F.col("marks"), key).alias("slot"))
-    counts = placed.groupBy("query_id", "list", "slot").agg(F.count("*").alias("n"))  # as many rows as marks, whatever is scored
+    placed = lists.join(marks, ["query_id", "list"]).select("query_id", "list", "marks", _slot(F.col("marks"), key).alias("slot"))
+    placed = placed.select("query_id", "list", "slot", F.get("marks", F.col("slot"))["c"].alias("item"))
+    counts = placed.groupBy("query_id", "list", "slot", "item").agg(F.count("*").alias("n"))  # as many rows as marks, whatever is scored
     ranks = counts.withColumn("rank", F.sum("n").over(Window.partitionBy("query_id", "list").orderBy("slot")))
-    ranks = ranks.join(marks, ["query_id", "list"]).select("query_id", F.get("marks", F.col("slot"))["c"].alias("chunk_id"), "rank").filter("chunk_id is not null")
-    return fuse_rankings([ranks])
+    return fuse_rankings([ranks.select("query_id", F.col("item").alias("chunk_id"), "rank").filter("chunk_id is not null")])
 
 
 def final_scores(scored: DataFrame, scoring: str = "hybrid", k: int | None = None) -> DataFrame:
@@ -192,15 +212,16 @@ def final_scores(scored: DataFrame, scoring: str = "hybrid", k: int | None = Non
     return scored.select("query_id", "chunk_id", F.col(f"score_{scoring}").alias("score")).filter("score > 0")
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 5, scoring: str = "hybrid", chunks: DataFrame | None = None, paper_filter: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 5, scoring: str = "hybrid", chunks: DataFrame | None = None, paper_filter: DataFrame | None = None, scored: DataFrame | None = None, final: DataFrame | None = None) -> DataFrame:
     """The first ``k`` chunks of each query: ``query_id, rank, chunk_id, score``.
 
     ``paper_filter`` (``query_id, paper_id``, or ``paper_id`` for all queries) is applied after scores are made from the whole corpus, as ranks are the
-    corpus's. ``scored`` are the queries' scores where they are known already. With ``chunks`` that have ``document_kind``, references go behind full texts among the chosen.
+    corpus's. ``scored`` are the queries' scores where they are known already, ``final`` the final ones. With ``chunks`` that have ``document_kind``, references go behind full texts among the chosen.
     """
     check_count("k", k)
-    scored = scores(index, queries) if scored is None else scored
-    out = final_scores(scored, scoring, None if paper_filter is not None else k)
+    if final is None:
+        final = final_scores(hold(scores(index, queries)) if scored is None else scored, scoring, None if paper_filter is not None else k)
+    out = final
     if paper_filter is not None:
         out = out.join(chunks.select("chunk_id", "paper_id"), "chunk_id").join(paper_filter, paper_filter.columns, "left_semi").drop("paper_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -218,7 +239,7 @@ def demote_references(hits: DataFrame) -> DataFrame:
 
 def scores_by_paper(index: DataFrame, queries: DataFrame, chunks: DataFrame, scoring: str = "hybrid") -> DataFrame:
     """``query_id, paper_id, scores``: all positive scores of each paper's chunks, highest first."""
-    out = final_scores(scores(index, queries), scoring).join(chunks.select("chunk_id", "paper_id"), "chunk_id")
+    out = final_scores(hold(scores(index, queries)), scoring).join(chunks.select("chunk_id", "paper_id"), "chunk_id")
     return out.groupBy("query_id", "paper_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("scores"))
 
 

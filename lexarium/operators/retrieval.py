@@ -72,7 +72,7 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
         check_count(name, value)
     if fan_out:  # 0 leaves the fan-out out
         check_count("fan_out", fan_out)
-    scored = lexical.scores(asked_postings(index, queries), queries)
+    scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries))
     hits = lexical.settled(lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored))
     near = lexical.chunk_neighbors(index.weights, hits.select(F.col("chunk_id").alias("seed_id")), k, index.forward)
     lists = hits.select("query_id", F.col("chunk_id").alias("seed_id")).join(near, "seed_id").select("query_id", "chunk_id", "rank")
@@ -87,11 +87,11 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
     return {"seeds": hits, "neighborhood": fused.select("query_id", "rank", "chunk_id", "score"), "fan_out": best.select("query_id", "neighbor", "weight", "c.chunk_id", "c.score")}
 
 
-def rank_communities(index: Index, queries: DataFrame, n: int = 5, scored: DataFrame | None = None) -> DataFrame:
+def rank_communities(index: Index, queries: DataFrame, n: int = 5, final: DataFrame | None = None) -> DataFrame:
     """``query_id, rank, community_id, score``: the mean of the best five chunk scores among a community's members."""
     check_count("n", n)
-    scored = lexical.scores(asked_postings(index, queries), queries) if scored is None else scored
-    best = lexical.final_scores(scored).join(index.chunks.select("chunk_id", "paper_id"), "chunk_id").join(index.need("members").select("paper_id", "community_id"), "paper_id")
+    final = lexical.final_scores(lexical.hold(lexical.scores(asked_postings(index, queries), queries))) if final is None else final
+    best = final.join(index.chunks.select("chunk_id", "paper_id"), "chunk_id").join(index.need("members").select("paper_id", "community_id"), "paper_id")
     order = Window.partitionBy("query_id", "community_id").orderBy(F.desc("score"), "chunk_id")
     top = best.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= MEMBER_TOP).groupBy("query_id", "community_id").agg(F.round(F.avg("score"), 12).alias("score")).filter("score > 0")
     out = Window.partitionBy("query_id").orderBy(F.desc("score"), "community_id")
@@ -106,13 +106,17 @@ def search_global(index: Index, queries: DataFrame, n: int = 5) -> DataFrame:
 def search_drift(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid") -> DataFrame:
     """``query_id, rank, chunk_id, score, fallback``: the best chunks within the best communities; of all where those have none."""
     check_count("k", k)
-    scored = lexical.scores(asked_postings(index, queries), queries)
-    chosen = rank_communities(index, queries, communities, scored)
+    scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries))
+    fused = lexical.hold(lexical.final_scores(scored))
+    chosen = lexical.settled(rank_communities(index, queries, communities, fused))
     papers = chosen.join(index.need("members").select("community_id", "paper_id"), "community_id").select("query_id", "paper_id").distinct()
-    inside = lexical.search(index.weights, queries, k, scoring, index.chunks, papers, scored)
+    final = fused if scoring == "hybrid" else lexical.final_scores(scored, scoring)
+    inside = lexical.settled(lexical.search(index.weights, queries, k, scoring, index.chunks, papers, final=final).withColumn("fallback", F.lit(False)))
     rest = queries.join(inside.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
+    if rest.isEmpty():
+        return inside
     others = lexical.search(index.weights, rest, k, scoring, index.chunks, scored=scored.join(rest, "query_id", "left_semi"))
-    return inside.withColumn("fallback", F.lit(False)).unionByName(others.withColumn("fallback", F.lit(True)))
+    return inside.unionByName(others.withColumn("fallback", F.lit(True)))
 
 
 def evidence(blocks: list[tuple[str, DataFrame]]) -> DataFrame:

@@ -516,17 +516,46 @@ def metadata_report(spark, sf_dir):
 # --- intake --------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT c_custkey AS k FROM customer)
-SELECT 'f' || k AS name, CASE WHEN k % 10 = 0 THEN 'delete' WHEN k % 9 = 0 THEN 'keep' WHEN k % 8 = 0 THEN 'accept' WHEN k % 4 = 0 THEN 'quarantine' WHEN k % 7 = 0 THEN 'keep' ELSE 'accept' END AS action,
-CASE WHEN k % 10 = 0 THEN 'same_content' WHEN k % 9 = 0 THEN 'unreadable' WHEN k % 8 = 0 THEN 'replaces_reference' WHEN k % 4 = 0 THEN 'known_identifier' WHEN k % 7 = 0 THEN 'name_taken' ELSE 'new' END AS reason FROM f""")
+_LEAD = "md5(left({}, 40))"
+_FIVE = "concat_ws(' ', " + ", ".join(f"substring({_LEAD.format('t')}, {1 + 6 * i}, 6)" for i in range(5)) + ")"
+
+
+@query(f"""WITH b AS (SELECT doc_id AS id, coalesce(text, '') AS t FROM documents), d AS (SELECT id, md5(t) AS sha, {_FIVE} AS title FROM b),
+co AS (SELECT id, sha, title, 'p' || id AS paper, CASE WHEN id % 10 = 4 THEN title || '.refjson' ELSE 'c' || id || '.pdf' END AS name FROM d WHERE id % 2 = 0),
+here AS (SELECT DISTINCT name, sha FROM co WHERE id % 14 <> 0), h AS (SELECT sha, min(name) AS name FROM co GROUP BY sha),
+refs AS (SELECT paper, name FROM co WHERE id % 10 = 4), ttl AS (SELECT title, min(paper) AS owner FROM co GROUP BY title),
+f AS (SELECT id, sha, title, id % 10 = 3 AS stub, id % 11 <> 5 OR id % 10 = 3 AS sig, id % 13 <> 7 AS ok, 'f' || lpad(id::varchar, 8, '0') || CASE WHEN id % 10 = 3 THEN '.refjson' ELSE '.pdf' END AS name FROM d WHERE id % 2 = 1),
+g AS (SELECT f.*, CASE WHEN stub THEN title || '.refjson' ELSE f.name END AS target, tw.name AS twin, ow.paper AS owner, rf.name AS old, ttl.owner AS alike,
+      tw.name IS NULL AND sig AND ok AND NOT stub AND rf.name IS NOT NULL AS upgrade
+      FROM f LEFT JOIN (SELECT h.sha, h.name FROM h JOIN here USING (sha, name)) tw ON tw.sha = f.sha
+      LEFT JOIN co ow ON ow.id = f.id - 1 AND ow.id % 6 = 0 LEFT JOIN refs rf ON rf.paper = ow.paper LEFT JOIN ttl ON ttl.title = f.title),
+fr AS (SELECT old, min(name) AS by_name FROM g WHERE upgrade GROUP BY old),
+k AS (SELECT g.*, twin IS NOT NULL AND NOT coalesce(a.by_name < g.name, false) AS same, target IN (SELECT name FROM here) AND NOT coalesce(b.by_name < g.name, false) AS taken
+      FROM g LEFT JOIN fr a ON a.old = g.twin LEFT JOIN fr b ON b.old = g.target),
+c AS (SELECT *, min(CASE WHEN upgrade OR (NOT same AND sig AND ok AND owner IS NULL AND NOT taken AND alike IS NULL) THEN name END) OVER (PARTITION BY target ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM k),
+r AS (SELECT name, target, CASE WHEN same THEN 'duplicate_sha256' WHEN NOT stub AND NOT sig THEN 'not_a_pdf' WHEN NOT stub AND NOT ok THEN 'unreadable' WHEN NOT ok THEN 'invalid_stub' WHEN upgrade THEN 'upgrade_from_reference'
+      WHEN owner IS NOT NULL THEN 'duplicate_identifier' WHEN taken OR earlier IS NOT NULL THEN 'name_collision' WHEN alike IS NOT NULL THEN 'title_suspicion' ELSE 'new' END AS reason FROM c)
+SELECT name, target, CASE reason WHEN 'duplicate_sha256' THEN 'deleted' WHEN 'duplicate_identifier' THEN 'quarantined' WHEN 'upgrade_from_reference' THEN 'accepted' WHEN 'new' THEN 'accepted' ELSE 'kept' END AS action, reason FROM r""")
 def inbox_decisions(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    k = F.col("c_custkey")
-    s = k.cast("string")
-    files = c.select(F.concat(F.lit("f"), s).alias("name"), F.concat(F.lit("h"), s).alias("sha256"), (k % 9 != 0).alias("readable"), F.lit("full").alias("kind"), F.concat(F.lit("10.1/D"), s).alias("doi"), F.lit("").alias("arxiv"))
-    corpus = c.select(F.when(k % 7 == 0, F.concat(F.lit("f"), s)).otherwise(F.concat(F.lit("c"), s)).alias("name"), F.when(k % 10 == 0, F.concat(F.lit("h"), s)).otherwise(F.concat(F.lit("o"), s)).alias("sha256"), s.alias("paper_id"), F.when(k % 8 == 0, "reference").otherwise("full").alias("document_kind"))
-    owners = c.filter(k % 4 == 0).select(F.lit("doi").alias("kind"), F.concat(F.lit("10.1/d"), s).alias("value"), s.alias("paper_id"))
-    return ingest.classify_inbox(files, corpus, owners)
+    """Odd documents as an inbox, even ones as the corpus: equal texts are twins, texts that begin alike have one title, each third odd one has its neighbour's DOI."""
+    from .streaming import intake
+
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("t"))
+    rows = rows.select("id", F.md5(F.col("t").cast("binary")).alias("sha256"), F.expr(_FIVE.replace("md5(left(t, 40))", "md5(cast(left(t, 40) as binary))")).alias("title"))
+    k, s = F.col("id"), F.col("id").cast("string")
+    even = rows.filter(k % 2 == 0).select("id", "sha256", "title", F.concat(F.lit("p"), s).alias("paper_id"), F.when(k % 10 == 4, F.concat("title", F.lit(".refjson"))).otherwise(F.concat(F.lit("c"), s, F.lit(".pdf"))).alias("name"))
+    corpus = {
+        "hashes": even.groupBy("sha256").agg(F.min("name").alias("name")),
+        "owners": even.filter(k % 6 == 0).select(F.lit("doi").alias("kind"), F.concat(F.lit("10.1/p"), s).alias("value"), "paper_id"),
+        "titles": even.groupBy("title").agg(F.min("paper_id").alias("title_id")),
+        "references": even.filter(k % 10 == 4).select("paper_id", "name"),
+    }
+    stub = k % 10 == 3
+    own = F.concat(F.lit("f"), F.lpad(s, 8, "0"), F.when(stub, ".refjson").otherwise(".pdf"))
+    ids = F.when(k % 6 == 1, F.create_map(F.lit("doi"), F.concat(F.lit("10.1/P"), (k - 1).cast("string")))).otherwise(F.create_map().cast("map<string,string>"))
+    files = rows.filter(k % 2 == 1).select(own.alias("name"), "sha256", F.when(stub, "reference").otherwise("full").alias("kind"), ((k % 11 != 5) | stub).alias("signature"), (k % 13 != 7).alias("readable"), ids.alias("identifiers"), F.array("title").alias("titles"), F.when(stub, F.concat("title", F.lit(".refjson"))).otherwise(own).alias("target"))
+    present = even.filter(k % 14 != 0).select("name", "sha256")
+    return intake.decide(files, corpus, present).select("name", "target", "action", "reason")
 
 
 @query("SELECT doc_id::varchar AS paper_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 4 = 0")

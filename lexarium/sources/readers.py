@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..errors import DomainError
 from ..functions.names import normalize_identifier
@@ -51,20 +52,49 @@ def read_binary(spark: SparkSession, path: str, parse: Callable[[bytes], list[st
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
     """Canonical papers as JSON; fields that older versions lack are null."""
-    return spark.read.schema(PAPER_SCHEMA).json(path, multiLine=True)
+    return _objects(spark, path, PAPER_SCHEMA, "paper_id").drop("_path")
 
 
 def schema_versions(spark: SparkSession, path: str) -> DataFrame:
-    """``path, schema_version`` of canonical papers; only that field is parsed."""
-    return spark.read.schema("schema_version string").json(path, multiLine=True).select(F.col("_metadata.file_path").alias("path"), "schema_version")
+    """``path, schema_version`` of canonical papers; only that field and the id are parsed."""
+    return _objects(spark, path, "schema_version string, paper_id string", "paper_id").select(F.col("_path").alias("path"), "schema_version")
+
+
+def _objects(spark: SparkSession, path: str, schema: str, needed: str) -> DataFrame:
+    """Objects of JSON files with their ``_path``: one a line, or one that is all of its file.
+
+    A file without a line that is an object is read as a whole. A file that has lines of both kinds is damaged, which is an error.
+    """
+    named = F.col("_metadata.file_path").alias("_path")
+    fields = StructType.fromDDL(schema).names
+    lines = spark.read.schema(f"{schema}, _corrupt string").json(path, columnNameOfCorruptRecord="_corrupt").select(*fields, "_corrupt", named)
+    good = F.col(needed).isNotNull() & F.col("_corrupt").isNull()
+    kinds = lines.groupBy("_path").agg(F.count_if(good).alias("good"), F.count_if(~good).alias("bad"))
+    mixed = kinds.filter("good > 0 and bad > 0").limit(1).collect()
+    if mixed:
+        raise DomainError("parse_error", f"lines of {mixed[0]._path} are not papers")
+    lines = lines.filter(good).drop("_corrupt")
+    whole = kinds.filter("good = 0").select("_path")
+    if whole.isEmpty():
+        return lines
+    objects = spark.read.schema(schema).json(path, multiLine=True).select(*fields, named)
+    return lines.unionByName(objects.join(whole, "_path", "left_semi").select(*fields, "_path").filter(F.col(needed).isNotNull()))
 
 
 def read_stubs(spark: SparkSession, path: str) -> DataFrame:
     """Reference stubs: validated, printable, cut to length; ``error`` says what is wrong with a file."""
-    rows = spark.read.schema(STUB_SCHEMA).json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))
+    return parse_stubs(files).drop("path")
+
+
+def parse_stubs(files: DataFrame) -> DataFrame:
+    """``files`` with a ``payload`` each (the text of a stub) and the stub's fields in its place."""
+    rows = files.withColumn("s", F.from_json("payload", STUB_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    rows = rows.select(*[c for c in files.columns if c not in ("payload", "content")], "s.*")
     limits = {"title": 500, "venue": 300, "doi": 200, "arxiv_id": 50, "source": 100, "note": 500, "abstract": 10_000}
     rows = rows.withColumns({c: printable(F.coalesce(c, F.lit("")), n) for c, n in limits.items()}).withColumn("url", safe_url(F.coalesce("url", F.lit(""))))
-    error = F.when(F.col("_corrupt").isNotNull(), "parse_error").when(F.col("document_kind") != "reference", "constraint_violation").when(F.col("title") == "", "invalid_input")
+    wrong = F.coalesce("document_kind", F.lit("")) != "reference"
+    error = F.when(F.col("_corrupt").isNotNull(), "parse_error").when(wrong, "constraint_violation").when(F.col("title") == "", "invalid_input")
     return rows.withColumn("error", error).drop("_corrupt")
 
 

@@ -23,31 +23,6 @@ def stale(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return manifest.select("paper_id").distinct().join(alive, "paper_id", "left_anti")
 
 
-def classify_inbox(files: DataFrame, corpus: DataFrame, owners: DataFrame) -> DataFrame:
-    """``name, action, reason``: what to do with each file of an inbox; the order of the tests is the contract.
-
-    ``files``: name, sha256, readable, kind (full or reference), doi, arxiv; ``corpus``: name, sha256, paper_id,
-    document_kind; ``owners``: kind, value, paper_id of uniquely owned identifiers.
-    """
-    same = corpus.groupBy("sha256").agg(F.min("name").alias("twin"))
-    named = corpus.select("name", F.lit(True).alias("taken")).distinct()
-    kinds = corpus.groupBy("paper_id").agg(F.min("document_kind").alias("owner_kind"))
-    by = lambda kind: owners.filter(F.col("kind") == kind).select(F.lower("value").alias(kind), F.col("paper_id").alias(f"by_{kind}"))
-    rows = files.withColumns({k: F.lower(F.coalesce(k, F.lit(""))) for k in ("doi", "arxiv")}).join(same, "sha256", "left").join(named, "name", "left").join(by("doi"), "doi", "left").join(by("arxiv"), "arxiv", "left")
-    rows = rows.withColumn("owner", F.coalesce("by_doi", "by_arxiv")).join(kinds.withColumnRenamed("paper_id", "owner"), "owner", "left")
-    what = lambda action, reason: F.struct(F.lit(action).alias("action"), F.lit(reason).alias("reason"))
-    known = F.col("owner").isNotNull()
-    action = (
-        F.when(F.col("twin").isNotNull(), what("delete", "same_content"))
-        .when(~F.col("readable"), what("keep", "unreadable"))
-        .when(known & (F.col("owner_kind") == "reference") & (F.col("kind") == "full"), what("accept", "replaces_reference"))
-        .when(known, what("quarantine", "known_identifier"))
-        .when(F.col("taken"), what("keep", "name_taken"))
-        .otherwise(what("accept", "new"))
-    )
-    return rows.withColumn("x", action).select("name", "x.action", "x.reason")
-
-
 def watch(spark: SparkSession, inbox: str, checkpoint: str, handle: Callable[[DataFrame, int], None], glob: str = "*") -> StreamingQuery:
     """Files of a folder as a stream: ``handle`` gets each batch (``path, sha256, content``) once; ends when all are handled."""
     schema = "path string, modificationTime timestamp, length long, content binary"

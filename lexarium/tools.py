@@ -51,6 +51,7 @@ class Tools:
 
     def _call(self, produce: Callable[[], dict]) -> dict:
         result, error = guard(produce)
+        lexical.let_go()
         return error if error is not None else result
 
     # --- search ---------------------------------------------------------------------------------------------------

@@ -248,3 +248,25 @@ def test_readers_of_tables_and_lists(spark, tmp_path):
     back = readers.read_papers(spark, f"file://{tmp_path}/papers").first()
     assert (back.paper_id, back.identifiers, back.sections) == ("p", {"doi": "d"}, None)
     assert [r.schema_version for r in readers.schema_versions(spark, f"file://{tmp_path}/papers").collect()] == ["1.0"]
+
+
+def test_papers_in_files_of_any_layout(spark, tmp_path):
+    """Several papers in a file, one a line, come back as they were; so does a file that is one object over many lines."""
+    papers = rows(spark, [("1.0", f"p{i}", {"doi": str(i)}) for i in range(6)], "schema_version string, paper_id string, identifiers map<string,string>")
+    folder = f"file://{tmp_path}/papers"
+    sinks.write_papers(papers.coalesce(1), folder)
+    back = lambda: {(r.paper_id, r.identifiers["doi"]) for r in readers.read_papers(spark, folder).collect()}
+    assert back() == {(f"p{i}", str(i)) for i in range(6)}
+    assert len(readers.schema_versions(spark, folder).collect()) == 6
+    (tmp_path / "papers" / "whole.json").write_text(json.dumps({"schema_version": "1.0", "paper_id": "w", "identifiers": {"doi": "w"}, "chunks": []}, indent=2))
+    assert len(back()) == 7 and ("w", "w") in back()
+    (tmp_path / "papers" / "broken.json").write_text('{"paper_id": "x", "identifiers": {}}\n{"paper_id": \n')
+    with pytest.raises(DomainError):
+        readers.read_papers(spark, folder)
+
+
+def test_sections_of_a_run_stand_beside_each_other(spark, tmp_path):
+    log = f"file://{tmp_path}/log"
+    for section, n in (("a", 1), ("b", 2), ("a", 3)):
+        sinks.append_rows(rows(spark, [(n,)], "n int"), log, "t1", section)
+    assert {(r.section, r.n) for r in spark.read.parquet(log).collect()} == {("a", 3), ("b", 2)}

@@ -72,11 +72,3 @@ def test_incremental(spark, tmp_path):
     for _ in range(2):
         ingest.watch(spark, f"file://{inbox}", f"file://{tmp_path}/ck", lambda df, i: seen.extend(r.sha256 for r in df.select("sha256").collect())).awaitTermination()
     assert len(seen) == 1
-
-
-def test_inbox_classes(spark):
-    files = spark.createDataFrame([("a", "1", True, "full", "", ""), ("b", "9", False, "full", "", ""), ("c", "8", True, "full", "10.1/X", ""), ("d", "7", True, "full", "10.1/y", ""), ("n", "6", True, "full", "", ""), ("e", "5", True, "full", "", "")], "name string, sha256 string, readable boolean, kind string, doi string, arxiv string")
-    corpus = spark.createDataFrame([("o", "1", "p1", "full"), ("n", "2", "p2", "reference")], "name string, sha256 string, paper_id string, document_kind string")
-    owners = spark.createDataFrame([("doi", "10.1/x", "p1"), ("doi", "10.1/y", "p2")], "kind string, value string, paper_id string")
-    got = {r.name: (r.action, r.reason) for r in ingest.classify_inbox(files, corpus, owners).collect()}
-    assert got == {"a": ("delete", "same_content"), "b": ("keep", "unreadable"), "c": ("quarantine", "known_identifier"), "d": ("accept", "replaces_reference"), "n": ("keep", "name_taken"), "e": ("accept", "new")}
