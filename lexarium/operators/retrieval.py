@@ -98,13 +98,32 @@ def rank_communities(index: Index, queries: DataFrame, n: int = 5, final: DataFr
     return top.withColumn("rank", F.row_number().over(out)).filter(F.col("rank") <= n).select("query_id", "rank", "community_id", "score")
 
 
+def community_matches(index: Index, chosen: DataFrame) -> DataFrame:
+    """``chosen`` communities with their keywords, size and summary, and ``representatives`` (paper_id, title, citation_key), most central first."""
+    own = index.need("members").filter("is_representative").join(chosen.select("community_id").distinct(), "community_id")
+    if index.metadata is None:
+        own = own.withColumns({"title": F.lit(""), "citation_key": F.col("paper_id")})
+    else:
+        title = F.coalesce("title", F.lit(""))
+        key = citation_key(F.col("paper_id"), title, F.coalesce("authors", F.array().cast("array<string>")), F.coalesce("year", F.lit(0)))
+        own = own.join(index.metadata.select("paper_id", title.alias("title"), key.alias("citation_key")), "paper_id", "left")
+    order = F.array_sort(F.collect_list(F.struct((-F.col("centrality")).alias("c"), "paper_id", "title", "citation_key")))
+    own = own.groupBy("community_id").agg(F.transform(order, lambda x: F.struct(x["paper_id"].alias("paper_id"), x["title"].alias("title"), x["citation_key"].alias("citation_key"))).alias("representatives"))
+    return chosen.join(index.need("communities"), "community_id").join(own, "community_id", "left")
+
+
 def search_global(index: Index, queries: DataFrame, n: int = 5) -> DataFrame:
-    """The communities with their keywords, size and summary."""
-    return rank_communities(index, queries, n).join(index.need("communities"), "community_id")
+    """The communities with what they are known by (``community_matches``)."""
+    return community_matches(index, rank_communities(index, queries, n))
 
 
 def search_drift(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid") -> DataFrame:
     """``query_id, rank, chunk_id, score, fallback``: the best chunks within the best communities; of all where those have none."""
+    return search_drift_parts(index, queries, k, communities, scoring)["hits"]
+
+
+def search_drift_parts(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid") -> dict[str, DataFrame]:
+    """``hits`` (see ``search_drift``) and the ``communities`` (query_id, rank, community_id, score) that they were looked for in."""
     check_count("k", k)
     scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries))
     fused = lexical.hold(lexical.final_scores(scored))
@@ -114,9 +133,9 @@ def search_drift(index: Index, queries: DataFrame, k: int = 6, communities: int
     inside = lexical.settled(lexical.search(index.weights, queries, k, scoring, index.chunks, papers, final=final).withColumn("fallback", F.lit(False)))
     rest = queries.join(inside.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
     if rest.isEmpty():
-        return inside
+        return {"hits": inside, "communities": chosen}
     others = lexical.search(index.weights, rest, k, scoring, index.chunks, scored=scored.join(rest, "query_id", "left_semi"))
-    return inside.unionByName(others.withColumn("fallback", F.lit(True)))
+    return {"hits": inside.unionByName(others.withColumn("fallback", F.lit(True))), "communities": chosen}
 
 
 def evidence(blocks: list[tuple[str, DataFrame]]) -> DataFrame:
@@ -174,13 +193,24 @@ def answer_question(index: Index, query: str, mode: str = "auto", k: int = 5, pr
 
 
 def get_paper(index: Index, paper_id: str) -> DataFrame:
-    """One row: pages, chunks, section titles in order of first appearance, first snippet; not_found if there is none."""
+    """One row: pages, chunks, section titles in order of first appearance, first snippet; not_found if there is none.
+
+    From a snapshot also the paper's kind, source and identifiers as they were read, and its merged record as ``reference``.
+    """
+    if not paper_id.strip():
+        raise DomainError("invalid_input", "no paper id")
     rows = index.chunks.filter(F.col("paper_id") == paper_id)
     if rows.isEmpty():
         raise DomainError("not_found", f"no paper {paper_id}")
     titles = rows.filter(F.col("section_title") != "").groupBy("paper_id", "section_title").agg(F.min("row_index").alias("at")).groupBy("paper_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "section_title"))), lambda x: x["section_title"]).alias("sections"))
     head = rows.groupBy("paper_id").agg(F.max("page_end").alias("n_pages"), F.count("*").alias("n_chunks"), snippet(F.min_by("text", "row_index")).alias("snippet"))
-    return head.join(titles, "paper_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
+    out = head.join(titles, "paper_id", "left").withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
+    if index.papers is not None:
+        out = out.join(index.papers.filter(F.col("paper_id") == paper_id).select("paper_id", "document_kind", "source_uri", "identifiers"), "paper_id", "left")
+    if index.metadata is not None:
+        record = F.struct(*[c for c in index.metadata.columns if c != "paper_id"]).alias("reference")
+        out = out.join(index.metadata.filter(F.col("paper_id") == paper_id).select("paper_id", record), "paper_id", "left")
+    return out
 
 
 def references(metadata: DataFrame) -> DataFrame:

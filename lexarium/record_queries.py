@@ -525,7 +525,7 @@ co AS (SELECT id, sha, title, 'p' || id AS paper, CASE WHEN id % 10 = 4 THEN tit
 here AS (SELECT DISTINCT name, sha FROM co WHERE id % 14 <> 0), h AS (SELECT sha, min(name) AS name FROM co GROUP BY sha),
 refs AS (SELECT paper, name FROM co WHERE id % 10 = 4), ttl AS (SELECT title, min(paper) AS owner FROM co GROUP BY title),
 f AS (SELECT id, sha, title, id % 10 = 3 AS stub, id % 11 <> 5 OR id % 10 = 3 AS sig, id % 13 <> 7 AS ok, 'f' || lpad(id::varchar, 8, '0') || CASE WHEN id % 10 = 3 THEN '.refjson' ELSE '.pdf' END AS name FROM d WHERE id % 2 = 1),
-g AS (SELECT f.*, CASE WHEN stub THEN title || '.refjson' ELSE f.name END AS target, tw.name AS twin, ow.paper AS owner, rf.name AS old, ttl.owner AS alike,
+g AS (SELECT f.*, CASE WHEN stub THEN f.title || '.refjson' ELSE f.name END AS target, tw.name AS twin, ow.paper AS owner, rf.name AS old, ttl.owner AS alike,
       tw.name IS NULL AND sig AND ok AND NOT stub AND rf.name IS NOT NULL AS upgrade
       FROM f LEFT JOIN (SELECT h.sha, h.name FROM h JOIN here USING (sha, name)) tw ON tw.sha = f.sha
       LEFT JOIN co ow ON ow.id = f.id - 1 AND ow.id % 6 = 0 LEFT JOIN refs rf ON rf.paper = ow.paper LEFT JOIN ttl ON ttl.title = f.title),

@@ -67,7 +67,7 @@ class Tools:
         def run():
             index, queries = self._asked(query)
             parts = retrieval.search_local(index, queries, k, fan_out=fan_out)
-            fan = _rows(parts["fan_out"].drop("query_id"), "neighbor") if fan_out else []
+            fan = _rows(retrieval.cited(index, parts["fan_out"]).drop("query_id"), "neighbor") if fan_out else []
             return {"query": query, "seeds": self._citations(index, parts["seeds"]), "neighborhood": self._citations(index, parts["neighborhood"]), "fan_out": sorted(fan, key=lambda r: (-r["weight"], r["neighbor"]))}
 
         return self._call(run)
@@ -82,9 +82,10 @@ class Tools:
     def search_drift(self, query: str, k: int = 6) -> dict:
         def run():
             index, queries = self._asked(query)
-            hits = retrieval.search_drift(index, queries, k)
-            found = self._citations(index, hits)
-            return {"query": query, "fallback": any(r["fallback"] for r in found), "citations": found}
+            parts = retrieval.search_drift_parts(index, queries, k)
+            found = self._citations(index, parts["hits"])
+            matches = _rows(retrieval.community_matches(index, parts["communities"]).drop("query_id"), "rank")
+            return {"query": query, "communities": matches, "fallback": any(r["fallback"] for r in found), "citations": found}
 
         return self._call(run)
 

@@ -216,6 +216,14 @@ def test_tools(spark, tmp_path):
     assert tools.search_basic(" ")["error"]["code"] == "invalid_input" and tools.search_basic("x", 51)["error"]["code"] == "invalid_input"
     assert tools.search_local("graph search", 2, 0)["fan_out"] == [] and len(tools.search_local("graph search", 2)["seeds"]) == 3
     assert tools.search_global("herbs", 1)["communities"][0]["rank"] == 1 and not tools.search_drift("herbs", 1)["fallback"]
+    match = tools.search_global("herbs", 1)["communities"][0]
+    assert [(r["paper_id"], r["citation_key"]) for r in match["representatives"]] == [("p3", "p3")] and match["size"] == 1
+    assert [c["community_id"] for c in tools.search_drift("herbs", 1)["communities"]][0] == match["community_id"]
+    fan = tools.search_local("graph search", 2)["fan_out"]
+    assert all({"paper_id", "pages", "snippet", "citation_key", "weight"} <= set(r) for r in fan)
+    detail = tools.get_paper("p1")
+    assert (detail["document_kind"], detail["identifiers"], detail["reference"]["doi"]) == ("full", {"doi": "10.1145/1234"}, "10.1145/1234") and detail["source_uri"].endswith("p1.pdf")
+    assert tools.get_paper(" ")["error"]["code"] == "invalid_input"
     assert tools.search_text(phrase="Graph, search")["total"] == 3 and tools.search_text(near=["index", "graph"], paper_ids=["p2"])["matches"][0]["paper_id"] == "p2"
     assert tools.search_text()["error"]["code"] == "invalid_input"
     assert tools.get_paper("p2")["sections"] == ["Introduction", "References"] and tools.get_paper("nope")["error"]["code"] == "not_found"
