@@ -33,7 +33,11 @@ def read_binary(spark: SparkSession, path: str, parse: Callable[[bytes], list[st
     ``parse`` turns a file's bytes into page texts; a file that it fails on is one row with the error.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", "content")
-    files = files.withColumn("sha256", F.sha2("content", 256))
+    return parse_binary(files.withColumn("sha256", F.sha2("content", 256)), parse)
+
+
+def parse_binary(files: DataFrame, parse: Callable[[bytes], list[str]]) -> DataFrame:
+    """``path, paper_id, sha256, page_number, text, error`` of files (``path, content, sha256``): see ``read_binary``."""
 
     def run(batches):
         import pandas as pd
@@ -47,7 +51,7 @@ def read_binary(spark: SparkSession, path: str, parse: Callable[[bytes], list[st
                     rows.append((p, digest[:16], digest, 0, None, f"parse_error: {e}"))
             yield pd.DataFrame(rows, columns=["path", "paper_id", "sha256", "page_number", "text", "error"])
 
-    return files.mapInPandas(run, "path string, paper_id string, sha256 string, page_number int, text string, error string")
+    return files.select("path", "content", "sha256").mapInPandas(run, "path string, paper_id string, sha256 string, page_number int, text string, error string")
 
 
 def read_papers(spark: SparkSession, path: str) -> DataFrame:
