@@ -62,18 +62,19 @@ def asked_postings(index: Index, queries: DataFrame) -> DataFrame:
     return lexical.only(index.weights, "term", lexical.query_terms(queries).select("term")) if "bucket" in index.weights.columns else index.weights
 
 
-def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, fan_out: int = 5, scoring: str = "hybrid") -> dict[str, DataFrame]:
+def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, fan_out: int = 5, scoring: str = "hybrid", scored: DataFrame | None = None, final: DataFrame | None = None) -> dict[str, DataFrame]:
     """``seeds``, ``neighborhood`` and ``fan_out`` of each query.
 
     The neighbourhood fuses the ``k`` nearest chunks of each seed and leaves the seeds out afterwards; the fan-out takes
-    the heaviest edges of the first seed's paper, and of each neighbour the best chunk for the query.
+    the heaviest edges of the first seed's paper, and of each neighbour the best chunk for the query. ``scored`` and
+    ``final`` are the queries' scores where they are known already.
     """
     for name, value in (("k", k), ("seeds", seeds)):
         check_count(name, value)
     if fan_out:  # 0 leaves the fan-out out
         check_count("fan_out", fan_out)
-    scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries))
-    hits = lexical.settled(lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored))
+    scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries)) if scored is None else scored
+    hits = lexical.settled(lexical.search(index.weights, queries, seeds, scoring, index.chunks, scored=scored, final=final))
     near = lexical.chunk_neighbors(index.weights, hits.select(F.col("chunk_id").alias("seed_id")), k, index.forward)
     lists = hits.select("query_id", F.col("chunk_id").alias("seed_id")).join(near, "seed_id").select("query_id", "chunk_id", "rank")
     fused = lexical.fuse_rankings([lists]).join(hits, ["query_id", "chunk_id"], "left_anti")
@@ -82,7 +83,7 @@ def search_local(index: Index, queries: DataFrame, k: int = 5, seeds: int = 5, f
     first = hits.filter("rank = 1").join(index.chunks.select("chunk_id", "paper_id"), "chunk_id").select("query_id", "paper_id")
     by_weight = Window.partitionBy("query_id").orderBy(F.desc("weight"), "neighbor")
     around = first.join(both_ways(index.need("edges")), "paper_id").withColumn("r", F.row_number().over(by_weight)).filter(F.col("r") <= fan_out).select("query_id", "neighbor", "weight")
-    chunk_scores = lexical.final_scores(scored, scoring).join(index.chunks.select("chunk_id", F.col("paper_id").alias("neighbor")), "chunk_id")
+    chunk_scores = (lexical.final_scores(scored, scoring) if final is None else final).join(index.chunks.select("chunk_id", F.col("paper_id").alias("neighbor")), "chunk_id")
     best = chunk_scores.join(around, ["query_id", "neighbor"]).groupBy("query_id", "neighbor", "weight").agg(F.min_by(F.struct("chunk_id", "score"), F.struct(-F.col("score"), F.col("chunk_id"))).alias("c"))
     return {"seeds": hits, "neighborhood": fused.select("query_id", "rank", "chunk_id", "score"), "fan_out": best.select("query_id", "neighbor", "weight", "c.chunk_id", "c.score")}
 
@@ -122,11 +123,11 @@ def search_drift(index: Index, queries: DataFrame, k: int = 6, communities: int
     return search_drift_parts(index, queries, k, communities, scoring)["hits"]
 
 
-def search_drift_parts(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid") -> dict[str, DataFrame]:
+def search_drift_parts(index: Index, queries: DataFrame, k: int = 6, communities: int = 5, scoring: str = "hybrid", scored: DataFrame | None = None, fused: DataFrame | None = None) -> dict[str, DataFrame]:
     """``hits`` (see ``search_drift``) and the ``communities`` (query_id, rank, community_id, score) that they were looked for in."""
     check_count("k", k)
-    scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries))
-    fused = lexical.hold(lexical.final_scores(scored))
+    scored = lexical.hold(lexical.scores(asked_postings(index, queries), queries)) if scored is None else scored
+    fused = lexical.hold(lexical.final_scores(scored)) if fused is None else fused
     chosen = lexical.settled(rank_communities(index, queries, communities, fused))
     papers = chosen.join(index.need("members").select("community_id", "paper_id"), "community_id").select("query_id", "paper_id").distinct()
     final = fused if scoring == "hybrid" else lexical.final_scores(scored, scoring)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .functions import names, text
 from .operators import evaluation, evidence, extraction, graph, lexical, metadata, persons, records, retrieval, routing
 from .queries import _A, _C, _COM, _E, _Q, _RANKC, _authors, _community_index, _edges, _gold, _order_metadata, _quoted, _top, chunks, index, paper_id, query, questions, r6, table
+from .shared import keep
 from .sources import readers, sinks
 from .streaming import ingest
 
@@ -736,6 +737,45 @@ def coverage_lift(spark, sf_dir):
     return out.select("strategy", *[F.round(c, 6).alias(c) for c in ("coverage", "selectivity", "lift")])
 
 
+_EVAL = f"""{_E}, {_Q}, {_COM}, x AS (SELECT item_id AS query_id, paper_id FROM c JOIN benchmark b ON contains(c.text, b.text)),
+top AS ({_top("SELECT * FROM hy", 5)}), b AS (SELECT query_id, community_id, score FROM hy JOIN c USING (chunk_id) JOIN n USING (paper_id) QUALIFY row_number() OVER (PARTITION BY query_id, community_id ORDER BY score DESC, chunk_id) <= 5),
+rc AS (SELECT query_id, community_id, round(avg(score), 12) AS score FROM b GROUP BY ALL), ch AS (SELECT query_id, community_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, community_id) AS rank FROM rc QUALIFY rank <= 2),
+t AS (SELECT DISTINCT chunk_id FROM top), p AS (SELECT x.chunk_id AS seed_id, y.chunk_id, round(sum(x.w_tfidf * y.w_tfidf), 9) AS s FROM idx x JOIN t ON t.chunk_id = x.chunk_id JOIN idx y ON y.term = x.term AND y.chunk_id <> x.chunk_id GROUP BY ALL),
+nn AS (SELECT *, row_number() OVER (PARTITION BY seed_id ORDER BY s DESC, chunk_id) AS k FROM p WHERE s > 0 QUALIFY k <= 5),
+fu AS (SELECT query_id, nn.chunk_id, round(sum(1.0 / (60 + k)), 12) AS score FROM top JOIN nn ON nn.seed_id = top.chunk_id GROUP BY ALL),
+nb AS (SELECT fu.*, row_number() OVER (PARTITION BY fu.query_id ORDER BY fu.score DESC, fu.chunk_id) AS rank FROM fu LEFT JOIN top ON top.query_id = fu.query_id AND top.chunk_id = fu.chunk_id WHERE top.chunk_id IS NULL QUALIFY rank <= 5),
+bw AS (SELECT source AS p, target AS q, weight FROM eg UNION ALL SELECT target, source, weight FROM eg),
+ar AS (SELECT query_id, q AS neighbor, weight FROM (SELECT query_id, left(chunk_id, 8) AS p FROM top WHERE rank = 1) JOIN bw USING (p) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, q) <= 5),
+fo AS (SELECT ar.query_id, neighbor, row_number() OVER (PARTITION BY ar.query_id ORDER BY weight DESC, neighbor) AS rank FROM ar JOIN hy ON hy.query_id = ar.query_id AND left(chunk_id, 8) = neighbor),
+lo AS (SELECT query_id, 0 AS i, rank, left(chunk_id, 8) AS paper_id, 'seed' AS part FROM top UNION ALL SELECT query_id, 1, rank, left(chunk_id, 8), 'neighborhood' FROM nb UNION ALL SELECT query_id, 2, rank, neighbor, 'fan_out' FROM fo),
+lr AS (SELECT query_id, paper_id, part, row_number() OVER (PARTITION BY query_id ORDER BY i, rank, paper_id) AS rank FROM lo),
+dh AS (SELECT hy.* FROM hy JOIN c USING (chunk_id) JOIN n USING (paper_id) JOIN ch ON ch.query_id = hy.query_id AND ch.community_id = n.community_id),
+dt AS ({_top("SELECT * FROM dh", 6)}),
+inside AS (SELECT ch.query_id, min(ch.rank) AS rank FROM ch JOIN n USING (community_id) JOIN x ON x.query_id = ch.query_id AND x.paper_id = n.paper_id GROUP BY 1),
+r AS (SELECT 'primitive' AS label, top.query_id, min(rank) AS rank, NULL AS part FROM top JOIN x ON x.query_id = top.query_id AND x.paper_id = left(chunk_id, 8) GROUP BY top.query_id
+  UNION ALL SELECT 'basic', top.query_id, min(rank), NULL FROM top JOIN x ON x.query_id = top.query_id AND x.paper_id = left(chunk_id, 8) GROUP BY top.query_id
+  UNION ALL SELECT 'local', lr.query_id, min(rank), arg_min(part, rank) FROM lr JOIN x ON x.query_id = lr.query_id AND x.paper_id = lr.paper_id GROUP BY lr.query_id
+  UNION ALL SELECT 'global', query_id, rank, NULL FROM inside
+  UNION ALL SELECT 'drift', dt.query_id, min(rank), NULL FROM dt JOIN x ON x.query_id = dt.query_id AND x.paper_id = left(chunk_id, 8) GROUP BY dt.query_id),
+a AS (SELECT label, item_id, CASE WHEN item_id % 2 = 0 THEN 'fact' ELSE 'concept' END AS kind FROM benchmark, (SELECT unnest(['primitive', 'basic', 'local', 'global', 'drift']) AS label))
+SELECT a.label, printf('q%04d', item_id) AS qid, kind, r.rank, round(coalesce(1.0 / r.rank, 0), 6) AS rr,
+  CASE a.label WHEN 'local' THEN r.part WHEN 'global' THEN CASE WHEN item_id NOT IN (SELECT query_id FROM ch) THEN 'no_community' WHEN r.rank IS NULL THEN 'community_missed' ELSE 'in_community' END
+               WHEN 'drift' THEN CASE WHEN item_id IN (SELECT query_id FROM inside) THEN 'in_community' ELSE 'community_missed' END END AS diagnosis
+FROM a LEFT JOIN r ON r.label = a.label AND r.query_id = item_id"""
+
+
+@query(f"WITH {_EVAL}")
+def evaluate_all(spark, sf_dir):
+    """Every benchmark item as a question on every label, languages as communities, edges by similarity."""
+    from .plans import evaluate
+
+    asked, expected = _gold(spark, sf_dir)
+    i = _community_index(spark, sf_dir)
+    i.edges = keep(_edges(spark, sf_dir), "edges")
+    scores = evaluate.evaluate_all(i, asked.select("qid", F.col("text").alias("query"), "kind"), expected, communities=2)
+    return scores.withColumn("rr", F.round("rr", 6))
+
+
 @query("""WITH e AS (SELECT DISTINCT l_suppkey::varchar AS s, l_partkey::varchar AS t FROM lineitem), q AS (SELECT printf('C%02d', row_number() OVER (ORDER BY t)) AS qid, t AS anchor, list_sort(list(s)) AS ex FROM e GROUP BY t HAVING count(*) >= 3),
 en AS (SELECT 'basic' AS level, qid, r AS rank, CASE WHEN r = 1 THEN anchor ELSE ((anchor::int * 7 + r) % 101)::varchar END AS p, r % 2 = 0 AS ref FROM q, (SELECT unnest([1, 2, 3, 4, 5, 6]) AS r)), f AS (SELECT en.*, row_number() OVER (PARTITION BY qid ORDER BY rank) AS k, ex FROM en JOIN q USING (qid) WHERE p <> anchor),
 h AS (SELECT qid, min(k) AS rank, arg_min(CASE WHEN ref THEN 'chunk:ref' ELSE 'chunk:body' END, k) AS component FROM f WHERE list_contains(ex, p) GROUP BY qid)
