@@ -1,132 +1,116 @@
-"""From pages to sections and chunks.
+"""From pages to sections and chunks, in Columns.
 
-Lines are classed by ``functions.text.heading``; what depends on lines before (inside references, short sections merged,
-paragraphs packed) is a fold over one document's lines, and a document is one row, so the folds run in ``mapInPandas``
-over batches of documents without a shuffle.
+Lines are classed by ``functions.text.heading``. What depends on lines before is read off the last line that decides it: only a
+heading that counts inside references too can open or close them, so the last such heading says whether a line is inside;
+a short body section joins the last that stays, and stays itself only right after the references. Paragraphs, sections and
+pieces are rows in windows over one document; only the packing of pieces up to a length is a fold, over a section's pieces.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import heading, looks_tabular, normalize_text, ocr_noise
 
 MAX_CHARS, MIN_CHARS, MIN_SECTION = 1500, 200, 200
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
+SENTENCE = r"(?<=[.!?])\s+"
 CHUNK_SCHEMA = "paper_id string, chunk_id string, row_index int, section_id string, section_title string, section_kind string, page_number int, page_end int, text string, char_count int"
 
 
 def lines_of(pages: DataFrame) -> DataFrame:
-    """``paper_id, lines``: each document's lines in order, with page, text and the heading that it is outside and inside references.
+    """``paper_id, page_number, i, line, head, section, paragraph`` of all lines: the heading that a line is (or null), and the numbers of its section and paragraph.
 
-    ``pages``: paper_id, page_number, text. A page's end closes a paragraph, so a blank line is added to it.
+    ``pages``: paper_id, page_number, text. A page's end closes a paragraph, so a blank line is added to it. Section 0 is what
+    comes before the first heading.
     """
     rows = pages.select("paper_id", "page_number", F.posexplode(F.concat(F.split(normalize_text(F.coalesce("text", F.lit(""))), "\n"), F.array(F.lit("")))).alias("i", "line"))
-    rows = rows.select("paper_id", F.struct("page_number", "i", F.trim("line").alias("line"), heading(F.col("line")).alias("head"), heading(F.col("line"), True).alias("ref_head")).alias("x"))
-    return rows.groupBy("paper_id").agg(F.array_sort(F.collect_list("x")).alias("lines"))
-
-
-def split_long(paragraph: str, limit: int = MAX_CHARS) -> list[str]:
-    """Sentences packed up to the limit; one that is longer stays whole."""
-    if len(paragraph) <= limit:
-        return [paragraph]
-    out: list[str] = []
-    room = False  # whether the last piece may grow
-    for sentence in filter(None, map(str.strip, _SENTENCE.split(paragraph))):
-        if room and len(sentence) <= limit and len(out[-1]) + 1 + len(sentence) <= limit:
-            out[-1] += f" {sentence}"
-        else:
-            out.append(sentence)
-        room = len(sentence) <= limit
-    return out
-
-
-def _sections(lines) -> tuple[list[dict], list[tuple[int, int, str]]]:
-    """Sections, and paragraphs as (section, page, text)."""
-    sections = [{"title": "", "kind": "front", "level": 1, "page": 1}]
-    paragraphs: list[tuple[int, int, str]] = []
-    held: list[str] = []
-    page = 1
-
-    def close():
-        if held:
-            paragraphs.append((len(sections) - 1, page, " ".join(held)))
-            held.clear()
-
-    for x in lines:
-        head = x["ref_head"] if sections[-1]["kind"] == "references" else x["head"]
-        if head is not None:
-            close()
-            sections.append({"title": head["title"], "kind": head["kind"], "level": head["level"], "page": x["page_number"]})
-        elif not x["line"]:
-            close()
-        else:
-            page = x["page_number"]
-            held.append(x["line"])
-    close()
-    return sections, paragraphs
-
-
-def _absorbed(sections: list[dict], paragraphs: list[tuple[int, int, str]]) -> dict[int, int]:
-    """For each section the one that its text belongs to: body sections of little text join the last that stayed, unless that is the references."""
-    size = [0] * len(sections)
-    for s, _, text in paragraphs:
-        size[s] += len(text)
-    into, last = {}, 0
-    for i, s in enumerate(sections):
-        if i and s["kind"] == "body" and size[i] < MIN_SECTION and sections[last]["kind"] != "references":
-            into[i] = last
-        else:
-            into[i] = last = i
-    return into
+    rows = rows.withColumns({"line": F.trim("line"), "outside": heading(F.col("line")), "inside": heading(F.col("line"), True)})
+    order = Window.partitionBy("paper_id").orderBy("page_number", "i")
+    upto, before = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, -1)
+    listed = F.coalesce(F.last(F.col("inside")["kind"], ignorenulls=True).over(before) == "references", F.lit(False))
+    rows = rows.withColumn("head", F.when(listed, F.col("inside")).otherwise(F.col("outside"))).drop("inside", "outside")
+    opens = F.col("head").isNotNull()
+    return rows.withColumns({"section": F.sum(opens.cast("int")).over(upto).cast("int"), "paragraph": F.sum((opens | (F.col("line") == "")).cast("int")).over(upto)})
 
 
-def chunks_of(pages: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
-    """Chunks (CHUNK_SCHEMA) of documents given as pages: paragraphs of a section packed up to the limit, a blank line between."""
+def _paragraphs(lines: DataFrame) -> DataFrame:
+    """``paper_id, section, paragraph, page, text``: lines joined; the page is that of the last."""
+    held = lines.filter(F.col("head").isNull() & (F.col("line") != ""))
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "i", "line")))
+    return held.groupBy("paper_id", "section", "paragraph").agg(F.max("page_number").alias("page"), F.array_join(F.transform(ordered, lambda x: x["line"]), " ").alias("text"))
 
-    def pack(batches):
-        import pandas as pd
-
-        columns = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-        for pdf in batches:
-            rows = []
-            for paper, lines in zip(pdf["paper_id"], pdf["lines"]):
-                sections, paragraphs = _sections(lines)
-                into = _absorbed(sections, paragraphs)
-                packs: list[list] = []
-                for s, page, text in paragraphs:
-                    for piece in split_long(text, limit):
-                        if packs and packs[-1][0] == into[s] and len(packs[-1][3]) + 2 + len(piece) <= limit:
-                            packs[-1][3] += f"\n\n{piece}"
-                            packs[-1][2] = page
-                        else:
-                            packs.append([into[s], page, page, piece])
-                for n, (s, first, last, text) in enumerate(packs):
-                    rows.append((paper, f"{paper}-c{n:04d}", n, f"{paper}-s{s:03d}", sections[s]["title"], sections[s]["kind"], first, last, text, len(text)))
-            yield pd.DataFrame(rows, columns=columns)
-
-    return lines_of(pages).mapInPandas(pack, CHUNK_SCHEMA)
 
+def _sections(lines: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """``paper_id, section, title, kind, level, page_number, into``: all sections, and the one that each one's text belongs to.
 
-def sections_of(pages: DataFrame) -> DataFrame:
-    """``paper_id, section_id, title, kind, level, page_number, ordinal`` of the sections that remain after short ones are merged."""
-    schema = "paper_id string, section_id string, title string, kind string, level int, page_number int, ordinal int"
+    A body section of little text joins the last that stayed, unless that is the references.
+    """
+    front = F.struct(F.lit("").alias("title"), F.lit("front").alias("kind"), F.lit(1).alias("level"))
+    named = lines.filter("head is not null").select("paper_id", "section", "head", "page_number")
+    first = lines.select("paper_id").distinct().select("paper_id", F.lit(0).alias("section"), front.alias("head"), F.lit(1).alias("page_number"))
+    size = paragraphs.groupBy("paper_id", "section").agg(F.sum(F.length("text")).alias("size"))
+    rows = first.unionByName(named).join(size, ["paper_id", "section"], "left").select("paper_id", "section", "head.*", "page_number", F.coalesce("size", F.lit(0)).alias("size"))
+    order = Window.partitionBy("paper_id").orderBy("section")
+    after_references = F.coalesce(F.lag("kind").over(order) == "references", F.lit(False))
+    stays = (F.col("section") == 0) | (F.col("kind") != "body") | (F.col("size") >= MIN_SECTION) | after_references
+    into = F.last(F.when(stays, F.col("section")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("into", into).drop("size")
+
+
+def split_long(paragraph: Column, limit: int = MAX_CHARS) -> Column:
+    """A paragraph as pieces: sentences packed up to the limit; one that is longer stays whole."""
+    sentences = F.array_remove(F.transform(F.split(paragraph, SENTENCE), lambda s: F.trim(s)), "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("last"))
+
+    def grow(a: Column, s: Column) -> Column:
+        fits = F.length(a["last"]) + 1 + F.length(s) <= limit
+        done = F.when(fits | a["last"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["last"])))
+        return F.struct(done.alias("done"), F.when(fits, F.concat_ws(" ", a["last"], s)).otherwise(s).alias("last"))
+
+    packed = F.aggregate(sentences, start, grow, lambda a: F.concat(a["done"], F.array_compact(F.array(a["last"]))))
+    return F.when(F.length(paragraph) <= limit, F.array(paragraph)).otherwise(packed)
 
-    def find(batches):
-        import pandas as pd
 
-        for pdf in batches:
-            rows = []
-            for paper, lines in zip(pdf["paper_id"], pdf["lines"]):
-                sections, paragraphs = _sections(lines)
-                into = _absorbed(sections, paragraphs)
-                rows += [(paper, f"{paper}-s{i:03d}", s["title"], s["kind"], s["level"], s["page"], i) for i, s in enumerate(sections) if into[i] == i]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+def _packed(pieces: Column, limit: int) -> Column:
+    """Pieces (page, text) in order as chunks (first, last, text): packed up to the limit, a blank line between."""
+    pack = "struct<first:int,last:int,text:string>"
+    start = F.struct(F.array().cast(f"array<{pack}>").alias("done"), F.lit(None).cast(pack).alias("open"))
 
-    return lines_of(pages).mapInPandas(find, schema)
+    def grow(a: Column, p: Column) -> Column:
+        one = a["open"]
+        fits = F.length(one["text"]) + 2 + F.length(p["text"]) <= limit
+        done = F.when(fits | one.isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(one)))
+        larger = F.struct(one["first"].alias("first"), p["page"].alias("last"), F.concat(one["text"], F.lit("\n\n"), p["text"]).alias("text"))
+        alone = F.struct(p["page"].alias("first"), p["page"].alias("last"), p["text"].alias("text"))
+        return F.struct(done.alias("done"), F.when(fits, larger).otherwise(alone).cast(pack).alias("open"))
+
+    return F.aggregate(pieces, start, grow, lambda a: F.concat(a["done"], F.array_compact(F.array(a["open"]))))
+
+
+def chunks_of(pages: DataFrame, limit: int = MAX_CHARS) -> DataFrame:
+    """Chunks (CHUNK_SCHEMA) of documents given as pages: paragraphs of a section packed up to the limit, a blank line between."""
+    lines = lines_of(pages)
+    paragraphs = _paragraphs(lines)
+    sections = _sections(lines, paragraphs)
+    placed = paragraphs.join(sections.select("paper_id", "section", "into"), ["paper_id", "section"])
+    pieces = placed.select("paper_id", "into", "paragraph", "page", F.posexplode(split_long(F.col("text"), limit)).alias("k", "text"))
+    ordered = F.array_sort(F.collect_list(F.struct("paragraph", "k", F.col("page").cast("int").alias("page"), "text")))
+    packs = pieces.groupBy("paper_id", F.col("into").alias("section")).agg(ordered.alias("pieces"))
+    rows = packs.select("paper_id", "section", F.posexplode(_packed(F.col("pieces"), limit)).alias("k", "c"))
+    number = (F.row_number().over(Window.partitionBy("paper_id").orderBy("section", "k")) - 1).cast("int")
+    rows = rows.withColumn("row_index", number).join(sections.select("paper_id", "section", "title", "kind"), ["paper_id", "section"])
+    return rows.select(
+        "paper_id", F.format_string("%s-c%04d", "paper_id", "row_index").alias("chunk_id"), "row_index", F.format_string("%s-s%03d", "paper_id", "section").alias("section_id"), F.col("title").alias("section_title"), F.col("kind").alias("section_kind"),
+        F.col("c.first").alias("page_number"), F.col("c.last").alias("page_end"), F.col("c.text").alias("text"), F.length("c.text").alias("char_count"),
+    )
+
+
+def sections_of(pages: DataFrame) -> DataFrame:
+    """``paper_id, section_id, title, kind, level, page_number, ordinal`` of the sections that remain after short ones are merged."""
+    lines = lines_of(pages)
+    kept = _sections(lines, _paragraphs(lines)).filter("into = section")
+    return kept.select("paper_id", F.format_string("%s-s%03d", "paper_id", "section").alias("section_id"), "title", "kind", "level", F.col("page_number").cast("int").alias("page_number"), F.col("section").alias("ordinal"))
 
 
 def _headless_table(text: Column) -> Column:

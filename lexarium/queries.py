@@ -363,7 +363,29 @@ def text_functions(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.snippet(t).alias("snippet"), names.normalize_title(t).alias("title"))
 
 
-@query()
+def _heading_sql(source: str) -> str:
+    """CTEs that class the lines of ``source`` (k, i, line): ``hd`` has for each line whether it is a heading by name, by number or by capitals."""
+    names_ = _quoted([*text.ABSTRACT_NAMES, *text.REFERENCE_NAMES, *text.BODY_NAMES])
+    marks = " OR ".join(f"contains(lower(t), '{m}')" for m in text.BIB_MARKERS)
+    return f"""ln AS (SELECT k, i, trim(line) AS t FROM {source}),
+h1 AS (SELECT *, regexp_extract(t, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+', 1) AS num, regexp_extract(t, '^([IVXLC]+)[.)]\\s+', 1) AS rom FROM ln),
+h2 AS (SELECT *, num <> '' OR rom <> '' AS numbered, CASE WHEN num <> '' THEN trim(regexp_replace(t, '^\\d+(?:\\.\\d+)*[.)]?\\s+', '')) WHEN rom <> '' THEN trim(regexp_replace(t, '^[IVXLC]+[.)]\\s+', '')) ELSE t END AS core,
+  CASE WHEN num <> '' THEN length(num) - length(replace(num, '.', '')) + 1 ELSE 1 END AS lv FROM h1),
+h3 AS (SELECT *, lower(regexp_replace(regexp_replace(core, '[ .:—-]+$', ''), '\\s+', ' ', 'g')) AS norm, regexp_replace(core, '\\s+', '', 'g') AS compact, len(list_filter(string_split_regex(core, '\\s+'), lambda x: x <> '')) AS nw FROM h2),
+h4 AS (SELECT *, t = '' OR length(t) > 90 OR (NOT numbered AND regexp_matches(core, '^\\p{{Ll}}') AND regexp_matches(t, '[.!?,;]$')) AS out_, norm IN ({names_}) OR (starts_with(norm, 'abstract') AND length(norm) <= 12) AS named,
+  regexp_matches(t, '[←-⇿∀-⋿\\x{{1D400}}-\\x{{1D7FF}}]') OR contains(t, chr(9)) OR len(list_filter(string_split_regex(t, ' {{2,}}'), lambda x: x <> '')) >= 3 OR regexp_matches(t, '[-;,.]$') OR {marks}
+  OR regexp_matches(t, '(?i)\\bet\\s+al\\b') OR regexp_matches(t, '["{{}}\\[\\]=<>|]') OR compact = '' OR length(regexp_replace(compact, '[^\\p{{Nd}}]+', '', 'g')) > 0.3 * length(compact) AS bad FROM h3),
+h5 AS (SELECT *, NOT out_ AND named AS by_name, NOT out_ AND NOT named AND NOT bad AND numbered AND core <> '' AND nw <= 8 AND NOT regexp_matches(core, '[.!?,;]$') AS by_number,
+  NOT out_ AND NOT named AND NOT bad AND length(regexp_replace(t, '[^\\p{{L}}]+', '', 'g')) >= 3 AND upper(t) = t AND nw <= 6 AS by_capitals FROM h4),
+hd AS (SELECT k, i, t, by_name, by_number, by_capitals, CASE WHEN by_name THEN CASE WHEN norm IN ({_quoted(text.REFERENCE_NAMES)}) THEN 'references' WHEN norm NOT IN ({names_}) OR norm IN ({_quoted(text.ABSTRACT_NAMES)}) THEN 'abstract' ELSE 'body' END ELSE 'body' END AS kind,
+  CASE WHEN by_name AND norm NOT IN ({names_}) THEN 'Abstract' WHEN core = '' THEN t ELSE core END AS title, lv::int AS lv, array_to_string(list_transform(string_split(t, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS capital FROM h5)"""
+
+
+_LINES = "d0 AS (SELECT doc_id AS k, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), src AS (SELECT k, unnest(range(len(x))) AS i, unnest(x) AS line FROM d0)"
+
+
+@query(f"""WITH {_LINES}, {_heading_sql("src")}
+SELECT k AS doc_id, i::int AS line_no, CASE WHEN by_name OR by_number THEN title ELSE capital END AS title, kind, CASE WHEN by_name OR by_number THEN lv ELSE 1 END AS level FROM hd WHERE by_name OR by_number OR by_capitals""")
 def headings(spark, sf_dir):
     """Lines of all documents that read as headings."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -374,12 +396,39 @@ def _pages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(paper_id().alias("paper_id"), F.lit(1).alias("page_number"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-@query()
+_CHUNKS = f"""{_LINES}, {_heading_sql("src")},
+m1 AS (SELECT *, coalesce(last_value(CASE WHEN by_name THEN kind WHEN by_capitals THEN 'body' END IGNORE NULLS) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') = 'references' AS listed FROM hd),
+m2 AS (SELECT *, by_name OR by_capitals OR (by_number AND NOT listed) AS head FROM m1),
+m3 AS (SELECT k, i, t, head, kind, CASE WHEN by_name OR (by_number AND NOT listed) THEN title ELSE capital END AS title, sum(head::int) OVER w AS s, sum((head OR t = '')::int) OVER w AS p FROM m2 WINDOW w AS (PARTITION BY k ORDER BY i)),
+pa AS (SELECT k, s, p, string_agg(t, ' ' ORDER BY i) AS text FROM m3 WHERE NOT head AND t <> '' GROUP BY ALL),
+se AS (SELECT k, s, title, kind FROM m3 WHERE head UNION ALL SELECT doc_id, 0, '', 'front' FROM documents),
+sz AS (SELECT se.*, coalesce(z, 0) AS z FROM se LEFT JOIN (SELECT k, s, sum(length(text)) AS z FROM pa GROUP BY ALL) USING (k, s)),
+st AS (SELECT *, s = 0 OR kind <> 'body' OR z >= 200 OR coalesce(lag(kind) OVER (PARTITION BY k ORDER BY s), '') = 'references' AS stays FROM sz),
+io AS (SELECT k, s, title, kind, last_value(CASE WHEN stays THEN s END IGNORE NULLS) OVER (PARTITION BY k ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM st),
+sn AS (SELECT k, s, p, row_number() OVER (PARTITION BY k, s, p ORDER BY j) AS j, x FROM (SELECT k, s, p, unnest(range(len(a))) AS j, trim(unnest(a)) AS x FROM (SELECT k, s, p, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM pa WHERE length(text) > 1500)) WHERE x <> ''),
+sg AS (SELECT k, s, p, j, length(x) AS size, 1 AS pack FROM sn WHERE j = 1 UNION ALL SELECT sn.k, sn.s, sn.p, sn.j, CASE WHEN sg.size + 1 + length(x) <= 1500 THEN sg.size + 1 + length(x) ELSE length(x) END, CASE WHEN sg.size + 1 + length(x) <= 1500 THEN pack ELSE pack + 1 END FROM sg JOIN sn ON sn.k = sg.k AND sn.s = sg.s AND sn.p = sg.p AND sn.j = sg.j + 1),
+pc AS (SELECT k, s, p, 1 AS q, text FROM pa WHERE length(text) <= 1500 UNION ALL SELECT sn.k, sn.s, sn.p, pack, string_agg(x, ' ' ORDER BY sn.j) FROM sn JOIN sg USING (k, s, p, j) GROUP BY sn.k, sn.s, sn.p, pack),
+pn AS (SELECT pc.k, io.g, row_number() OVER (PARTITION BY pc.k, io.g ORDER BY p, q) AS j, text FROM pc JOIN io ON io.k = pc.k AND io.s = pc.s),
+cg AS (SELECT k, g, j, length(text) AS size, 1 AS pack FROM pn WHERE j = 1 UNION ALL SELECT pn.k, pn.g, pn.j, CASE WHEN cg.size + 2 + length(text) <= 1500 THEN cg.size + 2 + length(text) ELSE length(text) END, CASE WHEN cg.size + 2 + length(text) <= 1500 THEN pack ELSE pack + 1 END FROM cg JOIN pn ON pn.k = cg.k AND pn.g = cg.g AND pn.j = cg.j + 1),
+ck AS (SELECT pn.k, pn.g, pack, string_agg(text, chr(10) || chr(10) ORDER BY pn.j) AS text FROM pn JOIN cg USING (k, g, j) GROUP BY pn.k, pn.g, pack),
+cs AS (SELECT lpad(ck.k::varchar, 8, '0') AS paper_id, row_number() OVER (PARTITION BY ck.k ORDER BY ck.g, pack) - 1 AS n, ck.g, io.title, io.kind, text FROM ck JOIN io ON io.k = ck.k AND io.s = ck.g),
+chunk AS (SELECT paper_id, printf('%s-c%04d', paper_id, n) AS chunk_id, n::int AS row_index, printf('%s-s%03d', paper_id, g::int) AS section_id, title AS section_title, kind AS section_kind, 1 AS page_number, 1 AS page_end, text, length(text)::int AS char_count FROM cs)"""
+
+
+@query(f"WITH RECURSIVE {_CHUNKS} SELECT * FROM chunk")
 def document_chunks(spark, sf_dir):
     return extraction.chunks_of(_pages(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CHUNKS},
+tl AS (SELECT k, i, CASE WHEN contains(line, chr(9)) OR len(list_filter(string_split_regex(trim(line), ' {{2,}}'), lambda x: x <> '')) >= 3 THEN 't' WHEN trim(line) = '' THEN 'b' WHEN regexp_matches(lower(trim(line)), '^(table|tabelle)') THEN 'c' ELSE 'x' END AS m FROM src),
+tm AS (SELECT k, contains(regexp_replace(string_agg(m, '' ORDER BY i), 'cb*[x]?b*t+', '', 'g'), 'ttt') AS headless FROM tl GROUP BY k),
+w AS (SELECT doc_id AS k, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '\\s+', '', 'g') AS solid, list_filter(string_split_regex(trim(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS tk FROM documents),
+nz AS (SELECT k, trim(t) = '' AS blank, length(trim(t)) >= 200 AND (length(regexp_replace(solid, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) < 0.55 * length(solid) OR len(list_filter(tk, lambda x: length(x) = 1)) > 0.4 * len(tk)) AS noise FROM w),
+by_chunk AS (SELECT paper_id, count_if(section_kind = 'abstract') AS na, count_if(section_kind = 'references') AS nr, count_if(section_kind <> 'front') AS ns, count_if(char_count < 200) AS short, list('long_chunk:' || chunk_id) FILTER (char_count > 1500) AS long FROM chunk GROUP BY 1)
+SELECT lpad(nz.k::varchar, 8, '0') AS paper_id, CASE WHEN blank THEN ['empty_document'] ELSE list_sort(list_distinct(list_filter(list_concat([CASE WHEN noise THEN 'ocr_noise:1' END, CASE WHEN headless THEN 'possible_headless_table:1' END, CASE WHEN coalesce(na, 0) = 0 THEN 'missing_abstract' END,
+  CASE WHEN coalesce(nr, 0) = 0 THEN 'missing_references' END, CASE WHEN coalesce(ns, 0) = 0 THEN 'no_sections' END, CASE WHEN short > 0 THEN 'short_chunks:' || short END], coalesce(long, [])), lambda x: x IS NOT NULL))) END AS flags
+FROM nz LEFT JOIN tm USING (k) LEFT JOIN by_chunk ON paper_id = lpad(nz.k::varchar, 8, '0')""")
 def quality_flags(spark, sf_dir):
     return extraction.quality_flags(_pages(spark, sf_dir), extraction.chunks_of(_pages(spark, sf_dir)))
 
