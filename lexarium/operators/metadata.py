@@ -1,13 +1,15 @@
 """Metadata: merging records by precedence, upserts, reviews, duplicate candidates, fuzzy titles."""
 
 import difflib
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.names import CONFIDENCE, normalize_title
+from ..shared import keep as _keep
 
 #: Origins from strongest to weakest, and the fields of a record: fixed values.
 ORIGINS = ["manual", "curated", "resolved", "extracted", "unknown"]
@@ -111,45 +113,84 @@ def classify_candidates(candidates: DataFrame, owners: DataFrame, titles: DataFr
     return rows.select("candidate_id", F.when(F.col("by_arxiv").isNotNull(), "known_arxiv").when(F.col("by_doi").isNotNull(), "known_doi").when(F.col("by_title").isNotNull(), "known_title").otherwise("fresh").alias("status"), match.alias("match"))
 
 
-def merge_candidates(candidates: DataFrame) -> DataFrame:
+def candidate_keys(arxiv_id: Column, doi: Column, title: Column) -> Column:
+    """What candidates are the same by: arXiv id, DOI, and a title that is long enough."""
+    plain = normalize_title(title)
+    long = (F.length(plain) >= 30) & (F.size(F.split(plain, " ")) >= 5)
+    named = lambda kind, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{kind}:"), F.lower(c)))
+    return F.array_compact(F.array(named("arxiv", arxiv_id), named("doi", doi), F.when(long, F.concat(F.lit("title:"), plain))))
+
+
+def candidate_groups(candidates: DataFrame, keep=_keep) -> DataFrame:
+    """``run_id, seq, label``: candidates that hang together by keys, in any number of steps, have the smallest of their numbers.
+
+    In a round a candidate takes the smallest label among those that share a key with it, then that candidate's label: the
+    way to the smallest is halved. Rounds end when no label falls.
+    """
+    keys = candidate_keys(F.col("arxiv_id"), F.col("doi"), F.col("title"))
+    links = keep(candidates.select("run_id", "seq", F.explode(keys).alias("key")), "candidate-keys")
+    labels = keep(candidates.select("run_id", "seq", F.col("seq").alias("label")), "candidate-labels")
+    while True:
+        lowest = links.join(labels, ["run_id", "seq"]).groupBy("run_id", "key").agg(F.min("label").alias("low"))
+        near = links.join(lowest, ["run_id", "key"]).groupBy("run_id", "seq").agg(F.min("low").alias("low"))
+        step = labels.join(near, ["run_id", "seq"], "left").select("run_id", "seq", F.col("label").alias("old"), F.coalesce("low", "label").alias("label"))
+        step = keep(step, "candidate-step")
+        jump = step.select("run_id", F.col("seq").alias("label"), F.col("label").alias("far"))
+        step = keep(step.join(jump, ["run_id", "label"]).select("run_id", "seq", "old", F.col("far").alias("label")), "candidate-labels")
+        labels = step.drop("old")
+        if step.filter("label < old").isEmpty():
+            return labels
+
+
+CANDIDATE = "run_id string, seq long, title string, year int, sources array<string>, arxiv_id string, doi string, abstract string, url string"
+
+
+def merge_candidates(candidates: DataFrame, keep=_keep) -> DataFrame:
     """Candidates of one run merged in order: each joins the first earlier one that it shares a key with.
 
-    The merge depends on the order, so one run's candidates (a few hundred: the harvest limits bound them) are one group
-    by ``run_id``. Columns: run_id, seq, title, year, sources, arxiv_id, doi, abstract, url.
+    What a merge does depends on the order, but only within candidates that hang together by keys (``candidate_groups``):
+    those are folded each on its own, in order, one row in hand at a time, so that a run isn't one task. Columns: run_id,
+    seq, title, year, sources, arxiv_id, doi, abstract, url.
     """
-    fields = "run_id string, seq long, title string, year int, sources array<string>, arxiv_id string, doi string, abstract string, url string"
-
-    def fold(pdf):
-        import re
-
-        import pandas as pd
-
-        out: list[dict] = []
-        at: dict[str, int] = {}
-        for row in pdf.sort_values("seq").to_dict("records"):
-            row["sources"] = list(row["sources"])
-
-            def keys(r):
-                title = re.sub("[^a-z0-9]+", " ", r["title"].lower()).strip()
-                named = [f"arxiv:{r['arxiv_id'].lower()}"] * bool(r["arxiv_id"]) + [f"doi:{r['doi'].lower()}"] * bool(r["doi"])
-                return named + [f"title:{title}"] * (len(title) >= 30 and len(title.split()) >= 5)
-
-            hit = next((at[k] for k in keys(row) if k in at), None)
-            if hit is None:
-                hit = len(out)
-                out.append(row)
-            else:
-                own = out[hit]
-                years = [y for y in (own["year"], row["year"]) if y > 0]
-                own["year"] = min(years, default=0)
-                own["sources"] = sorted({*own["sources"], *row["sources"]}, key=str.lower)
-                own["abstract"] = max(own["abstract"], row["abstract"], key=len)
-                for f in ("arxiv_id", "doi", "url"):
-                    own[f] = own[f] or row[f]
-            at.update({k: hit for k in keys(out[hit])})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in fields.split(", ")])
-
-    return candidates.groupBy("run_id").applyInPandas(fold, fields)
+    columns = [c.split()[0] for c in CANDIDATE.split(", ")]
+
+    def keys(r: dict) -> list[str]:
+        title = re.sub("[^a-z0-9]+", " ", r["title"].lower()).strip()
+        named = [f"arxiv:{r['arxiv_id'].lower()}"] * bool(r["arxiv_id"]) + [f"doi:{r['doi'].lower()}"] * bool(r["doi"])
+        return named + [f"title:{title}"] * (len(title) >= 30 and len(title.split()) >= 5)
+
+    def add(out: list[dict], at: dict[str, int], row: dict) -> None:
+        row["sources"] = list(row["sources"])
+        hit = next((at[k] for k in keys(row) if k in at), None)
+        if hit is None:
+            hit = len(out)
+            out.append(row)
+        else:
+            own = out[hit]
+            years = [y for y in (own["year"], row["year"]) if y > 0]
+            own["year"] = min(years, default=0)
+            own["sources"] = sorted({*own["sources"], *row["sources"]}, key=str.lower)
+            own["abstract"] = max(own["abstract"], row["abstract"], key=len)
+            for f in ("arxiv_id", "doi", "url"):
+                own[f] = own[f] or row[f]
+        at.update({k: hit for k in keys(out[hit])})
+
+    def fold(batches):
+        group, out, at = None, [], {}
+        for pdf in batches:
+            done = []
+            for row in pdf.to_dict("records"):
+                own = (row["run_id"], row.pop("label"))
+                if own != group:
+                    done += out
+                    group, out, at = own, [], {}
+                add(out, at, row)
+            yield pd.DataFrame(done, columns=columns)
+        yield pd.DataFrame(out, columns=columns)
+
+    rows = candidates.select(*columns).join(candidate_groups(candidates, keep), ["run_id", "seq"])
+    rows = rows.repartition("run_id", "label").sortWithinPartitions("run_id", "label", "seq")
+    return rows.select(*columns, "label").mapInPandas(fold, CANDIDATE)
 
 
 def filter_recent(candidates: DataFrame, min_year: int) -> DataFrame:

@@ -846,3 +846,17 @@ def router_confusion(spark, sf_dir):
 @query(f"SELECT i - 1 AS ordinal, signal FROM (SELECT unnest([{_quoted(t for _, _, ts in routing.SIGNALS for t in ts)}]) AS signal, unnest(range(1, 70)) AS i) WHERE signal NOT IN ('compare', 'overall', 'trends')")
 def uncovered_signals(spark, sf_dir):
     return evaluation.uncovered_signals(routing.signal_table(spark), _routed(spark, sf_dir)[2])
+
+
+@query("""SELECT CASE WHEN doc_id % 7 = 0 THEN 404 ELSE 200 END AS status, 'd' || doc_id % 4 AS source, doc_id::varchar AS url, sha256(CASE WHEN doc_id % 7 = 0 THEN '' ELSE coalesce(text, '') END) AS payload, CASE WHEN doc_id % 7 = 0 THEN 'HTTP 404' ELSE '' END AS note FROM documents""")
+def replayed_responses(spark, sf_dir):
+    """Documents stored as a service's answers, each seventh as not found, and read again by the data source."""
+    from .shared import fresh_path
+    from .sources.replay import StoredResponses
+
+    spark.dataSource.register(StoredResponses)
+    folder = fresh_path(spark, "responses")
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")).alias("source"), F.when(F.col("doc_id") % 7 == 0, 404).otherwise(200).alias("status"), F.coalesce("text", F.lit("")).alias("payload"))
+    rows.write.json(folder)
+    return spark.read.format("stored_responses").load(folder).select("status", "source", "url", F.sha2("payload", 256).alias("payload"), "note")
