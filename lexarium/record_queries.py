@@ -860,3 +860,13 @@ def replayed_responses(spark, sf_dir):
     rows = d.select(F.col("doc_id").cast("string").alias("url"), F.concat(F.lit("d"), (F.col("doc_id") % 4).cast("string")).alias("source"), F.when(F.col("doc_id") % 7 == 0, 404).otherwise(200).alias("status"), F.coalesce("text", F.lit("")).alias("payload"))
     rows.write.json(folder)
     return spark.read.format("stored_responses").load(folder).select("status", "source", "url", F.sha2("payload", 256).alias("payload"), "note")
+
+
+@query(f"WITH {_C}, {_Q}, r AS ({_top('SELECT query_id, chunk_id, score_bm25 AS score FROM sc WHERE score_bm25 > 0', 5, demote=False)}) SELECT query_id AS item_id, rank, chunk_id, left(chunk_id, 8) AS paper_id, score FROM r")
+def sql_search(spark, sf_dir):
+    """Every benchmark item searched for by a table function, in one SQL statement."""
+    from .plans import table_functions
+
+    table_functions.register(spark, index(spark, sf_dir), "sf_")
+    table(spark, sf_dir, "benchmark").createOrReplaceTempView("sf_benchmark")
+    return spark.sql("SELECT b.item_id, s.* FROM sf_benchmark b, LATERAL sf_search_bm25(b.text, 5) s").withColumn("score", r6("score"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarium.errors import DomainError
-from lexarium.operators import evaluation, lexical, retrieval
+from lexarium.operators import evaluation, graph, lexical, retrieval
 from lexarium.plans import evaluate, snapshot
 
 
@@ -91,3 +91,17 @@ def test_five_levels(spark, index):
     shares = {r.strategy: (r.coverage, r.selectivity, r.lift) for r in evaluate.graph_coverage(index.edges, index.chunks, asked).collect()}
     assert shares["graph"][0] == pytest.approx((3 / 3 + 0) / 2) and shares["chance"][0] == pytest.approx(5 / 89) and shares["chance"][1] == pytest.approx(5 / 90)
     lexical.let_go()
+
+
+def test_table_functions(spark, index):
+    from lexarium.plans import table_functions
+
+    assert table_functions.register(spark, index, "t_") == ["t_search_bm25", "t_neighbors_of", "t_topic_of"]
+    one = spark.createDataFrame([("q", "topic1 w3 w14")], "query_id string, query string")
+    want = [(r["rank"], r.chunk_id, r.chunk_id[:4], r.score) for r in lexical.search(index.weights, one, 4, "bm25").orderBy("rank").collect()]
+    assert [tuple(r) for r in spark.sql("SELECT * FROM t_search_bm25('topic1 w3 w14', 4) ORDER BY rank").collect()] == want and len(want) == 4
+    spark.createDataFrame([(1, "topic1 w3 w14"), (2, "unheard"), (3, None), (4, "topic1 w3 w14")], "id int, q string").createOrReplaceTempView("asked")
+    rows = spark.sql("SELECT a.id, s.rank, n.neighbor, p.community_id FROM asked a, LATERAL t_search_bm25(a.q, 1) s, LATERAL t_neighbors_of(s.paper_id, 2) n, LATERAL t_topic_of(n.neighbor) p ORDER BY 1, n.rank").collect()
+    near = graph.neighbors(index.edges, want[0][2]).limit(2).collect()
+    assert [(r.id, r.neighbor, r.community_id) for r in rows] == [(i, n.neighbor, int(n.neighbor[1:]) % 6) for i in (1, 4) for n in near]
+    assert [f.simpleString() for f in spark.sql("SELECT * FROM t_neighbors_of('p000', 3)").schema.fields] == ["rank:int", "neighbor:string", "weight:double"]
