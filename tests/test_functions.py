@@ -67,6 +67,15 @@ def test_references(spark):
     assert value(spark, ref("harvard"), *args) == "Lovelace, A.M. and Turing, A. (1950) 'A title', Mind. Available at: https://doi.org/10.1/x"
     assert value(spark, lambda t, a, y: names.format_in_text(t, a, y, "apa"), "T", ["A B", "C D", "E F"], 0) == "(B et al., n.d.)"
     assert value(spark, names.citation_key, "p1", "The title", [], 2020) == "title2020"
+    many = [f"N{i} M. Last{i}" for i in range(1, 23)]
+    assert value(spark, ref("harvard"), "T", many[:4], 1, "", "") == "Last1, N.M. et al. (1) 'T',"
+    assert value(spark, ref("harvard"), "T", many[:3], 1, "V?", "") == "Last1, N.M., Last2, N.M. and Last3, N.M. (1) 'T', V?"
+    assert value(spark, ref("apa"), "T!", many, 0, "", "u").endswith("Last19, N. M., ..., Last22, N. M. (n.d.). T! u")
+    assert value(spark, ref("apa"), " ", ["Plato", " "], 0, "V", "") == "Plato. (n.d.). Untitled. V."
+    assert value(spark, ref("apa"), "T", [], 0, "", "") == "T. (n.d.)." and value(spark, ref("harvard"), "", [], 0, "", "u") == "Untitled (no date) Available at: u"
+    assert value(spark, lambda t, a, y: names.format_in_text(t, a, y, "harvard"), "", ["A B", "C, D"], 3) == "(B and C, 3)"
+    with pytest.raises(DomainError):
+        names.format_reference(F.lit(""), F.array(), F.lit(0), F.lit(""), F.lit(""), "other")
 
 
 def test_errors():
