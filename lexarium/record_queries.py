@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, text
 from .operators import evaluation, evidence, extraction, graph, lexical, metadata, persons, records, retrieval, routing
-from .queries import _A, _C, _COM, _E, _Q, _RANKC, _authors, _community_index, _edges, _gold, _order_metadata, _quoted, _top, chunks, index, paper_id, query, questions, r6, table
+from .queries import _A, _ASKED, _C, _COM, _E, _Q, _RANKC, _authors, _community_index, _edges, _gold, _order_metadata, _quoted, _signals_sql, _top, chunks, index, paper_id, query, questions, r6, table
 from .shared import keep
 from .sources import readers, sinks
 from .streaming import ingest
@@ -584,12 +584,12 @@ def quality_report(spark, sf_dir):
     return sinks.quality_report(papers, flags)[0]
 
 
-@query("""WITH p AS (SELECT c_custkey AS k, lpad(c_custkey::varchar, 6, '0') AS n, c_mktsegment AS seg FROM customer WHERE c_custkey % 10 = 0), o AS (SELECT *, 6 + row_number() OVER (ORDER BY n) AS z FROM p WHERE k % 40 <> 0)
+@query("""WITH p AS (SELECT c_custkey AS k, lpad(c_custkey::varchar, 6, '0') AS n, c_mktsegment AS seg FROM customer), o AS (SELECT *, 6 + row_number() OVER (ORDER BY n) AS z FROM p WHERE k % 40 <> 0)
 SELECT z AS number, '| Z' || z || ' | A paper ' || n || ' | (manuell) | ' || CASE WHEN k % 20 = 0 THEN '(manuell)' ELSE 'one, ' || lower(seg) END || ' | ' || CASE WHEN k % 30 = 0 THEN 'ENTWURF (Referenz-Eintrag, nur Abstract)' ELSE 'ENTWURF' END || ': Some \\| text of ' || seg || ' | [Quelle](papers/A%20paper%20' || n || '.pdf) | (manuell) | (manuell) | ' ||
 CASE WHEN k % 70 = 0 THEN '[DOI:10.1/' || n || '](https://doi.org/10.1/' || n || ')' ELSE '(zu ergänzen)' END || ' |' AS row FROM o""")
 def overview_drafts(spark, sf_dir):
-    """Draft rows for every tenth customer as a paper; every fortieth is in the table already."""
-    c = table(spark, sf_dir, "customer").filter("c_custkey % 10 = 0")
+    """Draft rows for every customer as a paper, but those of each fortieth, which are in the table already."""
+    c = table(spark, sf_dir, "customer")
     k, n = F.col("c_custkey"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")
     name = F.concat(F.lit("A paper "), n, F.lit(".pdf"))
     ids = F.when(k % 70 == 0, F.create_map(F.lit("doi"), F.concat(F.lit("10.1/"), n))).otherwise(F.create_map().cast("map<string,string>"))
@@ -820,15 +820,19 @@ def label_findings(spark, sf_dir):
     return evaluation.label_findings(labels(4), labels(3)).withColumns({c: F.array_join(c, ",") for c in ("missing", "surplus")})
 
 
-_ROUTED = "r AS (SELECT conv_id || '-' || turn AS query_id, CASE turn % 3 WHEN 0 THEN 'drift' WHEN 1 THEN 'basic' ELSE 'global' END AS mode, CASE turn % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'none' ELSE 'strong' END AS confidence, turn, conv_id FROM conversations)"
+_ROUTED = f"""q AS (SELECT conv_id, conv_id::varchar || '-' || turn::varchar AS query_id, trim(lower({_ASKED})) AS q FROM conversations),
+sg AS ({_signals_sql()}), h AS (SELECT query_id, mode, count(*) AS n FROM sg WHERE mode <> 'basic' GROUP BY ALL), b AS (SELECT query_id, max(n) AS n FROM h GROUP BY ALL),
+l AS (SELECT query_id, count(*) AS k, any_value(h.mode) AS mode FROM h JOIN b USING (query_id, n) GROUP BY ALL),
+r AS (SELECT q.query_id, conv_id, CASE WHEN k = 1 THEN l.mode ELSE 'basic' END AS mode, CASE WHEN k = 1 THEN 'strong' WHEN k > 1 THEN 'weak' ELSE 'none' END AS confidence FROM q LEFT JOIN l USING (query_id))"""
 
 
 def _routed(spark, sf_dir):
+    """Turns of all conversations as questions: their own texts behind a beginning of one of five kinds."""
     t = table(spark, sf_dir, "conversations")
-    kind = F.when(F.col("turn") % 3 == 0, "How do they compare?").when(F.col("turn") % 3 == 1, "Hello there").otherwise("What are the overall trends?")
     qid = F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("query_id")
+    asked = F.expr(_ASKED).alias("query")
     modes = F.when(F.col("conv_id") % 4 == 0, F.array(F.lit("local"), F.lit("drift"))).otherwise(F.array(F.lit("global"), F.lit("basic")))
-    return routing.route(t.select(qid, kind.alias("query"))), t.select(qid, modes.alias("expected_modes")), t.select(kind.alias("query"))
+    return routing.route(t.select(qid, asked)), t.select(qid, modes.alias("expected_modes")), t.select(asked)
 
 
 @query(f"""WITH {_ROUTED}, s AS (SELECT confidence, CASE WHEN conv_id % 4 = 0 THEN mode IN ('local', 'drift') ELSE mode IN ('global', 'basic') END AS ok FROM r) SELECT confidence, count(*) AS n, round(avg(ok::int), 6) AS accuracy FROM s GROUP BY ROLLUP (confidence)""")
@@ -843,7 +847,7 @@ def router_confusion(spark, sf_dir):
     return evaluation.confusion(routed, gold)
 
 
-@query(f"SELECT i - 1 AS ordinal, signal FROM (SELECT unnest([{_quoted(t for _, _, ts in routing.SIGNALS for t in ts)}]) AS signal, unnest(range(1, 70)) AS i) WHERE signal NOT IN ('compare', 'overall', 'trends')")
+@query(f"WITH {_ROUTED} SELECT i - 1 AS ordinal, signal FROM (SELECT unnest([{_quoted(t for _, _, ts in routing.SIGNALS for t in ts)}]) AS signal, unnest(range(1, 70)) AS i) WHERE signal NOT IN (SELECT signal FROM sg)")
 def uncovered_signals(spark, sf_dir):
     return evaluation.uncovered_signals(routing.signal_table(spark), _routed(spark, sf_dir)[2])
 
