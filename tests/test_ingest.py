@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarium.errors import DomainError
-from lexarium.plans import ingest, snapshot
+from lexarium.plans import ingest, snapshot, status
 from lexarium.sources import readers
 
 
@@ -57,6 +57,10 @@ def test_a_folder_over_several_runs(spark, tmp_path, light):
     assert papers == {"a b.pdf": ("full", {"doi": "10.1234/abc"}, 2), "b.pdf": ("full", {}, 1), "s.refjson": ("reference", {"doi": "10.9/s"}, 0)}
     assert "A stub\n\nOf it." in texts and len(texts) == 3
 
+    state = status.status(spark, f"file://{root}", f"file://{folder}")
+    assert (state["n_papers"], state["n_identified"], state["n_reference_entries"], state["n_chunks"], state["n_communities"]) == (3, 2, 1, 3, None)
+    assert (state["n_files"], state["n_manifest"], state["findings"]) == (5, 4, {"untracked_file": {"n": 1, "names": ["bad.pdf"]}})
+
     before, n = (root / "CURRENT").read_text(), seen.value
     again = run()
     assert (again["extracted"], again["kept"], again["built"]) == (0, 4, False) and (root / "CURRENT").read_text() == before
@@ -65,6 +69,8 @@ def test_a_folder_over_several_runs(spark, tmp_path, light):
     (folder / "a b.pdf").write_bytes(b"First paper, changed.")
     (folder / "s.refjson").unlink()
     (folder / "b.pdf").rename(folder / "c.pdf")
+    state = status.status(spark, f"file://{root}", f"file://{folder}")
+    assert state["findings"] == {"untracked_file": {"n": 2, "names": ["bad.pdf", "c.pdf"]}, "missing_file": {"n": 2, "names": ["b.pdf", "s.refjson"]}}
     third = run()
     assert (third["extracted"], third["removed"], third["built"]) == (2, 3, True)
     papers, texts = published(spark, root)
@@ -97,6 +103,16 @@ def test_a_failed_run_changes_nothing(spark, tmp_path, light, monkeypatch):
     assert published(spark, root)[1] == ["One paper.", "Two papers."]
 
 
+def test_status_of_nothing_and_of_what_differs(spark, tmp_path):
+    state = status.status(spark, f"file://{tmp_path}/none", f"file://{tmp_path}/nofolder")
+    assert state["published"] is None and state["findings"] == {} and state["n_files"] == 0
+    files = spark.createDataFrame([("a",), ("b",)], "name string")
+    manifest = spark.createDataFrame([("b", "p1"), ("c", "p2"), ("d", "p2")], "name string, paper_id string")
+    stored = spark.createDataFrame([("p2",), ("p3",)], "paper_id string")
+    got = sorted(map(tuple, status.findings(files, manifest, stored).collect()))
+    assert got == [("missing_file", "c"), ("missing_file", "d"), ("missing_paper", "p1"), ("orphan_paper", "p3"), ("untracked_file", "a")]
+
+
 def test_old_snapshots_go(spark, tmp_path, light):
     chunks = spark.createDataFrame([("p", "p-c0", "text")], "paper_id string, chunk_id string, text string")
     papers = chunks.select("paper_id", F.lit("u").alias("source_uri"))
