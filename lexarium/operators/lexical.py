@@ -6,6 +6,7 @@ postings with the queries' terms; only the terms' postings are read.
 
 from __future__ import annotations
 
+import math
 from collections import deque
 from functools import reduce
 
@@ -330,27 +331,26 @@ def folded_words(pos: DataFrame, text: str) -> list[str]:
 def _starts(pos: DataFrame, words: list[str], prefix: bool = False) -> DataFrame:
     """``chunk_id, starts``: where the words are in sequence; with ``prefix`` the last may go on.
 
-    Only blocks that have all words are opened. In each chunk the places of a word, shifted to where the phrase would
-    begin, are one array; the arrays are intersected.
+    The index is read once for all words. Blocks that lack one are passed over whole; in each chunk of the others the
+    places of a word, shifted to where the phrase would begin, are one array, and the arrays are intersected.
     """
-    lists = []
-    for i, w in enumerate(words):
-        if prefix and i == len(words) - 1:
-            rows = pos.filter(F.col("term").startswith(w))
-        else:
-            rows = pos.filter(F.col("term") == w)
-            if "bucket" in pos.columns:
-                rows = rows.filter(F.col("bucket") == bucket(F.lit(w)))
-        lists.append(rows.select("block", "places"))
-    if len(words) > 1:
-        blocks = reduce(lambda a, b: a.join(b, "block", "left_semi"), [x.select("block").distinct() for x in lists])
-        lists = [x.join(blocks, "block", "left_semi") for x in lists]
-    each = [x.select(F.explode("places").alias("x")).select("x.*", F.lit(i).alias("i")) for i, x in enumerate(lists)]
-    rows = reduce(DataFrame.unionByName, each).withColumn("p", F.transform("steps", lambda x: F.col("base") + x - F.col("i")))
-    own = [F.array_distinct(F.flatten(F.collect_list(F.when(F.col("i") == i, F.col("p"))))) for i in range(len(words))]
-    rows = rows.groupBy("chunk_id").agg(*[x.alias(f"p{i}") for i, x in enumerate(own)])
-    common = reduce(F.array_intersect, [F.col(f"p{i}") for i in range(len(words))])
-    return rows.select("chunk_id", common.alias("starts")).filter(F.size("starts") > 0)
+    exact = words[:-1] if prefix else words
+    parts = [F.col("term") == w for w in dict.fromkeys(exact)] + ([F.col("term").startswith(words[-1])] if prefix else [])
+    part_of = [list(dict.fromkeys(exact)).index(w) for w in exact] + ([len(parts) - 1] if prefix else [])
+    rows = pos.filter(reduce(lambda a, b: a | b, parts))
+    if "bucket" in pos.columns and not prefix:
+        rows = rows.filter(F.col("bucket").isin([r.b for r in pos.sparkSession.createDataFrame([(w,) for w in exact], "w string").select(bucket(F.col("w")).alias("b")).collect()]))
+    role = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(parts)])))
+    blocks = rows.select("block", role.alias("r"), "places").groupBy("block").agg(F.collect_list(F.struct("r", "places")).alias("own"))
+    full = blocks.filter(F.size(F.array_distinct(F.transform("own", lambda x: x["r"]))) == len(parts))
+    each = full.select("block", F.explode("own").alias("x")).select("block", "x.r", F.explode("x.places").alias("x"))
+    each = each.select("block", "r", "x.chunk_id", F.transform("x.steps", lambda s: F.col("x.base") + s).alias("p"))
+    # a chunk lies in one block, so its rows are together already
+    own = [F.flatten(F.collect_list(F.when(F.col("r") == i, F.col("p")))).alias(f"p{i}") for i in range(len(parts))]
+    found = each.groupBy("block", "chunk_id").agg(*own)
+    shifted = [F.transform(f"p{r}", (lambda k: lambda x: x - k)(i)) for i, r in enumerate(part_of)]
+    common = F.array_distinct(reduce(F.array_intersect, shifted))
+    return found.select("chunk_id", common.alias("starts")).filter(F.size("starts") > 0)
 
 
 def phrase_hits(pos: DataFrame, phrase: str, prefix: bool = False) -> DataFrame:
@@ -385,29 +385,41 @@ def near_hits(pos: DataFrame, terms: list[str], distance: int = 10) -> DataFrame
     return found.withColumn("width", F.lit(1))
 
 
-def text_matches(pos: DataFrame, hits: DataFrame, chunks: DataFrame, paper_ids: DataFrame | None = None, limit: int = 20) -> DataFrame:
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """``chunk_id, n_words``: the words of each chunk, folded and cut as those of the positional index are."""
+    return chunks.select("chunk_id", F.size(folded_tokens(F.col("text"))).alias("n_words"))
+
+
+def text_matches(pos: DataFrame, hits: DataFrame, chunks: DataFrame, paper_ids: DataFrame | None = None, limit: int = 20, lengths: DataFrame | None = None) -> DataFrame:
     """``rank, chunk_id, paper_id, n_hits, score, total, snippet`` of the first ``limit`` of phrase, prefix or near hits.
 
     Order is by relevance (BM25 of the hits in a chunk, over all chunks), ties by chunk. ``paper_ids`` (``paper_id``) filters
-    what is listed and counted in ``total``. The snippet has 16 words with the first hit between marks. Lengths are
-    counted for the matches alone; the corpus's size is read off the index.
+    what is listed and counted in ``total``. The snippet has 16 words with the first hit between marks. ``lengths``
+    (``word_counts``) is what a snapshot has; without it words are counted in the texts of the matches. Texts are read
+    for what is listed alone; the corpus's size is read off the index.
     """
     check_count("limit", limit)
-    n, words = chunks.count(), pos.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = hits.agg(F.count("*").alias("n_found"))  # a single row
-    rows = hits.crossJoin(F.broadcast(found)).join(chunks.select("chunk_id", "paper_id", "text"), "chunk_id")
-    length = F.size(folded_tokens(F.col("text")))
-    idf = F.greatest(F.log((n - F.col("n_found") + 0.5) / (F.col("n_found") + 0.5)), F.lit(1e-6))
-    f = F.col("n_hits")
-    score = idf * f * (PHRASE_K1 + 1) / (f + PHRASE_K1 * (1 - PHRASE_B + PHRASE_B * length * n / max(words, 1)))
-    rows = rows.withColumn("score", F.round(score, DECIMALS))
+    hits = hold(hits)
+    n_found = hits.count()
+    if lengths is None:
+        n, words = chunks.count(), pos.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        lengths = word_counts(chunks.join(hits.select("chunk_id"), "chunk_id", "left_semi"))
+    else:
+        n, words = lengths.agg(F.count("*"), F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    rows = hits.join(chunks.select("chunk_id", "paper_id"), "chunk_id")
     if paper_ids is not None:
         rows = rows.join(paper_ids.select("paper_id").distinct(), "paper_id", "left_semi")
-    total = rows.agg(F.count("*").alias("total"))
-    first = rows.orderBy(F.desc("score"), "chunk_id").limit(limit).crossJoin(F.broadcast(total))
-    first = first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")))  # at most ``limit`` rows
+    total = n_found if paper_ids is None else rows.count()
+    idf = max(math.log((n - n_found + 0.5) / (n_found + 0.5)), 1e-6)
+    f = F.col("n_hits")
+    score = F.lit(idf) * f * (PHRASE_K1 + 1) / (f + PHRASE_K1 * (1 - PHRASE_B + PHRASE_B * F.col("n_words") * n / max(words, 1)))
+    first = rows.join(lengths, "chunk_id").withColumn("score", F.round(score, DECIMALS)).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    first = first.select("chunk_id", "paper_id", "n_hits", "first", "width", "score")
+    some = first.collect()  # at most ``limit`` rows
+    first = chunks.filter(F.col("chunk_id").isin([r.chunk_id for r in some])).select("chunk_id", "text").join(F.broadcast(hits.sparkSession.createDataFrame(some, first.schema)), "chunk_id")
+    rank = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))
     shown = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}\p{M}]+"), F.lit(0))
     start = F.greatest(F.col("first") - SNIPPET_LEAD, F.lit(0))
     marked = F.transform(shown, lambda w, i: F.when((i >= F.col("first")) & (i < F.col("first") + F.col("width")), F.concat(F.lit("«"), w, F.lit("»"))).otherwise(w))
     snippet = F.array_join(F.slice(marked, start + 1, F.lit(SNIPPET_WORDS)), " ")
-    return first.select("rank", "chunk_id", "paper_id", "n_hits", "score", "total", snippet.alias("snippet"))
+    return first.select(rank.alias("rank"), "chunk_id", "paper_id", "n_hits", "score", F.lit(total).cast("long").alias("total"), snippet.alias("snippet"))

@@ -31,6 +31,7 @@ class Index:
     metadata: DataFrame | None = None
     authors: DataFrame | None = None
     forward: DataFrame | None = None
+    lengths: DataFrame | None = None
 
     def need(self, name: str) -> DataFrame:
         table = getattr(self, name)

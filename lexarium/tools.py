@@ -97,7 +97,7 @@ class Tools:
                 raise DomainError("invalid_input", "one of phrase, prefix and near")
             hits = lexical.near_hits(pos, list(near), distance) if near is not None else lexical.phrase_hits(pos, phrase if phrase is not None else prefix, prefix is not None)
             only = self.spark.createDataFrame([(p,) for p in paper_ids], "paper_id string") if paper_ids is not None else None
-            found = _rows(lexical.text_matches(pos, hits, index.chunks, only, limit), "rank")
+            found = _rows(lexical.text_matches(pos, hits, index.chunks, only, limit, index.lengths), "rank")
             return {"matches": found, "total": found[0]["total"] if found else 0}
 
         return self._call(run)
