@@ -166,6 +166,55 @@ def plan_references(requests: DataFrame, owners: DataFrame, stubs: DataFrame) ->
     return rows.withColumn("x", what).select("line_no", "kind", "value", "x.action", "x.reason")
 
 
+#: Fields that a service's answer gives to a stub, and the address that stands for an arXiv id where works are asked for by DOI: fixed values.
+FOUND = ["title", "authors", "author_ids", "author_orcids", "year", "venue", "doi", "arxiv_id", "url", "abstract", "source", "source_url"]
+ARXIV_DOI = "10.48550/arXiv."
+
+
+def reference_requests(pending: DataFrame) -> DataFrame:
+    """``line_no, source, identifier``: what is asked of each service for the pending lines of a plan (``line_no, kind, value``)."""
+    arxiv = F.col("kind") == "arxiv"
+    works = pending.select("line_no", F.lit("works").alias("source"), F.when(arxiv, F.concat(F.lit(ARXIV_DOI), "value")).otherwise(F.col("value")).alias("identifier"))
+    return works.unionByName(pending.filter(arxiv).select("line_no", F.lit("feed").alias("source"), F.col("value").alias("identifier")))
+
+
+def resolve_references(pending: DataFrame, works: DataFrame, feeds: DataFrame) -> DataFrame:
+    """``line_no, kind, value, action, note`` and FOUND of the pending lines of a plan (``line_no, kind, value``): ``written`` or ``unresolved``.
+
+    ``works`` and ``feeds`` are the services' answers by line (``line_no`` and FOUND, with ``note`` where nothing came).
+    A work's record goes first. The feed is looked at where an arXiv id is known and the work lacks title or abstract:
+    it lends its abstract to a work with a title, and its whole record to one without. Without a title there is no
+    record; without an abstract there is, with a hint to add one.
+    """
+    empty = {"authors": F.array().cast("array<string>"), "author_ids": F.array().cast("array<string>"), "author_orcids": F.array().cast("array<string>"), "year": F.lit(0)}
+    fields = [*FOUND, "note"]
+    side = lambda df, s: df.select("line_no", F.struct(*[F.coalesce(c, empty.get(c, F.lit(""))).alias(c) for c in fields]).alias(s))
+    rows = pending.select("line_no", "kind", "value").join(side(works, "w"), "line_no", "left").join(side(feeds, "f"), "line_no", "left")
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    arxiv = F.when(F.col("kind") == "arxiv", F.col("value")).otherwise(text("w.arxiv_id"))
+    asked = (arxiv != "") & ((text("w.title") == "") | (text("w.abstract") == ""))
+    rows = rows.withColumns({"arxiv": arxiv, "f": F.when(asked, F.col("f"))})
+    by_work, by_feed = text("w.title") != "", text("f.title") != ""
+    own = lambda c: F.when(by_work, F.col(f"w.{c}")).when(by_feed, F.col(f"f.{c}")).otherwise(empty.get(c, F.lit("")))
+    out = {c: own(c) for c in FOUND}
+    out["abstract"] = F.when(by_work & (text("w.abstract") == ""), text("f.abstract")).otherwise(own("abstract"))
+    given = lambda kind: F.when(F.col("kind") == kind, F.col("value")).otherwise("")
+    out["doi"] = F.coalesce(F.nullif(own("doi"), F.lit("")), given("doi"))
+    out["arxiv_id"] = F.coalesce(F.nullif(own("arxiv_id"), F.lit("")), F.when(by_feed & ~by_work, F.col("arxiv")).otherwise(given("arxiv")))
+    rows = rows.withColumns(out).withColumn("found", by_work | by_feed)
+    why = F.array_join(F.array_remove(F.array(text("w.note"), text("f.note")), ""), "; ")
+    note = F.when(~F.col("found"), F.coalesce(F.nullif(why, F.lit("")), F.lit("no source gives a title"))).when(F.trim("abstract") == "", "add the abstract by hand").otherwise("")
+    return rows.select("line_no", "kind", "value", F.when(F.col("found"), "written").otherwise("unresolved").alias("action"), note.alias("note"), *FOUND)
+
+
+def process_references(resolved: DataFrame, inbox: str, retrieved_at: str) -> int:
+    """Stub files in ``inbox`` of what was resolved (``resolve_references``); the number written."""
+    from ..sources.sinks import build_stubs, write_files
+
+    own = resolved.filter("action = 'written'").drop("line_no", "action").withColumn("retrieved_at", F.lit(retrieved_at))
+    return write_files(build_stubs(own), inbox)
+
+
 def download_outcomes(candidates: DataFrame, responses: DataFrame) -> DataFrame:
     """``candidate_id, outcome`` of candidates (``candidate_id, title, url, license``) and their responses (``candidate_id, status, head, n_pages, page``).
 

@@ -146,6 +146,12 @@ def quality_flags(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.select("paper_id", F.when(F.col("empty") == 1, F.array(F.lit("empty_document"))).otherwise(flags).alias("flags"))
 
 
+def reference_flags(stubs: DataFrame) -> DataFrame:
+    """``paper_id, flags`` of reference entries (``paper_id, abstract``): the one finding that they can have, as they have no full text."""
+    without = F.trim(F.coalesce("abstract", F.lit(""))) == ""
+    return stubs.select("paper_id", F.when(without, F.array(F.lit("reference_without_abstract"))).otherwise(F.array().cast("array<string>")).alias("flags"))
+
+
 def lead_texts(chunks: DataFrame, limit: int = 300) -> DataFrame:
     """``paper_id, summary``: the first abstract chunk, else the first with a section title, else the first."""
     from ..functions.text import snippet

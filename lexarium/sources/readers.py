@@ -102,6 +102,26 @@ def parse_stubs(files: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).drop("_corrupt")
 
 
+def waiting_stubs(spark: SparkSession, inbox: str) -> DataFrame:
+    """``kind, value, path, quarantined``: the identifiers in the stubs of an inbox and its quarantine, whatever the files are called.
+
+    Each identifier has one row: the inbox goes before the quarantine, then the first path. Files that can't be read have none.
+    """
+    from .sinks import exists
+
+    folders = [(f, q) for f, q in ((inbox, False), (f"{inbox}/quarantine", True)) if exists(spark, f)]
+    out = spark.createDataFrame([], "path string, payload string, quarantined boolean")
+    for folder, quarantined in folders:
+        files = spark.read.option("pathGlobFilter", "*.refjson").text(folder, wholetext=True)
+        out = out.unionByName(files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"), F.lit(quarantined).alias("quarantined")))
+    stub = F.from_json("payload", "doi string, arxiv_id string, requested string")
+    asked = normalize_identifier(F.coalesce("s.requested", F.lit("")))
+    plain = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    ids = F.array(F.struct(F.lit("doi").alias("kind"), plain("s.doi").alias("value")), F.struct(F.lit("arxiv").alias("kind"), plain("s.arxiv_id").alias("value")), F.struct(asked["kind"].alias("kind"), F.lower(asked["value"]).alias("value")))
+    rows = out.withColumn("s", stub).select("path", "quarantined", F.explode(ids).alias("x")).select("path", "quarantined", "x.*").filter("kind <> '' and value <> ''")
+    return rows.groupBy("kind", "value").agg(F.min(F.struct("quarantined", "path")).alias("m")).select("kind", "value", "m.path", "m.quarantined")
+
+
 def stub_chunks(stubs: DataFrame) -> DataFrame:
     """Each valid stub (with paper_id) as one chunk of title and abstract, page 0, kind ``reference``."""
     text = F.trim(F.concat_ws("\n\n", "title", F.when(F.col("abstract") != "", F.col("abstract"))))

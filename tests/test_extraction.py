@@ -87,3 +87,8 @@ def test_no_python_in_the_plan(spark):
     pages = spark.createDataFrame([("p", 1, "x")], "paper_id string, page_number int, text string")
     plan = extraction.quality_flags(pages, extraction.chunks_of(pages))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_flags_of_reference_entries(spark):
+    stubs = spark.createDataFrame([("a", "Of it."), ("b", " "), ("c", None)], "paper_id string, abstract string")
+    assert {r.paper_id: r.flags for r in extraction.reference_flags(stubs).collect()} == {"a": [], "b": ["reference_without_abstract"], "c": ["reference_without_abstract"]}
