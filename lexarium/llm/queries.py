@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dup, prefix_trie, warc
+from . import hard_negatives, near_dup, prefix_trie, warc
 from .common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -103,10 +103,8 @@ def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .hard_negatives import hard_negatives
-
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -124,4 +122,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_hard_negatives": op13_hard_negatives,
 }
-SQL: dict[str, str] = {"op4_near_duplicates": near_dup.SQL, "op10_warc_derivatives": warc.SQL, "op11_conversation_trie": prefix_trie.SQL}
+SQL: dict[str, str] = {"op4_near_duplicates": near_dup.SQL, "op10_warc_derivatives": warc.SQL, "op11_conversation_trie": prefix_trie.SQL, "op13_hard_negatives": hard_negatives.SQL}
