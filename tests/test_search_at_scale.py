@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexarium.operators import graph, lexical, retrieval
 from lexarium.plans import snapshot
+from lexarium.shared import keep_by
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +135,26 @@ def test_local_search_reads_no_whole_postings(spark, index):
     assert scans and all("PushedFilters: [" in x and "In(term" in x or "EqualTo(term" in x for x in scans)
 
 
+def test_scores_are_added_up_where_the_index_lies(spark, corpus):
+    """With an index dealt by chunk no scored row moves, neither for scores nor for the first few of a fused list."""
+    q = queries(spark, "w1 w2 w3", "w5 w59", "unheard", "")
+    moved = lambda df: re.findall(r"Exchange hashpartitioning\([^)]*chunk_id[^)]*\)", df._jdf.queryExecution().executedPlan().toString())
+    index = lexical.with_weights(keep_by(lexical.weight_parts(corpus), "chunk_id"))
+    scored = lexical.scores(index, q)
+    assert moved(scored) == []
+    rows = lambda df: sorted((r.query_id, r.chunk_id, pytest.approx(r.score_tfidf, abs=2e-9), pytest.approx(r.score_bm25, abs=2e-9)) for r in df.collect())
+    assert rows(scored) == rows(lexical.scores(lexical.weighted(corpus).repartition(3, "term"), q)) and scored.count() > 300
+
+
+def test_df_of_rare_and_frequent_terms(spark, corpus, monkeypatch):
+    """Terms whose df is broadcast and terms that go for it, against a plain count."""
+    want = {r.term: r.df for r in lexical.term_stats(lexical.postings(corpus)).collect()}
+    for frequent in (1, 40, 100_000):
+        monkeypatch.setattr(lexical, "FREQUENT", frequent)
+        got = lexical.weighted(corpus).select("term", "df").distinct().collect()
+        assert {r.term: r.df for r in got} == want and len(got) == len(want)
+
+
 def places(texts: dict[str, str]) -> dict[str, list[str]]:
     return {k: re.findall(r"\w+", v.lower()) for k, v in texts.items()}
 
