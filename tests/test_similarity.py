@@ -63,3 +63,28 @@ def test_panels_that_hold_no_match_are_not_visited(spark, vectors, sizes):
 def test_empty(spark):
     none = spark.createDataFrame([], "paper_id string, term string, df long, w double")
     assert graph.similarities(none).collect() == [] and graph.similarity_edges(none).collect() == []
+
+
+def test_papers_move_once_for_each_row_or_column_of_the_grid(spark, vectors, pairs, monkeypatch):
+    """Some papers against all, groups and panels of a few, copies that tie: against all pairs one by one; no pair moves, and no paper once for each panel."""
+    monkeypatch.setattr(similarity, "PANEL", 8)
+    monkeypatch.setattr(similarity, "GROUP", 60)
+    monkeypatch.setattr(similarity, "CELLS", 100)
+    rows = similarity._keep(similarity.as_rows(vectors))
+    probes, n = rows.filter("paper_id < 'p3'"), rows.count()
+    near = {}
+    for (a, b), s in pairs.items():
+        for x, y in ((a, b), (b, a)):
+            near.setdefault(x, []).append((-s, y))
+    got = {}
+    for r in similarity.nearest_of(rows, probes, 5, 0.1, n, probes.count()).orderBy("r").collect():
+        got.setdefault(r.a, []).append((-r.similarity, r.b))
+    asked = {r.paper_id for r in probes.select("paper_id").collect()}
+    assert set(got) == asked & set(near) and len(got) > 20
+    for a, own in got.items():
+        assert [s for s, _ in own] == pytest.approx([s for s, _ in sorted(near[a])[:5]], abs=2e-9)
+    for n_rows, n_probes in ((50_000, 50_000), (500_000, 500_000), (500_000, 25_000), (500_000, 200), (0, 0)):
+        groups, slices = similarity._grid(n_rows, n_probes, 12)
+        assert groups * similarity.GROUP >= n_rows and groups * slices >= 12
+    monkeypatch.undo()
+    assert similarity._grid(50_000, 50_000, 12) in ((3, 4), (4, 3)) and similarity._grid(500_000, 200, 12) == (12, 1)
