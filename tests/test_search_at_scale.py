@@ -155,6 +155,19 @@ def test_df_of_rare_and_frequent_terms(spark, corpus, monkeypatch):
         assert {r.term: r.df for r in got} == want and len(got) == len(want)
 
 
+def test_scores_of_wanted_chunks_rank_no_list(spark, index, corpus):
+    """The fan-out's chunks alone get their corpus ranks by counting; neighbours of many seeds need no row for each pair."""
+    scored = lexical.scores(index.weights, queries(spark, "w1 w2 w3", "w5 w59")).persist()
+    wanted = corpus.filter("row_index = 1").select(F.explode(F.array(F.lit(0), F.lit(1), F.lit(7))).alias("query_id"), "chunk_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for scoring in lexical.SCORINGS:
+        got = lexical.final_scores(scored, scoring, wanted=wanted)
+        assert rows(got) == rows(lexical.final_scores(scored, scoring).join(wanted, ["query_id", "chunk_id"], "left_semi")) and got.count() > 20
+    scored.unpersist()
+    near = lexical.chunk_neighbors(index.weights, corpus.select(F.col("chunk_id").alias("seed_id")), 2)
+    assert " Join" not in near._jdf.queryExecution().optimizedPlan().toString().replace("LeftSemi", "") or "term" not in "".join(x for x in near._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+
+
 def places(texts: dict[str, str]) -> dict[str, list[str]]:
     return {k: re.findall(r"\w+", v.lower()) for k, v in texts.items()}
 
