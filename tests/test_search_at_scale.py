@@ -201,3 +201,12 @@ def test_keys_of_every_form_are_found(spark):
     got = {tuple(r) for r in graph.texts_with(frame, keys).collect()}
     assert got == {(i, p) for i, t in texts.items() for p in patterns if p and p in t}
     assert graph.texts_with(frame, keys.limit(0)).collect() == []
+
+
+def test_words_do_not_move_before_they_are_counted(spark, corpus):
+    """Places and counts of words are made where the texts were dealt to: one exchange of texts, none by chunk and term."""
+    plan = lexical.positions(corpus, 3)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Exchange hashpartitioning\(chunk_id#\d+, term", plan) and plan.count("Exchange") == 2
+    docs = spark.createDataFrame([(1, "the cat the cat dog"), (2, "dog emu"), (3, "of"), (4, None), (5, "")], "doc_id int, text string")
+    got = {r.doc_id: r.keywords for r in lexical.keyword_table(docs, 2, ["the", "of"]).collect()}
+    assert got == {1: ["cat", "dog"], 2: ["emu", "dog"], 3: [], 4: [], 5: []}
