@@ -1,8 +1,12 @@
 """What a task holds doesn't grow with the table: numbers, pairs of persons, persons of a name."""
 
+import difflib
+import random
+import re
+
 from pyspark.sql import functions as F
 
-from lexarium.operators import evaluation
+from lexarium.operators import evaluation, metadata
 from lexarium.shared import numbered
 
 
@@ -19,3 +23,21 @@ def test_questions_are_numbered_without_a_list_of_all_in_one_task(spark):
     out = evaluation.derive_questions(edges)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert [r.qid for r in out.orderBy("anchor_paper_id").collect()] == [f"C{i + 1:02d}" for i in range(3000)]
+
+
+def test_titles_meet_without_a_row_for_each_common_gram(spark):
+    rng = random.Random(3)
+    hexa = ["".join(rng.choices("0123456789abcdef ", k=rng.randint(2, 44))).strip() or "a" for _ in range(80)]
+    near = ["".join(c if rng.random() > 0.08 else rng.choice("abc") for c in t) for t in hexa[:60]]
+    asked = [(i, t) for i, t in enumerate(near + hexa[:20] + ["", "!?"])]
+    known = [(i, t) for i, t in enumerate(hexa + hexa[:10])]
+    plain = lambda t: " ".join(re.findall("[a-z0-9]+", t.lower()))
+    want = {}
+    for i, t in asked:
+        found = [(-r, j) for j, u in known if plain(t) and plain(u) and (r := difflib.SequenceMatcher(None, plain(t), plain(u)).ratio()) >= 0.85]
+        if found:
+            want[i] = (min(found)[1], -min(found)[0])
+    out = metadata.title_matches(spark.createDataFrame(asked, "candidate_id long, title string"), spark.createDataFrame(known, "title_id long, title string"))
+    assert {r.candidate_id: (r.title_id, r.ratio) for r in out.collect()} == want
+    assert len(want) > 40
+    assert "gram#" not in out._jdf.queryExecution().optimizedPlan().toString()
