@@ -1,12 +1,13 @@
 """What a task holds doesn't grow with the table: numbers, pairs of persons, persons of a name."""
 
+import collections
 import difflib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from lexarium.operators import evaluation, metadata
+from lexarium.operators import evaluation, graph, metadata, persons
 from lexarium.shared import numbered
 
 
@@ -41,3 +42,26 @@ def test_titles_meet_without_a_row_for_each_common_gram(spark):
     assert {r.candidate_id: (r.title_id, r.ratio) for r in out.collect()} == want
     assert len(want) > 40
     assert "gram#" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_persons_are_made_once_where_their_papers_lie(spark):
+    rng = random.Random(5)
+    rows = [(f"p{i % 90}", f"name:{rng.randint(0, 20)}") for i in range(400)]
+    papers = {}
+    for p, k in rows:
+        papers.setdefault(p, set()).add(k)
+    want = collections.Counter((a, b) for own in papers.values() for a in own for b in own if a != b)
+    out = persons.coauthors(spark.createDataFrame(rows, "paper_id string, person_key string"))
+    assert {(r.person_key, r.coauthor): r.n_papers for r in out.collect()} == want
+    assert "(paper_id#" not in "".join(x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+
+
+def test_details_are_gathered_for_the_first_persons_alone(spark):
+    rows = [(f"p{i}", "a smith", "a smith", f"name:{i % 3}", "A" if i % 2 else "", "") for i in range(30)] + [("x", "a smith", "a smith", "name:1", "B", "O")]
+    authors = spark.createDataFrame(rows, "paper_id string, name string, name_key string, person_key string, openalex_id string, orcid string")
+    meta = spark.createDataFrame([(f"p{i}", f"t{i}", 1990 + i) for i in range(30)], "paper_id string, title string, year int")
+    out = persons.candidates(authors, meta, "Smith", 1)
+    (got,) = out.collect()
+    assert (got.person_key, got.n_papers, got.ambiguous, got.openalex_id, got.orcid, got.first_year, got.last_year, got["rank"]) == ("name:1", 11, True, "A", "O", 1991, 2018, 1)
+    assert got.newest_titles == ["t28", "t25", "t22"] and got.names == ["a smith"]
+    assert "count(distinct" not in out._jdf.queryExecution().analyzed().toString()
