@@ -65,3 +65,13 @@ def test_details_are_gathered_for_the_first_persons_alone(spark):
     assert (got.person_key, got.n_papers, got.ambiguous, got.openalex_id, got.orcid, got.first_year, got.last_year, got["rank"]) == ("name:1", 11, True, "A", "O", 1991, 2018, 1)
     assert got.newest_titles == ["t28", "t25", "t22"] and got.names == ["a smith"]
     assert "count(distinct" not in out._jdf.queryExecution().analyzed().toString()
+
+
+def test_few_patterns_are_compared_where_the_texts_lie(spark):
+    rng = random.Random(6)
+    texts = [(str(i), "".join(rng.choices("abé😀 ", k=rng.randint(0, 80)))) for i in range(300)]
+    whole = [t for _, t in texts if len(t) > 45]
+    patterns = {t[s : s + n] for t in whole[:60] for s, n in [(rng.randint(0, 8), rng.choice([1, 3, 4, 6, 8, 12, 14, 15, 16, 23, 30]))]} | {"zzzz", ""}
+    out = graph.texts_with(spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    assert {tuple(r) for r in out.collect()} == {(i, p) for i, t in texts for p in patterns if p and p in t}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
