@@ -70,3 +70,16 @@ def test_texts_stay_where_they_lie_for_evidence(spark, corpus):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_coverage_has_no_row_for_a_question_and_a_paper(spark):
+    """Papers in two chosen communities count once; sizes are counted by the communities that papers are in."""
+    members = spark.createDataFrame([("a", 1), ("b", 1), ("b", 2), ("c", 2), ("d", 3)], "paper_id string, community_id long")
+    chosen = spark.createDataFrame([("x", "q1", 1), ("x", "q1", 2), ("x", "q2", 3)], "strategy string, qid string, community_id long")
+    expected = spark.createDataFrame([("q1", "b"), ("q1", "d"), ("q2", "a")], "qid string, paper_id string")
+    asked = spark.createDataFrame([("q1",), ("q2",)], "qid string")
+    out = evaluation.coverage_stats(chosen, members, expected, asked, 4)
+    got = out.first()
+    assert (got.coverage, got.selectivity) == (0.25, 0.5)
+    shown = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set(community_id" in shown
