@@ -83,3 +83,10 @@ def test_coverage_has_no_row_for_a_question_and_a_paper(spark):
     assert (got.coverage, got.selectivity) == (0.25, 0.5)
     shown = out._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_set(community_id" in shown
+
+
+def test_keywords_of_communities_equal_those_of_vectors(spark, corpus, monkeypatch):
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 150)
+    member = graph.numbered_communities(corpus.select("paper_id", F.col("lang").alias("community")))
+    vectors = graph.paper_vectors(graph.paper_documents(corpus), ["w1"])
+    assert rows(graph.keywords_of(corpus, member, ["w1"])) == rows(graph.community_keywords(vectors, member))
