@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexarium.errors import DomainError
-from lexarium.operators import evaluation, graph, lexical, retrieval
+from lexarium.operators import evaluation, graph, lexical, packed, retrieval
 from lexarium.plans import evaluate, snapshot
 
 
@@ -105,3 +105,15 @@ def test_table_functions(spark, index):
     near = graph.neighbors(index.edges, want[0][2]).limit(2).collect()
     assert [(r.id, r.neighbor, r.community_id) for r in rows] == [(i, n.neighbor, int(n.neighbor[1:]) % 6) for i in (1, 4) for n in near]
     assert [f.simpleString() for f in spark.sql("SELECT * FROM t_neighbors_of('p000', 3)").schema.fields] == ["rank:int", "neighbor:string", "weight:double"]
+
+
+def test_over_a_packed_index_all_labels_are_the_same_without_all_edges(spark, index, gold, monkeypatch):
+    asked, expected = gold
+    papers = graph.packed_papers(index.chunks, ["w1"])
+    edges = graph.similarity_edges(graph.paper_vectors(graph.paper_documents(index.chunks), ["w1"]))
+    old = retrieval.Index(index.chunks, index.weights, edges, index.members, forward=index.forward)
+    new = retrieval.Index(index.chunks, packed.pack(index.chunks), members=index.members, counted=papers)
+    want = sorted(map(str, evaluate.evaluate_all(old, asked, expected, communities=2).collect()))
+    monkeypatch.setattr(lexical, "scores", None)  # no scored row is made
+    monkeypatch.setattr(graph, "similarity_edges", None)
+    assert sorted(map(str, evaluate.evaluate_all(new, asked, expected, communities=2).collect())) == want

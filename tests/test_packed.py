@@ -90,3 +90,18 @@ def test_keywords_of_communities_equal_those_of_vectors(spark, corpus, monkeypat
     member = graph.numbered_communities(corpus.select("paper_id", F.col("lang").alias("community")))
     vectors = graph.paper_vectors(graph.paper_documents(corpus), ["w1"])
     assert rows(graph.keywords_of(corpus, member, ["w1"])) == rows(graph.community_keywords(vectors, member))
+
+
+def test_neighbours_and_edges_of_a_few_equal_those_of_all(spark, corpus, monkeypatch):
+    monkeypatch.setattr(packed, "BLOCK", 37)
+    monkeypatch.setattr(packed, "SEEDS", 40)  # several passes
+    copies = corpus.limit(6).withColumns({"paper_id": F.concat(F.lit("z"), "paper_id"), "chunk_id": F.concat(F.lit("z"), "chunk_id")})
+    both = corpus.unionByName(copies).persist()
+    seeds = both.select(F.col("chunk_id").alias("seed_id")).filter(F.pmod(F.xxhash64("seed_id"), F.lit(4)) == 0)
+    assert rows(lexical.chunk_neighbors(packed.pack(both), seeds, 3)) == rows(lexical.chunk_neighbors(lexical.weighted(both), seeds, 3))
+    some = both.select("paper_id").distinct().filter(F.pmod(F.xxhash64("paper_id"), F.lit(5)) == 0)
+    want = graph.similarity_edges(graph.paper_vectors(graph.paper_documents(both), ["the"]), 3)
+    around = want.join(some, F.col("paper_id").isin(F.col("source"), F.col("target")), "left_semi").persist()
+    got = graph.edges_around(graph.packed_papers(both, ["the"]), some, 3)
+    assert around.count() and rows(got.join(some, F.col("paper_id").isin(F.col("source"), F.col("target")), "left_semi")) == rows(around)
+    assert graph.edges_around(graph.packed_papers(both), some.limit(0)).isEmpty()
