@@ -105,3 +105,19 @@ def test_neighbours_and_edges_of_a_few_equal_those_of_all(spark, corpus, monkeyp
     got = graph.edges_around(graph.packed_papers(both, ["the"]), some, 3)
     assert around.count() and rows(got.join(some, F.col("paper_id").isin(F.col("source"), F.col("target")), "left_semi")) == rows(around)
     assert graph.edges_around(graph.packed_papers(both), some.limit(0)).isEmpty()
+
+
+def test_scores_by_paper_move_as_packed_ranges(spark, corpus, queries, monkeypatch):
+    for name, value in (("MARKS", 64), ("RANGE", 40), ("SPREAD", 50)):  # several ranges and blocks
+        monkeypatch.setattr(packed, name, value)
+    shared = corpus.withColumn("paper_id", F.concat(F.lit("x"), F.substring("paper_id", 4, 1)))  # papers of many chunks, not in their order
+    index, want = packed.pack(shared), lexical.hybrid(lexical.scores(lexical.weighted(shared), queries)).persist()
+    assert rows(packed.fused(index, queries).drop("own"), 12) == rows(want, 12)
+    got = lexical.scores_by_paper(index, queries, shared)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan  # a scored row is never one that moves
+    papers = want.join(shared.select("chunk_id", "paper_id"), "chunk_id").groupBy("query_id", "paper_id").agg(F.sort_array(F.collect_list("score"), False).alias("scores"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, papers.select(*got.columns).collect()))
+    for x in ([5], [0, 255, 7], [10**12, 3, 3], [7, 70_000, 2**31]):
+        assert packed._whole(packed._fewer(packed.np.array(x))).tolist() == x
+        assert packed._whole(packed._fewer(packed.np.array(sorted(x)), True), True).tolist() == sorted(x)
