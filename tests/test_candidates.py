@@ -54,3 +54,15 @@ def test_a_long_chain_is_one_group(spark):
     labels = metadata.candidate_groups(spark.createDataFrame(rows, metadata.CANDIDATE), keep).collect()
     assert {r.label for r in labels} == {0} and rounds.count("candidate-step") < 20
     assert metadata.merge_candidates(spark.createDataFrame([], metadata.CANDIDATE)).collect() == []
+
+
+def test_title_query_asks_every_part(spark, tmp_path):
+    """Parts are candidates like the items; equal numbers of both tables stay apart."""
+    from lexarium import queries
+
+    parts = [(1, "small ring"), (2, "cold rod"), (3, "small ring")]
+    spark.createDataFrame(parts, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(1, "a quick and rather long text of an item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.candidate_id: (r.title_id, round(r.ratio, 3)) for r in queries.QUERIES["title_matches"](spark, str(tmp_path)).collect()}
+    assert got.pop("i1")[0] == "i1"
+    assert got == {"p1": ("p1", 0.9), "p2": ("p2", 0.875), "p3": ("p1", 0.9)}
