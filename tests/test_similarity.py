@@ -88,3 +88,37 @@ def test_papers_move_once_for_each_row_or_column_of_the_grid(spark, vectors, pai
         assert groups * similarity.GROUP >= n_rows and groups * slices >= 12
     monkeypatch.undo()
     assert similarity._grid(50_000, 50_000, 12) in ((3, 4), (4, 3)) and similarity._grid(500_000, 200, 12) == (12, 1)
+
+
+@pytest.mark.parametrize("common", [200_000, 20])
+def test_coded_vectors_are_small_and_give_the_same_edges(spark, monkeypatch, common):
+    """A paper is a row of a few bytes a term, whether all numbers of terms are broadcast or a part comes by a join; copies tie."""
+    monkeypatch.setattr(similarity, "COMMON", common)
+    monkeypatch.setattr(similarity, "PANEL", 16)
+    monkeypatch.setattr(similarity, "CELLS", 400)
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(150)]
+    docs = [(f"p{i:03d}", i % 2, " ".join(rng.choices(words, weights=[1 / (1 + j) for j in range(150)], k=rng.randint(1, 40)) + [f"own{i}"] * (i % 3))) for i in range(120)]
+    docs += [(f"q{i}", 0, docs[7][2]) for i in range(12)] + [("r1", 0, "unheard"), ("r2", 0, " "), ("r3", 0, "of"), ("r4", 0, "w1 " * 300)]
+    chunks = spark.createDataFrame(docs, "paper_id string, row_index int, text string")
+    vectors = graph.paper_vectors(graph.paper_documents(chunks), ["of"])
+    coded = graph.coded_papers(chunks, ["of"])
+    assert coded.rows.columns == ["paper_id", "norm", "lead", "codes", "tfs"]
+    n = coded.rows.selectExpr("sum(length(codes) + length(tfs)) AS bytes").first().bytes
+    assert n < 3.2 * vectors.filter("df > 1").count()
+    plain = lambda rows: {(r.source, r.target): round(r.weight, 8) for r in rows.collect()}
+    want = plain(graph.similarity_edges(vectors, 3))
+    assert plain(graph.coded_edges(coded, k=3)) == want and len(want) > 30
+    some = spark.createDataFrame([("p007",), ("q3",), ("r2",)], "paper_id string")
+    around = plain(graph.coded_edges(coded, some, 3))
+    assert around == {k: w for k, w in want.items() if {"p007", "q3"} & {*k}} and around
+
+
+def test_numbers_as_bytes():
+    import numpy as np
+
+    x, sizes = np.array([0, 1, 127, 128, 16383, 16384, 2**31 - 1, 5]), np.array([0, 3, 0, 4, 1, 0])
+    got, offsets = similarity._spelled(similarity._spell(x, sizes))
+    assert got.tolist() == x.tolist() and offsets.tolist() == [0, 0, 3, 3, 7, 8, 8]
+    part, offsets = similarity._spelled(similarity._spell(x, sizes).slice(3, 2))
+    assert part.tolist() == x[3:].tolist() and offsets.tolist() == [0, 4, 5]
