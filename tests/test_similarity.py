@@ -122,3 +122,16 @@ def test_numbers_as_bytes():
     assert got.tolist() == x.tolist() and offsets.tolist() == [0, 0, 3, 3, 7, 8, 8]
     part, offsets = similarity._spelled(similarity._spell(x, sizes).slice(3, 2))
     assert part.tolist() == x[3:].tolist() and offsets.tolist() == [0, 4, 5]
+
+
+def test_rounds_of_communities_leave_no_tables(spark, tmp_path, monkeypatch):
+    """What a round writes goes with it: two rings of papers, held together by one weak edge."""
+    from lexarium import shared
+
+    monkeypatch.setattr(shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    edges = [(f"{r}{i}", f"{r}{j}", 1.0) for r in "ab" for i in range(5) for j in range(i + 1, 5)] + [("a0", "b0", 0.1)]
+    nodes = spark.createDataFrame([(f"{r}{i}",) for r in "ab" for i in range(5)] + [("z",)], "paper_id string")
+    member = graph.louvain(nodes, spark.createDataFrame(edges, "source string, target string, weight double"), shared.keep)
+    got = {r.paper_id: r.community for r in member.collect()}
+    assert len({got[f"a{i}"] for i in range(5)}) == len({got[f"b{i}"] for i in range(5)}) == 1 and len({*got.values()}) == 3
+    assert len([p for p in tmp_path.iterdir() if p.name.startswith("kept-")]) <= 2
